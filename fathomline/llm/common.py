@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that ``materialise`` has made in this process and not dropped.
+MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path under ``spark.checkpoint.dir``, which all executors see.
 
@@ -33,6 +37,7 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    MADE.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -40,12 +45,20 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a DataFrame that ``materialise`` returned."""
-    jvm = spark.sparkContext._jvm
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of DataFrames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def drop_made(spark: SparkSession, paths: set[str]) -> None:
+    """Delete these of the folders that ``materialise`` has made."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths & set(MADE):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+        MADE.remove(path)
+    release(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

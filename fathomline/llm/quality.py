@@ -67,7 +67,7 @@ def _repeat_words(hashes: Column, n: Column) -> Column:
     return F.when(n < 6, 0).otherwise(_let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(covered(w))))
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
     """(id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals)."""
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
 
@@ -86,9 +86,9 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             _let(F.transform(words, lambda w: F.xxhash64(w)), lambda x: F.struct(F.size(x).cast("long").alias("n_words"), _repeat_words(x, F.size(x)).cast("long").alias("n_repeat_words"))).alias("words"),
         )
 
-    kept = df.select(df[id_col].cast("long").alias("doc_id"), df[lang_col].cast("string").alias("lang"), df[source_col].cast("string").alias("source"), _let(text, of).alias("s"))
+    kept = df.select(df[id_col].cast("long").alias("doc_id"), df[lang_col].cast("string").alias("lang"), df[source_col].cast("string").alias("source"), _let(text, of).alias("s"), *([F.struct(*(df[c] for c in df.columns)).alias("row")] if carry else []))
     names = {"words": ("n_words", "n_repeat_words"), "chars": ("word_chars", "n_symbols", "n_capitals"), "lines": ("n_lines", "n_dup_lines")}
-    return kept.select("doc_id", "lang", "source", *(F.col(f"s.{k}.{x}").alias(x) for k, xs in names.items() for x in xs))
+    return kept.select("doc_id", "lang", "source", *(F.col(f"s.{k}.{x}").alias(x) for k, xs in names.items() for x in xs), *(["row"] if carry else []))
 
 
 def _vector() -> list[Column]:
@@ -179,6 +179,7 @@ def robust_outliers(vectors: DataFrame, p: int = len(STATS)) -> DataFrame:
     sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(p)), *(F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"q{i}_{j}") for i, j in pairs)]
     added = [F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs))]
     consistency = H / chi2_cdf(chi2_quantile(H, p), p + 2)
+    whole, vectors = vectors, vectors.select("doc_id", "lang", "source", *(f"x{i}" for i in range(p)))
     # Starts: all rows; the half with the smaller hashes; the rows near the medians of the group.
     medians = vectors.groupBy("lang", "source").agg(*(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"c{i}") for i in range(p)))
     medians = materialise(medians)
@@ -196,16 +197,20 @@ def robust_outliers(vectors: DataFrame, p: int = len(STATS)) -> DataFrame:
         estimate = materialise(_estimates(reach.where(F.col("before") < F.col("all") * H).groupBy(*keys).agg(*added), p, consistency))
     best = Window.partitionBy("lang", "source").orderBy("logdet", "start")
     chosen = estimate.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn", "start", "logdet")
-    joined = _attach(vectors, chosen, ["lang", "source"], groups)
-    return joined.select(*vectors.columns, _distance(p).alias("d2"))
+    joined = _attach(whole, chosen, ["lang", "source"], groups)
+    return joined.select(*whole.columns, _distance(p).alias("d2"))
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per row of ``df``: the statistics, ``base_failed``, ``d2`` and ``kept``."""
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
+    """One row per row of ``df``: the statistics, ``base_failed``, ``d2`` and ``kept``.
+
+    With ``carry`` the whole input row comes along as the struct ``row``; it is written out with
+    the statistics, so the texts are neither measured twice nor shuffled.
+    """
     p = len(STATS)
-    measured = materialise(measure(df, id_col, text_col, lang_col, source_col).withColumn("row", F.monotonically_increasing_id()))
+    measured = materialise(measure(df, id_col, text_col, lang_col, source_col, carry))
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     rows = measured.withColumn("base_failed", failed).select("*", *_vector())
     judged = robust_outliers(rows, p)
     limit = chi2_quantile(LEVEL, p) * CUTOFF
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= limit)).drop("row", *(f"x{i}" for i in range(p))).withColumnRenamed("doc_id", id_col)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("d2") <= limit)).drop(*(f"x{i}" for i in range(p))).withColumnRenamed("doc_id", id_col)
