@@ -6,7 +6,8 @@ largest norm (0 for queries). A k-means tree of that space is fitted on a bounde
 query walks the tree with a priority queue over unvisited nodes, nearest centre first, and visits
 leaves until it has as many as the calibration asks for: the smallest number at which the true
 neighbours of ``CALIBRATION`` queries, found by brute force over all rows, are met to the recall
-wanted. Candidates meet queries leaf by leaf; large leaves are cut into blocks.
+wanted. Candidates meet queries leaf by leaf, neighbouring leaves of about ``BLOCK_ROWS`` rows
+together in a block; a larger leaf is cut into blocks.
 
 Equal vectors are stored once with their k + 1 smallest ids, which is all that an answer of k can
 hold, so a vector with a third of all rows costs no more than another. Scores are sums of double
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE, CALIBRATION, BRANCH, LEAF_ROWS, BLOCK_ROWS = 40_000, 100, 8, 200, 4096
+SAMPLE, CALIBRATION, BRANCH, LEAF_ROWS, BLOCK_ROWS = 40_000, 200, 8, 200, 8192
 
 
 class Tree:
@@ -119,7 +120,7 @@ def _top(query: np.ndarray, rows: np.ndarray, rough: np.ndarray, first: np.ndarr
     return near[order], score[order]
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for every row where ``is_query`` holds."""
     spark = df.sparkSession
     rows = df.where(usable(df[vector_col])).select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -162,41 +163,73 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, i
         position = {leaf: n for n, leaf in enumerate(tree.leaves(np.append(probe.value[i], 0.0), total))}
         met += np.bincount([position[x] for x in leaves], minlength=total)
     # Widened by one step beyond the calibrated number, as other queries vary.
-    visits = min(total, int(1.15 * (np.searchsorted(np.cumsum(met) / max(met.sum(), 1), recall) + 1)) + 1)
+    visits = min(total, int(1.03 * (np.searchsorted(np.cumsum(met) / max(met.sum(), 1), recall) + 1)) + 1)
 
     placed_of = lambda frames: (pd.DataFrame({"leaf": shared.value.place(lift(_matrix(f["v"]))), "first": f["first"], "v": f["v"]}) for f in frames)
     placed = materialise(items.select(F.col("ids")[0].alias("first"), "v").mapInPandas(placed_of, "leaf long, first long, v array<double>"))
-    blocks = {r.leaf: -(-r["count"] // BLOCK_ROWS) for r in placed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
+    sizes = dict.fromkeys(range(total), 0) | {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
+    group, parts, at, held = {}, {}, 0, 0
+    for leaf in range(total):  # leaves are numbered along the tree
+        if held and held + sizes[leaf] > BLOCK_ROWS:
+            at, held = at + 1, 0
+        group[leaf], parts[leaf], held = at, max(1, -(-sizes[leaf] // BLOCK_ROWS)), held + sizes[leaf]
+    layout = spark.sparkContext.broadcast((group, parts))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, parts = layout.value
         for frame in frames:
-            out = []
+            out: list[tuple] = []
             for q, v in zip(frame["q"], frame["v"]):
+                to: dict[tuple[int, int], list[int]] = {}
                 for leaf in shared.value.leaves(np.append(np.asarray(v, np.float64), 0.0), visits):
-                    out += [(leaf, b, q, v) for b in range(blocks.get(leaf, 0))]
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=["leaf", "block", "q", "v"])
+                    for b in range(parts[leaf]):
+                        to.setdefault((group[leaf], b), []).append(leaf)
+                out += [(g, b, q, leaves, v) for (g, b), leaves in to.items()]
+                if len(out) > 5000:
+                    yield pd.DataFrame(out, columns=["grp", "block", "q", "leaves", "v"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["leaf", "block", "q", "v"])
+                yield pd.DataFrame(out, columns=["grp", "block", "q", "leaves", "v"])
 
     def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            points, first = _matrix(right["v"]), right["first"].to_numpy()
-            for at in range(0, len(left), 256):
-                part = left.iloc[at : at + 256]
-                queries = _matrix(part["v"])
-                rough = queries @ points.T
-                for q, query, row in zip(part["q"], queries, rough):
-                    near, score = _top(query, points, row, first, k + 1)
-                    out.append(pd.DataFrame({"q": q, "first": first[near], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "first": [], "score": []})
-
-    block_of = F.pmod(F.xxhash64("first"), F.coalesce(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))[F.col("leaf")], F.lit(1))).cast("int")
-    stored = placed.withColumn("block", block_of)
-    walks = questions.mapInPandas(walk, "leaf long, block int, q long, v array<double>")
-    hits = walks.groupBy("leaf", "block").cogroup(stored.groupBy("leaf", "block")).applyInPandas(answer, "q long, first long, score double")
+        out = pd.DataFrame({"q": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(left) or not len(right):
+            return out
+        points, first, leaf = _matrix(right["v"]), right["first"].to_numpy(), right["leaf"].to_numpy()
+        queries, q = _matrix(left["v"]), left["q"].to_numpy()
+        visit = np.concatenate([np.asarray(x, np.int64) for x in left["leaves"]])
+        asker = np.repeat(np.arange(len(left)), [len(x) for x in left["leaves"]])
+        order = np.argsort(visit, kind="stable")
+        visit, asker = visit[order], asker[order]
+        found = []
+        for n in np.unique(leaf):
+            rows = np.flatnonzero(leaf == n)
+            a, b = np.searchsorted(visit, [n, n + 1])
+            for at in range(a, b, 2048):
+                who = asker[at : min(b, at + 2048)]
+                rough = queries[who] @ points[rows].T
+                m = min(2 * k + 2, len(rows))  # room for products that differ in the last place
+                best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
+                found.append((np.repeat(who, m), rows[best].ravel(), np.take_along_axis(rough, best, 1).ravel()))
+        if not found:
+            return out
+        who, row, rough = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-rough, who))
+        who, row = who[order], row[order]
+        begin = np.searchsorted(who, np.arange(len(left)))
+        near = np.arange(len(who)) - begin[who] < 2 * k + 2
+        who, row = who[near], row[near]
+        score = (queries[who] * points[row]).sum(1)
+        order = np.lexsort((first[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        begin = np.searchsorted(who, np.arange(len(left)))
+        near = np.arange(len(who)) - begin[who] <= k
+        return pd.DataFrame({"q": q[who[near]], "first": first[row[near]], "score": score[near]})
+
+    numbers = spark.createDataFrame([(leaf, group[leaf], parts[leaf]) for leaf in range(total)], "leaf long, grp int, parts int")
+    stored = placed.join(F.broadcast(numbers), "leaf").withColumn("block", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
+    walks = questions.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, "grp int, block int, q long, leaves array<int>, v array<double>")
+    hits = walks.groupBy("grp", "block").cogroup(stored.groupBy("grp", "block")).applyInPandas(answer, "q long, first long, score double")
     kept = hits.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("rn") <= k + 1)
     lists = items.select(F.col("ids")[0].alias("first"), "ids")
     # Every distinct question's neighbours in order, at most (k + 1)^2 ids; then each row's own id leaves.
