@@ -29,12 +29,12 @@ table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,28 +48,27 @@ MAX_SOURCES = 100_000
 
 
 class IdEncoder:
-    """Token ids of a byte-level BPE file, remembered by pre-token.
+    """Token ids of a ``tokenizers`` file.
 
-    The pre-tokens are found by the published pattern; texts with characters on whose class
-    regular-expression libraries differ, or with an added token's string, go to the library whole.
+    Where the file is a plain byte-level BPE whose ids rise in the order of its merges, its own
+    vocabulary serves as ranks for ``tiktoken``, which gives the same ids several times faster and
+    needs no cache. Texts with characters on whose class the two libraries' regular expressions
+    might differ, or with an added token's string, and all other files, go to ``tokenizers``.
     """
 
     _loaded: dict[str, "IdEncoder"] = {}
-    CACHE, CACHED_CHARS = 1 << 18, 48
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    #: ASCII text and the Latin, Greek and Cyrillic blocks' letters.
-    PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ʯΆ-ϿЀ-ҁҊ-ԯ‐-‧€]*")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: ASCII and the Latin, Greek and Cyrillic blocks' letters.
+    PLAIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-ʯΆ-ϿЀ-ҁҊ-ԯ‐-‧€]*+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         spec = json.loads(self.library.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.splits = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.seen: dict[str, bytes] = {}
+        self.fast = self.ranked(spec)
 
     @classmethod
     def of(cls, path: str) -> "IdEncoder":
@@ -77,24 +76,33 @@ class IdEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def ranked(self, spec: dict):
+        """The same vocabulary for ``tiktoken``, if it means the same there."""
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        if not plain or model.get("type") != "BPE" or any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return None
+        vocabulary = model["vocab"]
+        merged = [vocabulary["".join(x if isinstance(x, list) else x.split(" "))] for x in model["merges"]]
+        if any(a >= b for a, b in zip(merged, merged[1:])):
+            return None
+        import tiktoken
+
+        # Byte-level files write printable bytes as themselves and the others from U+0100 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(printable)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+        ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if word not in self.added}
+        return tiktoken.Encoding(f"ranks-{len(ranks)}", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids, ``dtype`` wide."""
-        if not self.splits or self.PLAIN.fullmatch(text) is None or any(x in text for x in self.added):
+        if self.fast is None or self.PLAIN.fullmatch(text) is None or any(x in text for x in self.added):
             return self.library_ids(text)
-        seen, out = self.seen, []
-        for word in self.PATTERN.findall(text):
-            ids = seen.get(word)
-            if ids is None:
-                ids = self.library_ids(word)
-                if len(word) <= self.CACHED_CHARS:
-                    if len(seen) >= self.CACHE:
-                        seen.clear()
-                    seen[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        return np.array(self.fast.encode_ordinary(text), self.dtype).tobytes()
 
 
 class Deal:
