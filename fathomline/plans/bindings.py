@@ -354,12 +354,13 @@ def a9(spark, sf):
     return read(spark, sf, "documents").agg(F.countDistinct("source").alias("repos"), F.count("*").alias("files"), F.sum("n_chars").alias("symbols"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("languages"))
 
 
-_STATUS = F.when(F.col("toxic") == 1, "FAIL").when(F.col("quality") == 0, "WARN").otherwise("PASS")
+def _status():
+    return F.when(F.col("toxic") == 1, "FAIL").when(F.col("quality") == 0, "WARN").otherwise("PASS")
 
 
 @query("a10_check_summary", "SELECT CASE WHEN toxic = 1 THEN 'FAIL' WHEN quality = 0 THEN 'WARN' ELSE 'PASS' END AS status, count(*) AS n, max(length(doc_id::VARCHAR)) AS width FROM labels GROUP BY 1")
 def a10(spark, sf):
-    return read(spark, sf, "labels").groupBy(_STATUS.alias("status")).agg(F.count("*").alias("n"), F.max(F.length(F.col("doc_id").cast("string"))).cast("long").alias("width"))
+    return read(spark, sf, "labels").groupBy(_status().alias("status")).agg(F.count("*").alias("n"), F.max(F.length(F.col("doc_id").cast("string"))).cast("long").alias("width"))
 
 
 @query("a11_max_normalise", "SELECT p_partkey, round(p_retailprice / max(p_retailprice) OVER () * 1000)::BIGINT AS importance FROM part")
