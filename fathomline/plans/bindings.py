@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import paths as P
 from ..functions import text as T
+from ..operators import checks as V
 from ..operators import graph as G
 from ..operators import tables as O
+from ..sources import parsers as S
 from ..sources import repo as R
+from ..streaming import incremental as I
 
 EXTS = (".py", ".ts", ".js", ".go", ".rs", ".rb", ".sh", ".java", ".cs", ".php", ".kt", ".swift", ".ex")
 FILES = f"files AS (SELECT source || '/' || lang || '/doc_' || doc_id || ({list(EXTS)!r})[doc_id % 13 + 1] AS path, text AS content, doc_id, lang, source FROM documents)"
@@ -525,3 +528,28 @@ def q5(spark, sf):
 @query("v7_security", f"WITH {FILES} SELECT path, CASE WHEN regexp_matches(content, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{{8,}}') THEN 'FAIL' ELSE 'PASS' END AS status FROM files")
 def v7(spark, sf):
     return files(spark, sf).select("path", F.when(T.secrets(F.col("content")), "FAIL").otherwise("PASS").alias("status"))
+
+
+@query("v0_checks", "SELECT * FROM (VALUES ('guide', 'FAIL', 'missing'), ('guide commands', 'WARN', 'no section'), ('ignored env', 'WARN', '.env is not ignored'), ('secrets', (SELECT CASE WHEN bool_or(regexp_matches(text, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{8,}')) THEN 'FAIL' ELSE 'PASS' END FROM documents), (SELECT CASE WHEN bool_or(regexp_matches(text, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{8,}')) THEN 'possible secrets' ELSE 'none found' END FROM documents)), ('tracked env', 'PASS', 'no .env'), ('command lint', 'WARN', 'not documented'), ('command test', 'WARN', 'not documented')) AS t(name, status, detail)")
+def v0(spark, sf):
+    return V.checks(files(spark, sf))
+
+
+@query("x9_symbol_parser", "SELECT 'p' || p_partkey || '.py' AS path, unnest(['f_' || p_partkey, 'C' || p_partkey, 'm']) AS name, unnest(['function', 'class', 'method']) AS kind, unnest([1, 3, 4])::BIGINT AS line, unnest([NULL, NULL, 'C' || p_partkey]) AS parent FROM part")
+def x9(spark, sf):
+    key = F.col("p_partkey").cast("string")
+    code = F.concat(F.lit("def f_"), key, F.lit("():\n    pass\nclass C"), key, F.lit(":\n    def m(self): pass"))
+    parsed = S.parse_files(read(spark, sf, "part").select(F.concat(F.lit("p"), key, F.lit(".py")).alias("path"), code.alias("content"), F.lit("python").alias("language")))
+    return parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.line", "s.parent")
+
+
+@query("st1_windowed_counts", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def st1(spark, sf):
+    return I.drain(spark, sf, "events", I.windowed_counts).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
+
+
+@query("st2_upsert_latest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def st2(spark, sf):
+    events = read(spark, sf, "events").select("user_id", "event_id", "ts")
+    old, new = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")  # the table and the batch that meets it
+    return I.upsert_latest(old, new, "user_id", ["ts", "event_id"]).select("user_id", "event_id")
