@@ -1,0 +1,34 @@
+"""Rule tables on file listings."""
+
+import pytest
+
+from fathomline.operators import classify
+
+
+def listing(spark, *paths):
+    return spark.createDataFrame([(p,) for p in paths], "path string")
+
+
+@pytest.mark.parametrize(
+    "paths,language",
+    [
+        (("requirements.txt", "app.py", "lib/utils.py"), "python"),
+        (("package.json", "tsconfig.json", "src/index.ts", "src/app.tsx"), "typescript"),
+        (("Cargo.toml", "src/main.rs", "src/lib.rs"), "rust"),
+        (("go.mod", "go.sum", "main.go", "handlers/api.go"), "go"),
+    ],
+)
+def test_main_language(spark, paths, language):
+    assert classify.main_language(listing(spark, *paths)).first().language == language
+
+
+def test_scores_are_capped(spark):
+    files = listing(spark, *(f"a{i}.py" for i in range(30)))
+    assert classify.language_scores(files).collect() == [("python", 10)]
+
+
+def test_first_marker_and_tools(spark):
+    files = listing(spark, "package.json", "yarn.lock", "ruff.toml", ".eslintrc.json", "pytest.ini")
+    assert classify.first_marker(files, classify.PACKAGE_MANAGERS).first().value == "yarn"
+    assert classify.first_marker(listing(spark, "x"), classify.PACKAGE_MANAGERS).isEmpty()
+    assert {r.category: r.tool for r in classify.tool_per_category(files).collect()} == {"linter": "eslint", "test_framework": "pytest"}
