@@ -76,6 +76,7 @@ def pagerank(links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     Edges are weighted by out-degree once and kept by source; ranks are cut from their lineage
     every five iterations by a written table.
     """
+    links = written(links.select("source", "target"))
     degree = links.groupBy("source").agg(F.count("*").alias("degree"))
     weighted = written(links.join(degree, "source").groupBy("source", "target").agg((F.count("*") / F.first("degree")).alias("weight")))
     vertices = written(links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct())
