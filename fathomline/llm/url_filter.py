@@ -1,7 +1,7 @@
 """URL filter over a sorted array of 64-bit xxhash digests.
 
 ``compile_rules`` turns (action, host, path prefix) rules into one flat file: sorted digests,
-then per digest the place of its full string. Workers memory-map that file once, probe a whole
+then per digest the place of its full string. Workers hold that file in memory and map it once, probe a whole
 batch of candidate keys with one vectorised binary search, and compare the stored strings, so
 a digest collision can't let a wrong rule through.
 
@@ -15,8 +15,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import tempfile
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +54,8 @@ class DigestArray:
 
     _open: dict[str, "DigestArray"] = {}
 
-    def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+    def __init__(self, file: BinaryIO):
+        raw = np.memmap(file, np.uint8, "r")
         count, kinds = (int(x) for x in raw[:16].view("<u8"))
         at = 16 + 8 * kinds
         self.lengths = [int(x) for x in raw[16:at].view("<u8")]
@@ -68,11 +68,10 @@ class DigestArray:
     def of(cls, blob: bytes) -> "DigestArray":
         name = hashlib.sha256(blob).hexdigest()
         if name not in cls._open:
-            fd, path = tempfile.mkstemp(prefix="rules-")
-            with os.fdopen(fd, "wb") as f:
+            with os.fdopen(os.memfd_create("rules"), "w+b") as f:  # a file in memory: no folder is involved
                 f.write(blob)
-            cls._open[name] = cls(path)
-            os.unlink(path)  # the mapping keeps the pages; nothing stays in the worker's folder
+                f.flush()
+                cls._open[name] = cls(f)  # the mapping keeps the pages
         return cls._open[name]
 
     def find(self, keys: list[bytes]) -> np.ndarray:
