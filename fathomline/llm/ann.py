@@ -16,7 +16,7 @@ products, row by row, so equal vectors score alike.
 Edge cases: vectors that are null, empty, zero, hold null, NaN or infinite components, or differ
 in length from the most frequent length (the smaller on a tie) take no part; fewer than k
 candidates give fewer answers; ties go to the smaller id; repeated ids are separate rows that
-exclude each other as their own; an empty table gives an empty table; extra columns are ignored.
+exclude each other as their own; a row without an id takes no part; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def _top(query: np.ndarray, rows: np.ndarray, rough: np.ndarray, first: np.ndarr
 def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for every row where ``is_query`` holds."""
     spark = df.sparkSession
-    rows = df.where(usable(df[vector_col])).select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = df.where(usable(df[vector_col]) & df[id_col].isNotNull()).select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
     if not dims:

@@ -40,6 +40,8 @@ _DROP = frozenset("nav footer aside form iframe object audio video select option
 #: Elements without lines of text.
 _MUTE = frozenset("head title script style noscript template svg math canvas".split())
 _WORDS = re.compile(r"(?<![a-z])(ads?|adv|advert(s|ising|isement|isements)?|sponsor(ed|s)?|promo(tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|sidebars?|side-bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|site-header|site-footer|comments?|commentlist|discussion|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|widgets?|skip-link|pagination|pager|toolbar|tags)(?![a-z])")
+#: A name of the page's frame that inside an article stands for its title block.
+_FRAME = re.compile(r"(?<![a-z])header(?![a-z])")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ELSEWHERE, ARTICLE, SUSPECT = 0, 1, 2
 #: Starts the stored text of suspect lines; no decoded page text has it after white space is folded.
@@ -93,7 +95,7 @@ class LineParser(HTMLParser):
             role = (found.get("role") or "").lower() if found else ""
             hidden = "hidden" in found or (found.get("aria-hidden") or "").lower() == "true"
             core = tag in ("article", "main", "body", "html")
-            dropped = tag in _DROP or tag == "header" and not article or role in _ROLES or hidden or bool(named.strip() and not (core and tag in ("body", "html", "main")) and _WORDS.search(named))
+            dropped = tag in _DROP or tag == "header" and not article or role in _ROLES or hidden or bool(named.strip() and not (core and tag in ("body", "html", "main")) and _WORDS.search(_FRAME.sub("", named) if article else named))
             article = article or not dropped and (tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody")
         self.open.append((tag, dropped, article, mute))
         self.at = (dropped, article, mute)

@@ -16,7 +16,7 @@ normalised: 1 keeps them, 0 makes all categories equal. Probabilities are scaled
 
 Edge cases: nulls in source, language or topic are a category of their own; null text has weight
 0 and is kept or not by its cell like others; categories missing from given targets have target
-0 and go; equal documents differ by their id; an empty table gives an empty table; columns of
+0 and go; equal documents differ by their id; a row without an id is not kept; an empty table gives an empty table; columns of
 the input that clash with the operator's own are left alone (the operator's are prefixed).
 """
 
@@ -102,7 +102,7 @@ def mix(
     on = F.lit(True)
     for m, c in keys.items():
         on = on & c.eqNullSafe(F.col(f"mix_{m}_key"))
-    return rows.join(raked, on).drop(*(f"mix_{m}_key" for m in MARGINS)).withColumn("mix_kept", uniform(F.col(id_col), seed) < F.col("mix_probability"))
+    return rows.join(raked, on).drop(*(f"mix_{m}_key" for m in MARGINS)).withColumn("mix_kept", F.coalesce(uniform(F.col(id_col), seed) < F.col("mix_probability"), F.lit(False)))
 
 
 def oracle(keep: float = 0.7, seed: int = 1, temper: dict[str, float] | None = None) -> str:

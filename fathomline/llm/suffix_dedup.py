@@ -24,7 +24,8 @@ falls as their number grows with the input.
 
 Edge cases: null text is empty; texts under 100 bytes can't repeat; equal documents all go but
 the one with the smallest id; rows that share a document id are told apart by their content and
-order only up to that id, so ids must be unique; an empty table gives an empty table; extra
+order only up to that id, so ids must be unique; a row without an id has no place in that
+order: it is returned whole and compared with nothing; an empty table gives an empty table; extra
 columns are ignored.
 """
 
@@ -342,6 +343,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     extra = [f"carried{i}" for i in range(len(carry))]
     texts = df.select(df[id_col].cast("long").alias("doc"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *(df[c].alias(x) for c, x in zip(carry, extra)))
     types = "".join(f", {x} {kind}" for x, kind in texts.dtypes[2:])
+    nameless, texts = texts.where("doc is null"), texts.where("doc is not null")
     if buckets is None:
         total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-total // BUCKET_BYTES))
@@ -477,6 +479,9 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     fetched = found.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(fetch, message)
     sorted_ = fetched.groupBy("bucket").applyInPandas(sort, message)
     result = sorted_.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(cut, "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary" + types)
+    raw = F.encode("text", "UTF-8")
+    untouched = nameless.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), raw.alias("kept"), *extra)
+    result = result.unionByName(untouched)
     for name, x in [(id_col, "doc"), *zip(carry, extra)]:
         result = result.withColumnRenamed(x, name)
     return result

@@ -233,3 +233,23 @@ def test_language_held_out(spark, empty):
     assert {r.lang_pred for r in langid.identify(odd, docs.where(~held_out), per_class=20).collect()} == {"und"}
     assert langid.identify(empty, empty).count() == 0
     assert {r.lang_pred for r in langid.identify(odd, empty).collect()} == {"und"}
+
+
+def test_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "some words to read " * 20, "en", "a"), (None, None, None, None), (1, "some words to read " * 20, "en", "a")], "doc_id long, text string, lang string, source string")
+    assert packing.pack(docs, tokenizer("byte_bpe_50k.json")).where("doc_id is null").count() >= 2
+    assert mixing.mix(docs).count() == 3 and mixing.mix(docs).where("mix_kept and doc_id is null").isEmpty()
+    assert quality.quality(docs).count() == 3
+    assert token_count.count_tokens(docs, tokenizer("piece_bpe_32k.model")).count() == 3
+    assert langid.identify(docs, docs).count() == 3
+    assert {(r.doc_id, r.n_bytes == len(r.kept)) for r in suffix_dedup.dedup(docs).collect()} == {(None, True), (1, False)}
+    assert [tuple(r) for r in jaccard.components(docs).collect()] == [(1, 4, 1)]
+    pages = spark.createDataFrame([(None, "http://a.b/c", "<p>x</p>"), (None, None, None)], "page_id long, url string, html string")
+    assert html_main.extract_main(pages).count() == 2 and url_filter.filter_urls(pages, URL_RULES).count() == 2
+    vectors = spark.createDataFrame([(None, [1.0]), (0, [1.0]), (20, [2.0])], "vec_id long, embedding array<float>")
+    assert {(r.query_id, r.vec_id) for r in ann.search(vectors, F.col("vec_id") % 20 == 0).collect()} == {(0, 20), (20, 0)}
+
+
+def test_title_block_inside_an_article_stays():
+    page = "<header>Site</header><article><div class='entry-header'><h1>T</h1></div><p>x</p><div class='share-bar'>s</div></article>"
+    assert [t for p, t in html_main.page_lines(page) if p == html_main.ARTICLE] == ["T", "x"]
