@@ -23,10 +23,11 @@ are dealt out once, by document. No group is gathered beyond one bucket, and a b
 falls as their number grows with the input.
 
 Edge cases: null text is empty; texts under 100 bytes can't repeat; equal documents all go but
-the one with the smallest id; rows that share a document id are told apart by their content and
-order only up to that id, so ids must be unique; a row without an id has no place in that
-order: it is returned whole and compared with nothing; an empty table gives an empty table; extra
-columns are ignored.
+the one with the smallest id; rows of one id and one text are one document, so they get equal
+results and don't repeat each other; rows of one id and different texts are told apart by 32 bits
+of their text's hash, which also order them; a row without an id has no place in that order: it is
+returned whole and compared with nothing; an empty table gives an empty table; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ K = 24
 BUCKET_BYTES = 12 << 20
 #: Runs that a task settles among themselves before it sends them: about 16 MB of text.
 SLICE_RUNS = 400_000
-RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("home", "<i4")])
-SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4")])
+RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<i4"), ("n", "<i4"), ("home", "<i4")])
+SPAN = np.dtype([("doc", "<i8"), ("sig", "<u4"), ("start", "<i4"), ("n", "<i4")])
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -296,8 +297,24 @@ def repeats(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, docs: np.n
 # ---- the job --------------------------------------------------------------------------------
 
 
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    """Runs sorted by (key, ctx, doc, sig, start), those of repeated rows once."""
+    rows = rows[np.lexsort((rows["start"], rows["sig"], rows["doc"], rows["ctx"], rows["key"]))]
+    again = np.logical_and.reduce([rows[x][1:] == rows[x][:-1] for x in ("key", "ctx", "doc", "sig", "start")])
+    return rows[np.concatenate([[True], ~again])] if len(rows) else rows
+
+
+def _document(rows: np.ndarray) -> np.ndarray:
+    """Numbers of the documents of runs, in the order of (doc, sig)."""
+    order = np.lexsort((rows["sig"], rows["doc"]))
+    doc, sig = rows["doc"][order], rows["sig"][order]
+    out = np.zeros(len(rows), np.int64)
+    out[order[1:]] = np.cumsum((doc[1:] != doc[:-1]) | (sig[1:] != sig[:-1]))
+    return out
+
+
 def _later(rows: np.ndarray) -> np.ndarray:
-    """Of runs sorted by (key, ctx, doc, start): not the first of its key and context."""
+    """Of runs sorted by ``_in_order``: not the first of its key and context."""
     return np.concatenate([[False], (rows["key"][1:] == rows["key"][:-1]) & (rows["ctx"][1:] == rows["ctx"][:-1])]) if len(rows) else np.zeros(0, bool)
 
 
@@ -318,10 +335,10 @@ def _spans_of(rows: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows), SPAN)
     for name in SPAN.names:
         out[name] = rows[name]
-    out = out[np.lexsort((out["start"], out["doc"]))]
+    out = out[np.lexsort((out["start"], out["sig"], out["doc"]))]
     if not len(out):
         return out
-    fresh = np.concatenate([[True], (out["doc"][1:] != out["doc"][:-1]) | (out["start"][1:] != out["start"][:-1] + out["n"][:-1])])
+    fresh = np.concatenate([[True], (out["doc"][1:] != out["doc"][:-1]) | (out["sig"][1:] != out["sig"][:-1]) | (out["start"][1:] != out["start"][:-1] + out["n"][:-1])])
     at = np.flatnonzero(fresh)
     merged = out[at]
     merged["n"] = np.add.reduceat(out["n"], at)
@@ -343,6 +360,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     extra = [f"carried{i}" for i in range(len(carry))]
     texts = df.select(df[id_col].cast("long").alias("doc"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *(df[c].alias(x) for c, x in zip(carry, extra)))
     types = "".join(f", {x} {kind}" for x, kind in texts.dtypes[2:])
+    texts = texts.withColumn("sig", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     nameless, texts = texts.where("doc is null"), texts.where("doc is not null")
     if buckets is None:
         total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -354,9 +372,8 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
         held: list[np.ndarray] = []
 
         def settle() -> Iterator[pa.RecordBatch]:
-            found = np.concatenate(held)
+            found = _in_order(np.concatenate(held))
             held.clear()
-            found = found[np.lexsort((found["start"], found["doc"], found["ctx"], found["key"]))]
             later = _later(found)
             first, spans = found[~later], _spans_of(found[later])
             out = _sent("run", first, (first["key"] % np.uint64(buckets)).astype(np.int32)) + _sent("span", spans, _home(spans["doc"], buckets))
@@ -368,7 +385,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
             row, start, count, key, context = runs(data, offsets, length)
             found = np.zeros(len(row), RUN)
             found["key"], found["ctx"], found["start"], found["n"] = key, context, start, count
-            found["doc"] = part["doc"].to_numpy()[row]
+            found["doc"], found["sig"] = part["doc"].to_numpy()[row], part["sig"].to_numpy()[row]
             found["home"] = _home(found["doc"], buckets)
             held.append(found)
             if sum(map(len, held)) >= SLICE_RUNS:
@@ -386,8 +403,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
             keys = found["key"][order]
             same = keys[1:] == keys[:-1]
             repeated = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            found = found[order[repeated]]  # a key that is found once is settled
-            found = found[np.lexsort((found["start"], found["doc"], found["ctx"], found["key"]))]
+            found = _in_order(found[order[repeated]])  # a key that is found once is settled
             later = _later(found)
             spans, first = found[later], found[~later]
             out += _sent("span", _spans_of(spans), _home(_spans_of(spans)["doc"], buckets))
@@ -403,10 +419,10 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
         blobs = asked["data"][asked["kind"] == "fetch"]
         if len(blobs) and len(held):
             wanted = np.frombuffer(b"".join(blobs), RUN)
-            wanted = wanted[np.argsort(wanted["doc"], kind="stable")]
-            bytes_of = dict(zip(held["doc"], held["text"]))
+            wanted = wanted[np.lexsort((wanted["sig"], wanted["doc"]))]
+            bytes_of = dict(zip(zip(held["doc"], held["sig"]), held["text"]))
             texts, last, raw = [], None, b""
-            for doc, start, n in zip(wanted["doc"].tolist(), wanted["start"].tolist(), wanted["n"].tolist()):
+            for doc, start, n in zip(zip(wanted["doc"].tolist(), wanted["sig"].tolist()), wanted["start"].tolist(), wanted["n"].tolist()):
                 if doc != last:
                     last, raw = doc, bytes_of[doc].encode()
                 texts.append(raw[start : start + n + length - 1])
@@ -444,11 +460,11 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
                 text = np.frombuffer(b"".join(texts[begin:end]), np.uint8)
                 begins = np.concatenate([[0], np.cumsum(size[begin:end])[:-1]])
                 counts = part["n"].astype(np.int64)
-                again = repeats(text, begins, counts, part["doc"], part["start"], length)
+                again = repeats(text, begins, counts, _document(part), part["start"], length)
                 owner = np.repeat(np.arange(len(part)), counts)[again]
                 inner = (np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts))[again]
                 spans = np.zeros(len(owner), SPAN)
-                spans["doc"], spans["start"], spans["n"] = part["doc"][owner], part["start"][owner] + inner, 1
+                spans["doc"], spans["sig"], spans["start"], spans["n"] = part["doc"][owner], part["sig"][owner], part["start"][owner] + inner, 1
                 spans = _spans_of(spans)
                 out += _sent("span", spans, _home(spans["doc"], buckets))
                 begin = end
@@ -457,11 +473,12 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     def cut(spans: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """A bucket of documents: their repeats merged and removed."""
         rows = np.frombuffer(b"".join(spans["data"]), SPAN)
-        rows = rows[np.lexsort((rows["start"], rows["doc"]))]
+        rows = rows[np.lexsort((rows["start"], rows["sig"], rows["doc"]))]
         out = []
-        for doc, text, *others in held[["doc", "text", *extra]].itertuples(index=False):
+        for doc, sig, text, *others in held[["doc", "sig", "text", *extra]].itertuples(index=False):
             raw = text.encode()
             a, b = np.searchsorted(rows["doc"], [doc, doc + 1])
+            a, b = a + np.searchsorted(rows["sig"][a:b], sig, "left"), a + np.searchsorted(rows["sig"][a:b], sig, "right")
             low = rows["start"][a:b].astype(np.int64)
             high = low + rows["n"][a:b] + length - 1
             merged: list[tuple[int, int]] = []
@@ -474,8 +491,8 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
             out.append((doc, len(raw), len(raw) - len(kept), [{"start": x, "end": y} for x, y in merged], kept, *others))
         return pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "spans", "kept", *extra])
 
-    held = texts.mapInArrow(_homes(buckets), "doc long, text string, bucket int" + types).repartition(buckets, "bucket")
-    found = texts.select("doc", "text").mapInArrow(find, message).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(match, message)
+    held = texts.mapInArrow(_homes(buckets), "doc long, text string, bucket int" + types + ", sig long").repartition(buckets, "bucket")
+    found = texts.select("doc", "text", "sig").mapInArrow(find, message).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(match, message)
     fetched = found.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(fetch, message)
     sorted_ = fetched.groupBy("bucket").applyInPandas(sort, message)
     result = sorted_.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(cut, "doc long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary" + types)
