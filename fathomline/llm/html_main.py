@@ -238,7 +238,8 @@ def common(a: list, b: list) -> list[int]:
 def own_lines(lines: list[str], partners: list[list[str]]) -> tuple[list[str], int]:
     """(main text lines, number of lines shared with the partner); ``partners`` in the order of preference."""
     texts = [x[1:] for x in lines]
-    content = {i for i, x in enumerate(lines) if x[0] in (PLAIN, PROSE, LOOSE)}
+    running = {i for i, x in enumerate(lines) if x[0] == NAMED and _END.search(x) and x.count(" ") >= LONG_LINE}
+    content = {i for i, x in enumerate(lines) if x[0] in (PLAIN, PROSE, LOOSE)} | running
     gone: set[int] = set()
     for partner in partners:
         shared = set(common(texts, [x[1:] for x in partner]))
@@ -248,7 +249,7 @@ def own_lines(lines: list[str], partners: list[list[str]]) -> tuple[list[str], i
     left = [x for i, x in enumerate(lines) if i not in gone or x[0] == PROSE]
     own = [x[1:] for x in left if x[0] in (PROSE, LOOSE)] or [x[1:] for x in left if x[0] == PLAIN]
     if not own and partners:
-        own = [x[1:] for x in left if x[0] == NAMED and _END.search(x) and x.count(" ") >= LONG_LINE]
+        own = [texts[i] for i in sorted(running - gone)]
     return own, len(gone)
 
 
