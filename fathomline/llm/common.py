@@ -20,11 +20,13 @@ MADE: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """A new folder path under ``spark.checkpoint.dir``, which all executors see.
 
-    Where that setting is absent (tests on one machine) a temporary folder of this machine
-    is put into it, so later calls reuse it.
+    Where that setting is absent and all runs in one process (tests), a temporary folder of this
+    machine is put into it, so later calls reuse it; on a cluster its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/fathomline-{uuid.uuid4().hex}"

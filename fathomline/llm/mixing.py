@@ -16,8 +16,8 @@ normalised: 1 keeps them, 0 makes all categories equal. Probabilities are scaled
 
 Edge cases: nulls in source, language or topic are a category of their own; null text has weight
 0 and is kept or not by its cell like others; categories missing from given targets have target
-0 and go; equal documents differ by their id; a row without an id is not kept; an empty table gives an empty table; columns of
-the input that clash with the operator's own are left alone (the operator's are prefixed).
+0 and go; equal documents differ by their id; a row without an id is not kept; an empty table gives an empty table; columns
+of the input that are named like the operator's own results (a second mixing, say) are replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARGINS = ("source", "lang", "topic")
+RESULTS = ("mix_topic", "mix_tokens", "mix_probability", "mix_kept")
 BROADCAST_ROWS = 50_000
 #: Rounds of raking (three margins each) and of scaling.
 ROUNDS, SCALINGS = 10, 8
@@ -92,17 +93,21 @@ def mix(
     ``tokens`` defaults to the text's UTF-8 bytes, ``topic`` to its length class.
     """
     temper = {"source": 0.7, "lang": 0.85, "topic": 0.85} | (temper or {})
-    rows = df.withColumn("mix_topic", topic if topic is not None else form(df[text_col])).withColumn("mix_tokens", (tokens if tokens is not None else F.octet_length(F.coalesce(df[text_col].cast("string"), F.lit("")))).cast("long"))
-    keys = {"source": F.col(source_col).cast("string"), "lang": F.col(lang_col).cast("string"), "topic": F.col("mix_topic").cast("string")}
+    topic = topic if topic is not None else form(df[text_col])
+    tokens = tokens if tokens is not None else F.octet_length(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    kept = [df[c] for c in df.columns if c.lower() not in RESULTS]
+    rows = df.select(*kept, topic.alias("mix_topic"), tokens.cast("long").alias("mix_tokens"))
+    keys = {"source": rows[source_col].cast("string"), "lang": rows[lang_col].cast("string"), "topic": rows["mix_topic"].cast("string")}
+    free = "_" * max((len(c) for c in df.columns), default=0)  # makes names that no column has
     cells = rows.groupBy(*(c.alias(m) for m, c in keys.items())).agg(F.sum("mix_tokens").alias("tokens"))
     raked = rake(cells, targets, temper, keep)
-    raked = raked.select(*(F.col(m).alias(f"mix_{m}_key") for m in MARGINS), F.col("probability").alias("mix_probability"))
+    raked = raked.select(*(F.col(m).alias(f"{m}{free}_key") for m in MARGINS), F.col("probability").alias("mix_probability"))
     if cells.count() <= BROADCAST_ROWS:
         raked = F.broadcast(raked)
     on = F.lit(True)
     for m, c in keys.items():
-        on = on & c.eqNullSafe(F.col(f"mix_{m}_key"))
-    return rows.join(raked, on).drop(*(f"mix_{m}_key" for m in MARGINS)).withColumn("mix_kept", F.coalesce(uniform(F.col(id_col), seed) < F.col("mix_probability"), F.lit(False)))
+        on = on & c.eqNullSafe(F.col(f"{m}{free}_key"))
+    return rows.join(raked, on).drop(*(f"{m}{free}_key" for m in MARGINS)).withColumn("mix_kept", F.coalesce(uniform(F.col(id_col), seed) < F.col("mix_probability"), F.lit(False)))
 
 
 def oracle(keep: float = 0.7, seed: int = 1, temper: dict[str, float] | None = None) -> str:

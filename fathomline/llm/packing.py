@@ -18,6 +18,10 @@ other, no queue is ever gathered, and a lost task is simply run again.
 2. Add up tokens by (partition, source): a table of that size, prefix sums by source.
 3. Cut every document into pieces; nothing is shuffled when that table is small.
 
+A corpus of more than ``QUEUES`` sources gives its largest ones and those with a target queues of
+their own; the others are dealt into a fixed number of joint queues by a checksum of their name,
+in which they follow each other, so the closed form stays short and no document is left out.
+
 The last, incomplete window is split into sequences whose lengths are powers of two, so there is
 no padding at all.
 
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +48,8 @@ from .common import materialise, text_slices
 
 #: Rows of the (partition, source) table up to which it is broadcast: about 8 MB.
 BROADCAST_ROWS = 100_000
-#: More sources than this would make the closed form slow; they need coarser sources.
-MAX_SOURCES = 100_000
+#: Queues: the largest sources and all with a target have their own, and beyond half this number of sources the rest share queues.
+QUEUES = 1024
 
 
 class IdEncoder:
@@ -196,6 +201,7 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    queues: int = QUEUES,
 ) -> DataFrame:
     """Pieces: (id, source, start, length, doc_tokens, sequence_id, offset, ids).
 
@@ -207,20 +213,37 @@ def pack(
         raise ValueError("window must be a power of two and quantum positive")
     tokens = materialise(tokenise(df, tokenizer_path, end_id, id_col, text_col, source_col))
     sums = tokens.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(by_source) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    names, totals = [r.source for r in by_source], [int(r.n) for r in by_source]
-    weights = {s: n / max(1, sum(totals)) for s, n in zip(names, totals)} | {s: v for s, v in (targets or {}).items() if s in set(names)}
-    if any(not v > 0 for v in weights.values()):
+    sources = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    targets = targets or {}
+    own = None  # names of the sources with their own queue, where not all have one
+    if sources.count() > queues:
+        largest = sources.orderBy(F.desc("n"), "source").limit(queues // 2).collect()
+        own = {r.source for r in largest} | set(targets)
+    joint = queues // 2
+    queue = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    if own is not None:
+        alone = F.coalesce(F.col("source").isin(*(x for x in own if x is not None)), F.lit(None in own))
+        queue = F.when(alone, queue).otherwise(F.concat(F.lit("j"), (F.crc32(F.coalesce("source", F.lit(""))) % joint).cast("string")))
+    sums = sums.withColumn("queue", queue)
+    by_queue = sums.groupBy("queue").agg(F.sum("n").alias("n"), F.count("*").alias("parts")).orderBy("queue").collect()
+    names, totals = [r.queue for r in by_queue], [int(r.n) for r in by_queue]
+    wanted = {"n" if x is None else "s" + x: v for x, v in targets.items()}
+    weights = [wanted.get(x, n / max(1, sum(totals))) for x, n in zip(names, totals)]
+    if any(not v > 0 for v in weights):
         raise ValueError("target weights must be positive")
-    deal = Deal(totals, [weights[s] for s in names], quantum, window)
-    number = {s: i for i, s in enumerate(names)}
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    deal = Deal(totals, weights, quantum, window)
+    number = {x: i for i, x in enumerate(names)}
+    earlier = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("part").alias("base_part"), F.col("source").alias("base_source"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    if sum(r.parts for r in by_source) <= BROADCAST_ROWS:
+    if sum(r.parts for r in by_queue) <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     placed = tokens.join(bases, (tokens.part == bases.base_part) & tokens.source.eqNullSafe(bases.base_source)).select("doc_id", "source", (F.col("begin") + F.col("base")).alias("begin"), "n", "ids")
+
+    def queue_of(source: str | None) -> int:
+        if own is not None and source not in own:
+            return number[f"j{zlib.crc32((source or '').encode()) % joint}"]
+        return number["n" if source is None else "s" + source]
+
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +252,7 @@ def pack(
                 rows = batch.slice(at, 1000)
                 sources, ids = rows.column("source").to_pylist(), rows.column("ids").to_pylist()
                 n = rows.column("n").to_numpy()
-                doc, start, length, sequence, offset = deal.pieces(np.array([number[s] for s in sources], np.int64), rows.column("begin").to_numpy(), n)
+                doc, start, length, sequence, offset = deal.pieces(np.array([queue_of(s) for s in sources], np.int64), rows.column("begin").to_numpy(), n)
                 wide = [np.frombuffer(x, "<u2" if len(x) == 2 * k else "<u4").astype("<u4").tobytes() for x, k in zip(ids, n)]
                 cut = [wide[d][4 * s : 4 * (s + m)] for d, s, m in zip(doc.tolist(), start.tolist(), length.tolist())]
                 take = pa.array(doc)
