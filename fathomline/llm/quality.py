@@ -3,9 +3,10 @@
 Built-in functions only. Texts are measured once (``measure``); each document becomes a short
 vector of transformed statistics in fixed point. Per (language, source) the minimum covariance
 determinant is found by concentration steps: from each of several deterministic starts, keep the
-fraction ``H`` of documents with the smallest distances, take their mean and covariance, repeat;
-the start whose covariance has the least determinant wins. A document goes when its squared
-Mahalanobis distance under that estimate passes ``CUTOFF`` times the chi-square quantile.
+fraction ``H`` of documents with the smallest distances, take their mean and covariance, repeat.
+After ``STEPS`` steps the start whose covariance has the least determinant goes on alone, until no
+group's determinant falls any more. A document goes when its squared Mahalanobis distance under
+that estimate passes ``CUTOFF`` times the chi-square quantile.
 
 A concentration step is one pass over the small table of vectors: sums by (start, group,
 distance class), combined before the shuffle, so a group with a third of all rows costs no more
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SPACE = r"[ \t-\r]+"
-#: Scale of the fixed-point vectors, and the range that keeps sums of products exact.
-SCALE, LIMIT = 1000, 20_000
+#: Scale of the fixed-point vectors, and the value from which on they grow with the logarithm: no statistic
+#: is cut off, and sums of products stay exact.
+SCALE, SOFT = 1000, 20_000
 #: Statistics: name, least standard deviation.
 STATS = (("length", 0.35), ("word_len", 0.6), ("symbols", 0.06), ("repeats", 0.06), ("dup_lines", 0.06), ("capitals", 0.05))
-#: Fraction of a group that the determinant is minimised over; concentration steps; rows of the prior.
-H, STEPS, PRIOR = 0.75, 3, 50
+#: Fraction of a group that the determinant is minimised over; concentration steps of every start; rows of the prior.
+H, STEPS, PRIOR = 0.75, 2, 50
+#: Fall of a determinant's logarithm that counts as one.
+FALL = 1e-3
 #: The chi-square level, and the factor that clean but heavy-tailed statistics need.
 LEVEL, CUTOFF = 0.9999, 1.6
 #: Rows of group estimates up to which they are broadcast: a few MB.
@@ -94,7 +98,8 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _vector() -> list[Column]:
     c, words, chars = F.col, F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     raw = (F.log1p(c("n_words").cast("double")), c("word_chars") / words, c("n_symbols") / words, c("n_repeat_words") / words, c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1)), F.sqrt(c("n_capitals") / chars))
-    return [F.least(F.greatest(F.round(x * SCALE), F.lit(-LIMIT)), F.lit(LIMIT)).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
+    # All are positive or zero.
+    return [F.round(F.when(x * SCALE <= SOFT, x * SCALE).otherwise(SOFT * (1 + F.log(x * SCALE / SOFT)))).cast("long").alias(f"x{i}") for i, x in enumerate(raw)]
 
 
 def chi2_cdf(x: float, k: float) -> float:
@@ -119,49 +124,36 @@ def chi2_quantile(p: float, k: float) -> float:
     return high
 
 
-def _factor(p: int, cov) -> tuple[list[tuple[str, Column]], Column]:
-    """Cholesky factor of the matrix whose element (i, j) is ``cov(i, j)``, as chained columns."""
-    out: list[tuple[str, Column]] = []
+# The estimates are built from SQL text: one call into the JVM an expression, where column objects need one an operator.
+
+
+def _factor(p: int) -> list[str]:
+    """Cholesky factor l of the matrix in columns c, each element by those before it, and ``logdet``."""
+    out = []
     for i in range(p):
         for j in range(i + 1):
-            rest = cov(i, j)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}")
-            out.append((f"l{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}_{j}")))
-    logdet = sum((F.log(F.col(f"l{i}_{i}")) for i in range(p)), F.lit(0.0)) * 2
-    return out, logdet
+            rest = " - ".join([f"c{i}_{j}", *(f"l{i}_{k} * l{j}_{k}" for k in range(j))])
+            out.append(f"sqrt(greatest({rest}, 1e-9D)) AS l{i}_{j}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
+    return [*out, f"2 * ({' + '.join(f'ln(l{i}_{i})' for i in range(p))}) AS logdet"]
 
 
-def _distance(p: int) -> Column:
-    """Squared Mahalanobis distance of x under columns m and l (forward substitution, each term bound once)."""
-    def step(i: int, y: list[Column]) -> Column:
-        if i == p:
-            return sum((v * v for v in y), F.lit(0.0))
-        rest = (F.col(f"x{i}") / SCALE) - F.col(f"m{i}")
-        for k in range(i):
-            rest = rest - F.col(f"l{i}_{k}") * y[k]
-        return _let(rest / F.col(f"l{i}_{i}"), lambda v: step(i + 1, [*y, v]))
-
-    return step(0, [])
+def _with_distance(rows: DataFrame, p: int) -> DataFrame:
+    """Adds ``d2``, the squared Mahalanobis distance of x under columns m and l, which go: forward substitution, a column a term."""
+    terms = [f"({' - '.join([f'x{i} / {SCALE}D', f'm{i}', *(f'l{i}_{k} * _y{k}' for k in range(i))])}) / l{i}_{i} AS _y{i}" for i in range(p)]
+    gone = {*(f"m{i}" for i in range(p)), *(f"l{i}_{j}" for i in range(p) for j in range(i + 1))}
+    return rows.selectExpr("*", *terms).selectExpr(*(f"`{c}`" for c in rows.columns if c not in gone), f"{' + '.join(f'_y{i} * _y{i}' for i in range(p))} AS d2")
 
 
 def _estimates(sums: DataFrame, p: int, consistency: float) -> DataFrame:
     """(start, lang, source, m*, l*, logdet) from sums n, s*, q*_* by (start, lang, source)."""
-    n = F.col("n").cast("double")
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    over = Window.partitionBy("start", "lang")
-    pool = sums
-    for name in ("n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs)):
-        pool = pool.withColumn(f"{name}_all", F.sum(name).over(over))
-    moment = lambda tail, i, j: (F.col(f"q{i}_{j}{tail}").cast("double") / F.col(f"n{tail}") - (F.col(f"s{i}{tail}").cast("double") / F.col(f"n{tail}")) * (F.col(f"s{j}{tail}").cast("double") / F.col(f"n{tail}"))) / SCALE**2
-    mix = n / (n + PRIOR)
-    mean = [(F.col(f"s{i}").cast("double") / n * mix + F.col(f"s{i}_all").cast("double") / F.col("n_all") * (1 - mix)) / SCALE for i in range(p)]
-    cov = [((moment("", i, j) * mix + moment("_all", i, j) * (1 - mix)) * consistency + F.lit(STATS[i][1] ** 2 if i == j else 0.0)).alias(f"c{i}_{j}") for i, j in pairs]
-    out = pool.select("start", "lang", "source", *(m.alias(f"m{i}") for i, m in enumerate(mean)), *cov)
-    factor, logdet = _factor(p, lambda i, j: F.col(f"c{i}_{j}"))
-    for name, column in factor:
-        out = out.withColumn(name, column)
-    return out.withColumn("logdet", logdet).drop(*(f"c{i}_{j}" for i, j in pairs))
+    names = ["n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs)]
+    pool = sums.selectExpr("start", "lang", "source", *(f"CAST({x} AS DOUBLE) AS {x}" for x in names), *(f"CAST(sum({x}) OVER (PARTITION BY start, lang) AS DOUBLE) AS {x}_all" for x in names), f"CAST(n AS DOUBLE) / (n + {PRIOR}) AS mix")
+    mean = [f"(s{i} / n * mix + s{i}_all / n_all * (1 - mix)) / {SCALE} AS m{i}" for i in range(p)]
+    moment = lambda tail, i, j: f"(q{i}_{j}{tail} / n{tail} - (s{i}{tail} / n{tail}) * (s{j}{tail} / n{tail})) / {SCALE**2}"
+    cov = [f"({moment('', i, j)} * mix + {moment('_all', i, j)} * (1 - mix)) * {consistency!r}D + {STATS[i][1] ** 2 if i == j else 0.0!r}D AS c{i}_{j}" for i, j in pairs]
+    out = pool.selectExpr("start", "lang", "source", *mean, *cov)
+    return out.selectExpr("*", *_factor(p)).drop(*(f"c{i}_{j}" for i, j in pairs))
 
 
 def _attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -176,8 +168,8 @@ def _attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: int) -> D
 def robust_outliers(vectors: DataFrame, p: int = len(STATS)) -> DataFrame:
     """``vectors`` (doc_id, lang, source, x*) with ``d2``: the squared distance under its group's estimate."""
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(p)), *(F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"q{i}_{j}") for i, j in pairs)]
-    added = [F.sum(c).alias(c) for c in ("n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs))]
+    sums = [F.expr(x) for x in ("count(*) AS n", *(f"sum(x{i}) AS s{i}" for i in range(p)), *(f"sum(CAST(x{i} * x{j} AS DECIMAL(20,0))) AS q{i}_{j}" for i, j in pairs))]
+    added = [F.expr(f"sum({c}) AS {c}") for c in ("n", *(f"s{i}" for i in range(p)), *(f"q{i}_{j}" for i, j in pairs))]
     consistency = H / chi2_cdf(chi2_quantile(H, p), p + 2)
     whole, vectors = vectors, vectors.select("doc_id", "lang", "source", *(f"x{i}" for i in range(p)))
     # Starts: all rows; the half with the smaller hashes; the rows near the medians of the group.
@@ -187,18 +179,31 @@ def robust_outliers(vectors: DataFrame, p: int = len(STATS)) -> DataFrame:
     near = sum((F.abs(F.col(f"x{i}") - F.col(f"c{i}")) / (SCALE * STATS[i][1]) for i in range(p)), F.lit(0.0)) <= 2.0 * p
     started = _attach(vectors, medians, ["lang", "source"], groups).withColumn("start", F.explode(F.array_compact(F.array(F.lit(0), F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit(1)), F.when(near, F.lit(2))))))
     estimate = materialise(_estimates(started.groupBy("start", "lang", "source").agg(*sums), p, 1.0))
-    every = vectors.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     keys = ["start", "lang", "source"]
-    for _ in range(STEPS):
-        banded = _attach(every, estimate, keys, 3 * groups).withColumn("band", F.floor(F.log(_distance(p) + 1e-6) * 32))
-        bands = materialise(banded.groupBy(*keys, "band").agg(*sums))
+
+    def concentrated(starts: list[int], estimate: DataFrame) -> DataFrame:
+        """Estimates from the fraction H of each group with the smallest distances under ``estimate``."""
+        every = vectors.withColumn("start", F.explode(F.array(*map(F.lit, starts))))
+        banded = _with_distance(_attach(every, estimate.drop("logdet"), keys, len(starts) * groups), p).withColumn("band", F.floor(F.log(F.col("d2") + 1e-6) * 32))
+        bands = banded.groupBy(*keys, "band").agg(*sums)
         window = Window.partitionBy(*keys)
         reach = bands.withColumn("before", F.coalesce(F.sum("n").over(window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(window))
-        estimate = materialise(_estimates(reach.where(F.col("before") < F.col("all") * H).groupBy(*keys).agg(*added), p, consistency))
+        return _estimates(reach.where(F.col("before") < F.col("all") * H).groupBy(*keys).agg(*added), p, consistency)
+
+    for _ in range(STEPS):
+        estimate = materialise(concentrated([0, 1, 2], estimate))
     best = Window.partitionBy("lang", "source").orderBy("logdet", "start")
-    chosen = estimate.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn", "start", "logdet")
-    joined = _attach(whole, chosen, ["lang", "source"], groups)
-    return joined.select(*whole.columns, _distance(p).alias("d2"))
+    chosen = materialise(estimate.withColumn("rn", F.row_number().over(best)).where("rn = 1").drop("rn").withColumn("start", F.lit(0)))
+    # Each round that goes on has lowered some determinant by ``FALL``, and the floors bound them from below.
+    while True:
+        both = chosen.withColumn("later", F.lit(0)).unionByName(concentrated([0], chosen).withColumn("later", F.lit(1)))
+        least = both.groupBy("lang", "source").agg(F.min_by(F.struct(*both.columns), F.struct(F.col("logdet") + F.col("later") * FALL, "later")).alias("e"))
+        chosen = materialise(least.select("e.*"))
+        fell = not chosen.where("later = 1").isEmpty()
+        chosen = chosen.drop("later")
+        if not fell:
+            break
+    return _with_distance(_attach(whole, chosen.drop("start", "logdet"), ["lang", "source"], groups), p)
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: bool = False) -> DataFrame:
