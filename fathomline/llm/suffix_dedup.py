@@ -9,12 +9,12 @@ judged on the input.
    with one anchor form a run of about ``(L - K) / 2``; a run's context is the text that its
    strings cover. Runs are keyed by the anchor's hash and carry a 64-bit hash of their context.
 2. *Same contexts.* Of runs with the same key and context, all but the earliest are repeats in
-   whole; that is settled within a slice first, so a passage found in a third of all documents
+   whole (two different contexts around one anchor pass for equal with a chance of 2^-64); that is settled within a slice first, so a passage found in a third of all documents
    reaches a shuffle once a slice, and then within the key's bucket.
 3. *Suffix arrays.* A key with several different contexts needs its texts: their bytes are
    fetched, and each bucket's contexts form one shard text. Its suffix array comes from induced
-   sorting (classify suffixes, sort the leftmost-smaller substrings and name them, recurse on the
-   names, induce the rest linearly), and common prefixes are computed in permuted (text) order.
+   sorting at every level (classify suffixes, sort the leftmost-smaller substrings and name them,
+   recurse on the names, induce the rest linearly), and common prefixes are computed in permuted (text) order.
    Neighbours in the array that share 100 bytes are equal strings; all but the earliest repeat.
 4. *Cut.* Repeats meet their documents by id; overlapping ones merge to spans, which are removed.
 
@@ -22,7 +22,7 @@ What travels is packed arrays of numbers (a few bytes a run) in a fixed number o
 are dealt out once, by document. No group is gathered beyond one bucket, and a bucket's size
 falls as their number grows with the input.
 
-Edge cases: null text is empty; texts under 100 bytes can't repeat; equal documents all go but
+Edge cases: null text is empty; a very long text is worked through in blocks; texts under 100 bytes can't repeat; equal documents all go but
 the one with the smallest id; rows of one id and one text are one document, so they get equal
 results and don't repeat each other; rows of one id and different texts are told apart by 32 bits
 of their text's hash, which also order them; a row without an id has no place in that order: it is
@@ -45,6 +45,8 @@ from .common import text_slices, utf8_buffers
 K = 24
 #: Bytes of text per bucket of documents, and per bucket of runs.
 BUCKET_BYTES = 12 << 20
+#: Bytes that windows are computed over at a time.
+BLOCK = 1 << 20
 #: Runs that a task settles among themselves before it sends them: about 16 MB of text.
 SLICE_RUNS = 400_000
 RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<i4"), ("n", "<i4"), ("home", "<i4")])
@@ -78,8 +80,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < length:
         return none
+    if len(data) >= 1 << 23:
+        raise ValueError("longer data must come in blocks")
     grams = gram_hashes(data)
-    bits = np.uint64(max(23, int(len(data)).bit_length()))  # alike for all usual slices, so equal strings tie alike
+    bits = np.uint64(23)  # alike everywhere, so equal strings tie alike
     low = (np.uint64(1) << bits) - np.uint64(1)
     packed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     width, done, least = length - K + 1, 1, packed
@@ -113,6 +117,18 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return row[begin], begin - offsets[row[begin]], count, grams[where], context
 
 
+def runs_in_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``runs`` of data of any size: blocks of starts, each with the bytes that its last strings reach into."""
+    found = []
+    for begin in range(0, max(1, len(data)), BLOCK):
+        end = min(len(data), begin + BLOCK + length - 1)
+        first, last = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+        row, start, *rest = runs(data[begin:end], np.clip(offsets[first : last + 1], begin, end) - begin, length)
+        row = row + first
+        found.append((row, start + np.maximum(begin - offsets[row], 0), *rest))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 # ---- suffix arrays --------------------------------------------------------------------------
 
 
@@ -181,8 +197,49 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.nda
     return sa
 
 
+def _induce_each(text: np.ndarray, small: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The same two sweeps entry by entry, for alphabets whose buckets are too small for blocks."""
+    n = len(text)
+    chars = text.tolist()
+    # Whether the suffix before i exists and is larger, or smaller, than its successor; n stands for an empty place.
+    after_large, after_small = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    after_large[1:n], after_small[1:n] = ~small[:-1], small[:-1]
+    sa = np.full(n, n, np.int64)
+    _place(sa, starts[1:].copy(), text[lms][::-1], lms[::-1], False)
+    sa = sa.tolist()
+    head, flags = starts[:-1].tolist(), after_large.tobytes()
+    if not small[n - 1]:  # the last suffix of the text comes first in its bucket
+        c = chars[n - 1]
+        sa[head[c]] = n - 1
+        head[c] += 1
+    for i in sa:  # ascending; the list is read as it is being filled
+        if flags[i]:
+            i -= 1
+            c = chars[i]
+            at = head[c]
+            sa[at] = i
+            head[c] = at + 1
+    tail, flags = starts[1:].tolist(), after_small.tobytes()
+    if small[n - 1]:
+        c = chars[n - 1]
+        tail[c] -= 1
+        sa[tail[c]] = n - 1
+    for i in reversed(sa):  # descending, over the places of the leftmost-smaller ones
+        if flags[i]:
+            i -= 1
+            c = chars[i]
+            at = tail[c] - 1
+            sa[at] = i
+            tail[c] = at
+    return np.array(sa, np.int64)
+
+
+#: Average bucket from which on the block sweeps are the faster ones; both give the same array.
+BLOCK_BUCKET = 64
+
+
 def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array of an integer text over 0 .. size - 1; the end is smaller than any symbol."""
+    """Suffix array of an integer text over 0 .. size - 1 by induced sorting at every level; the end is smaller than any symbol."""
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -194,8 +251,9 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     small = np.concatenate([step > 0, [False]])[nxt]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     starts = _starts(text, size)
+    induce = _induce if n >= BLOCK_BUCKET * np.count_nonzero(np.diff(starts)) else _induce_each
     if len(lms):
-        first = _induce(text, small, lms, starts)
+        first = induce(text, small, lms, starts)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = first[is_lms[first]]
@@ -217,26 +275,9 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
         names[order] = np.concatenate([[0], np.cumsum(~same)])
         if names[order[-1]] + 1 < len(lms):
             reduced = names[lms]
-            ranked = suffix_array(reduced, int(reduced.max()) + 1) if reduced.max() < 4096 else _doubled(reduced)
-            order = lms[ranked]
+            order = lms[suffix_array(reduced, int(reduced.max()) + 1)]
         lms = order
-    return _induce(text, small, lms, starts)
-
-
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a text with a large alphabet, whose buckets are too small for block sweeps: doubled ranks."""
-    n, rank, span = len(names), names.copy(), 1
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - span] = rank[span:] + 1
-        key = rank * (n + 1) + follow if span > 1 else rank * (int(names.max()) + 2) + follow
-        order = np.argsort(key, kind="stable")
-        step = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(step)])
-        span *= 2
-        if rank[order[-1]] == n - 1 or span >= n:
-            return order
+    return induce(text, small, lms, starts)
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
@@ -349,10 +390,11 @@ def _messages(rows: list[tuple[int, str, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "kind", "data"])
 
 
-def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, carry: list[str] | None = None) -> DataFrame:
-    """(id, n_bytes, n_removed, spans, kept) for every row, and the columns named in ``carry``.
+def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, carry: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, spans, kept) for every row, and the columns named in ``carry`` as the struct ``carried``.
 
-    ``spans`` are the removed runs as (start, end) byte places, ``kept`` the remaining bytes.
+    ``spans`` are the removed runs as (start, end) byte places, ``kept`` the remaining bytes. With
+    ``whole_characters`` what a cut leaves of a character at its edges goes as well, so ``kept`` is text.
     """
     if length < K + 8:
         raise ValueError(f"length must be {K + 8} or more")
@@ -382,7 +424,7 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
 
         for part in text_slices(batches, "text", 1 << 20):
             data, offsets = utf8_buffers(part["text"])
-            row, start, count, key, context = runs(data, offsets, length)
+            row, start, count, key, context = runs_in_blocks(data, offsets, length)
             found = np.zeros(len(row), RUN)
             found["key"], found["ctx"], found["start"], found["n"] = key, context, start, count
             found["doc"], found["sig"] = part["doc"].to_numpy()[row], part["sig"].to_numpy()[row]
@@ -487,8 +529,12 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
                 at = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
                 merged = list(zip(low[at].tolist(), reach[np.concatenate([at[1:] - 1, [len(low) - 1]])].tolist()))
             edges = [0, *(x for span in merged for x in span), len(raw)]
-            kept = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-            out.append((doc, len(raw), len(raw) - len(kept), [{"start": x, "end": y} for x, y in merged], kept, *others))
+            parts = [raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
+            left = sum(map(len, parts))
+            if whole_characters and merged:
+                parts = [x.decode("utf-8", "ignore").encode() for x in parts]
+            kept = b"".join(parts)
+            out.append((doc, len(raw), len(raw) - left, [{"start": x, "end": y} for x, y in merged], kept, *others))
         return pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "spans", "kept", *extra])
 
     held = texts.mapInArrow(_homes(buckets), "doc long, text string, bucket int" + types + ", sig long").repartition(buckets, "bucket")
@@ -499,9 +545,8 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     raw = F.encode("text", "UTF-8")
     untouched = nameless.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), raw.alias("kept"), *extra)
     result = result.unionByName(untouched)
-    for name, x in [(id_col, "doc"), *zip(carry, extra)]:
-        result = result.withColumnRenamed(x, name)
-    return result
+    own = [F.col("doc").alias(id_col), "n_bytes", "n_removed", "spans", "kept"]
+    return result.select(*own, *([F.struct(*(F.col(x).alias(c) for c, x in zip(carry, extra))).alias("carried")] if carry else []))
 
 
 def _homes(buckets: int):

@@ -1,6 +1,7 @@
 """Suffix-array dedup of tables whose rows repeat or share an id."""
 
 import corpus_pipeline
+import numpy as np
 from fathomline.llm import suffix_dedup
 from fathomline.llm.common import materialise
 
@@ -26,3 +27,29 @@ def test_repeated_rows_and_shared_ids(spark):
         assert three[0] == three[1] and len(three[0]) < 100
     stage = dict(corpus_pipeline.STAGES)["suffix-array dedup"]
     assert {1, 2, 4} <= {r.doc_id for r in materialise(stage(spark, docs, "")).collect()}
+
+
+def test_long_texts_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 123, 6000).astype(np.uint8).tobytes()
+    texts = [base, base[1000:4000], b"x" * 50 + base[2500:2700] + b"y" * 30, b"", base[:99], base[3500:6000] + base[:100]]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    strings = lambda r: sorted((row, s + k, key) for row, s, n, key, _ in zip(*(x.tolist() for x in r)) for k in range(n))
+    whole = strings(suffix_dedup.runs(data, offsets, 100))
+    for block in (64, 100, 1000, 5000):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        assert strings(suffix_dedup.runs_in_blocks(data, offsets, 100)) == whole
+
+
+def test_every_level_is_induced(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [rng.integers(97, 101, int(rng.integers(2, 7))).astype(np.uint8).tobytes() for _ in range(3000)]
+    raw = b" ".join(words[i] for i in rng.integers(0, 3000, 30000))  # more names than any block sweep would take
+    text = np.frombuffer(raw, np.uint8)
+    sizes = []
+    inner = suffix_dedup._induce_each
+    monkeypatch.setattr(suffix_dedup, "_induce_each", lambda t, *a: sizes.append(int(t.max())) or inner(t, *a))
+    array = suffix_dedup.suffix_array(text, 256)
+    assert max(sizes) > 4096 and sorted(array.tolist()) == list(range(len(raw)))
+    assert all(raw[a : a + 400] < raw[b : b + 400] for a, b in zip(array[:-1].tolist(), array[1:].tolist()))
