@@ -67,8 +67,55 @@ def env_name(x: Column) -> Column:
 
 
 #: Parts of names of sensitive variables.
-SENSITIVE = ("SECRET", "KEY", "TOKEN", "PASSWORD", "PASS", "PRIVATE", "CREDENTIAL", "AUTH", "API_KEY", "DATABASE_URL", "DSN", "CERT", "SALT", "SIGNING", "ENCRYPTION", "WEBHOOK")
+SENSITIVE = (
+    "SECRET", "KEY", "TOKEN", "PASSWORD", "PRIVATE", "CREDENTIAL", "DATABASE_URL", "DB_URL",
+    "REDIS_URL", "MONGO_URL", "CONNECTION_STRING", "AUTH", "API_KEY", "AWS_", "GCP_", "AZURE_",
+)
+#: Beginnings of names of variables that reach browsers.
+PUBLIC = ("NEXT_PUBLIC_", "VITE_")
+#: Last directory name -> role of a module.
+ROLES = {
+    "scanners": "discovery", "scan": "discovery", "scanner": "discovery",
+    "generators": "generation", "gen": "generation", "generator": "generation",
+    "validators": "validation", "validator": "validation", "validation": "validation",
+    "indexers": "indexing", "indexer": "indexing", "index": "indexing",
+    "parsers": "parsing", "parser": "parsing",
+    "mcp": "mcp",
+    "tests": "testing", "test": "testing", "__tests__": "testing", "spec": "testing",
+    "utils": "utility", "util": "utility", "helpers": "utility", "helper": "utility", "lib": "utility", "common": "utility",
+    "api": "api", "routes": "api", "controllers": "api", "handlers": "api",
+    "models": "data", "entities": "data", "schemas": "data",
+    "services": "service", "service": "service",
+    "middleware": "middleware", "middlewares": "middleware",
+    "config": "config", "configs": "config", "settings": "config",
+    "migrations": "migration", "migrate": "migration",
+    "bin": "cli", "cmd": "cli", "cli": "cli",
+    "data": "data",
+    "bridge": "bridge",
+    "freshness": "tracking",
+}
+
+
+def lookup(table: dict[str, str], name: Column, default: str | None = None) -> Column:
+    """The name's value in a small fixed table."""
+    found = F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), name)
+    return F.coalesce(found, F.lit(default)) if default is not None else found
+
+
+def module_role(module: Column) -> Column:
+    """Role of a directory by its last name."""
+    return lookup(ROLES, F.substring_index(module, "/", -1), "module")
 
 
 def sensitive_name(x: Column) -> Column:
     return F.upper(x).rlike("|".join(SENSITIVE))
+
+
+def public_name(x: Column) -> Column:
+    return x.startswith(PUBLIC[0]) | x.startswith(PUBLIC[1])
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of leading characters that two strings share, in one pass over both."""
+    differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differs == 0, F.length(a)).otherwise(differs - 1).cast("int")

@@ -24,19 +24,20 @@ def count_lines(content: Column) -> Column:
     return (F.regexp_count(content, F.lit("\n")) + F.when((content != "") & ~content.endswith("\n"), 1).otherwise(0)).cast("long")
 
 
-def _comment(t: Column) -> Column:
-    return t.startswith("//") | t.startswith("#") | t.startswith("*") | t.startswith("/*")
+#: White space inside a line, and the flags under which only a line feed ends lines.
+_GAP, _LINES = r"[ \t\r\f\x0B]*", "(?dm)"
+_WORD = r"[\p{IsAlphabetic}\p{N}_]"
+
+
+def _count(content: Column, pattern: str) -> Column:
+    return F.regexp_count(content, F.lit(pattern))
 
 
 def cyclomatic(content: Column) -> Column:
     """1, and for every line that is no comment its decision words, && and ||, and one for ? with :."""
-    def of(line: Column) -> Column:
-        t = trim(line)
-        words = F.size(F.filter(F.split(t, r"[^\p{IsAlphabetic}\p{N}_]"), lambda w: w.isin(*DECISIONS)))
-        n = words + F.regexp_count(t, F.lit("&&")) + F.regexp_count(t, F.lit(r"\|\|")) + F.when(t.contains("?") & t.contains(":"), 1).otherwise(0)
-        return F.when((t == "") | _comment(t), 0).otherwise(n)
-
-    return F.aggregate(F.transform(lines(content), of), F.lit(1), lambda a, x: a + x).cast("long")
+    code = F.regexp_replace(content, rf"{_LINES}^{_GAP}(?://|#|\*|/\*).*$", "")
+    words = _count(code, rf"(?<!{_WORD})(?:{'|'.join(DECISIONS)})(?!{_WORD})")
+    return (1 + words + _count(code, "&&") + _count(code, r"\|\|") + _count(code, rf"{_LINES}^(?=.*\?)(?=.*:).*$")).cast("long")
 
 
 def logical_loc(content: Column) -> Column:
@@ -60,17 +61,26 @@ def func_line(line: Column) -> Column:
 
 
 def code_patterns(content: Column) -> Column:
-    """Names of the size and style limits that a file passes, in fixed order."""
-    count = lambda test: F.size(F.filter(lines(content), test))
-    todo = lambda x: F.upper(x).contains("TODO") | F.upper(x).contains("FIXME") | F.upper(x).contains("HACK")
-    deep = lambda x: (F.octet_length(F.regexp_extract(x, r"^\s*", 0)) >= 20) | x.startswith("\t" * 5)
+    """Names of the size and style limits that a file passes, in fixed order; each pattern consumes whole lines."""
+    functions = rf"{_LINES}^(?:{_GAP}(?:def |fn |func )|.*function |(?=.*=>).*const ).*$"
     return F.array_compact(F.array(
-        F.when(F.size(lines(content)) > 500, "large_file"),
-        F.when(count(func_line) > 20, "many_functions"),
-        F.when(count(todo) > 5, "many_todos"),
-        F.when(count(deep) > 10, "deep_nesting"),
+        F.when(count_lines(content) > 500, "large_file"),
+        F.when(_count(content, functions) > 20, "many_functions"),
+        F.when(_count(F.upper(content), r"[^\n]*(?:TODO|FIXME|HACK)[^\n]*") > 5, "many_todos"),
+        F.when(_count(content, rf"{_LINES}^(?:[ \t\r\f\x0B]{{20}}|\t{{5}}).*$") > 10, "deep_nesting"),
     ))
 
 
 def secrets(content: Column) -> Column:
     return content.rlike(SECRET)
+
+
+def fenced_command(content: Column, label: str) -> Column:
+    """First line inside ``` fences that names the label in any case, trimmed; null if none does."""
+    def step(state: Column, line: Column) -> Column:
+        t = trim(line)
+        fence = t.startswith("```")
+        hit = state["inside"] & ~fence & (t != "") & F.lower(t).contains(label.lower())
+        return F.struct(F.when(fence, ~state["inside"]).otherwise(state["inside"]).alias("inside"), F.coalesce(state["found"], F.when(hit, t)).alias("found"))
+
+    return F.aggregate(lines(content), F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("found")), step)["found"]

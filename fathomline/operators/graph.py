@@ -18,35 +18,74 @@ def path_keys(files: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max("path").alias("target"))
 
 
+def _nearest_of_stem(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, import, target): of the files whose stem is the import, the one that shares the longest prefix with the source.
+
+    In path order the longest prefix is shared by the source's neighbour before or after; the first
+    path with that prefix then is the next one from the prefix on. Two sorts by stem, no pairs.
+    """
+    stems = files.select(paths.stem(F.col("path")).alias("stem"), F.col("path").alias("at"), F.lit(1).alias("file"), F.lit(None).cast("string").alias("source"))
+    order = Window.partitionBy("stem").orderBy("at", "file")
+    here = F.when(F.col("file") == 1, F.col("at"))
+    asks = wanted.select(F.col("import").alias("stem"), F.col("source").alias("at"), F.lit(0).alias("file"), "source")
+    near = stems.unionByName(asks).select(
+        "stem", "source", F.last(here, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first(here, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("b")
+    ).where("source is not null and (a is not null or b is not null)")
+    shared = lambda c: F.coalesce(paths.common_prefix(F.col("source"), F.col(c)), F.lit(0))
+    starts = near.select("stem", F.left("source", F.greatest(shared("a"), shared("b"))).alias("at"), F.lit(0).alias("file"), "source")
+    first = F.first(here, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    return stems.unionByName(starts).select("source", F.col("stem").alias("import"), first.alias("target")).where("source is not null")
+
+
+def _unaligned(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(k, target): the smallest path that ends with ``k``, which holds a slash, wherever in a name it begins.
+
+    A path's endings at component borders are matched with what follows the first slash of ``k``;
+    only those that are asked for are then extended letter by letter into the component before.
+    """
+    rest = F.expr("substring(k, instr(k, '/') + 1)")
+    ends = asked.select(rest.alias("tail")).distinct()
+    parts = F.split("path", "/")
+    at = lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("tail"), F.get(parts, i - 2).alias("before"))
+    cut = known.where(F.col("path").contains("/")).select("path", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), at)).alias("e")).select("path", "e.*")
+    met = cut.join(ends, "tail", "left_semi")
+    starts = F.explode(F.sequence(F.lit(0), F.length("before")))
+    grown = met.select("path", "tail", "before", starts.alias("n")).select(F.concat(F.expr("right(before, n)"), F.lit("/"), "tail").alias("k"), "path")
+    return grown.groupBy("k").agg(F.min("path").alias("target"))
+
+
 def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     """(source, import, target, tier): the first of five ways that finds a file wins.
 
     1 exact path or stripped path; 2 the same beside the source; 3 a path that ends in the import
-    (with a /); 4 the file stem, by the longest prefix shared with the source; 5 dots as slashes,
-    exact or as a suffix. Suffix tests are equi-joins on the paths' aligned suffixes.
+    (with a /), at a component's border or else anywhere; 4 the file stem, by the longest prefix
+    shared with the source; 5 dots as slashes, exact or as a path's end. Where several paths end
+    alike the smallest counts. All ways are equi-joins or sorts on a key.
     """
     keys = path_keys(files)
+    known = keys.select(F.col("target").alias("path")).distinct()
     wanted = imports.select("source", "import").distinct()
     folder = paths.dirname(F.col("source"))
-    dotted = F.replace(F.col("import"), F.lit("."), F.lit("/"))
-    tails = keys.select(F.explode(paths.suffixes(F.col("key"))).alias("tail"), "target").groupBy("tail").agg(F.min("target").alias("target"))
-    stems = files.select(paths.stem(F.col("path")).alias("stem"), F.col("path").alias("target"))
+    tails = known.select(F.explode(paths.suffixes(F.col("path"))).alias("k"), "path").groupBy("k").agg(F.min("path").alias("target"))
+    lookup = keys.withColumnRenamed("key", "k")
+    as_path = F.replace(F.col("import"), F.lit("."), F.lit("/"))
+    dotted = wanted.where(F.col("import").contains(".")).withColumn("k", as_path)
+    slashed = wanted.where(F.col("import").contains("/")).withColumn("k", F.col("import"))
+    ends = _unaligned(known, slashed.unionByName(dotted))
 
-    def tier(n: int, asked: DataFrame, key, table: DataFrame, on: str) -> DataFrame:
-        return asked.withColumn("k", key).join(table.withColumnRenamed(on, "k"), "k").select("source", "import", "target", F.lit(n).alias("tier"), F.lit(0).alias("shared"))
+    def way(rank: int, tier: int, asked: DataFrame, table: DataFrame) -> DataFrame:
+        return asked.join(table, "k").select("source", "import", "target", F.lit(tier).alias("tier"), F.lit(rank).alias("rank"))
 
-    common = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("source"), F.length("target")))), lambda i: F.substring(F.col("source"), F.lit(1), i) == F.substring(F.col("target"), F.lit(1), i)))
-    by_stem = wanted.join(stems, wanted["import"] == stems["stem"]).select("source", "import", "target", F.lit(4).alias("tier"), common.alias("shared"))
     found = (
-        tier(1, wanted, F.col("import"), keys, "key")
-        .unionByName(tier(2, wanted, F.when(folder == "", F.col("import")).otherwise(F.concat_ws("/", folder, F.col("import"))), keys, "key"))
-        .unionByName(tier(3, wanted.where(F.col("import").contains("/")), F.col("import"), tails, "tail"))
-        .unionByName(by_stem)
-        .unionByName(tier(5, wanted.where(F.col("import").contains(".")), dotted, keys, "key"))
-        .unionByName(tier(5, wanted.where(F.col("import").contains(".")), dotted, tails, "tail"))
+        way(1, 1, wanted.withColumn("k", F.col("import")), lookup)
+        .unionByName(way(2, 2, wanted.where(folder != "").withColumn("k", F.concat_ws("/", folder, F.col("import"))), lookup))
+        .unionByName(way(3, 3, slashed, tails))
+        .unionByName(way(4, 3, slashed, ends))
+        .unionByName(_nearest_of_stem(files, wanted).select("source", "import", "target", F.lit(4).alias("tier"), F.lit(5).alias("rank")))
+        .unionByName(way(6, 5, dotted, lookup))
+        .unionByName(way(7, 5, dotted, ends))
     )
-    first = Window.partitionBy("source", "import").orderBy("tier", F.desc("shared"), "target")
-    return found.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("source", "import", "target", "tier")
+    return found.groupBy("source", "import").agg(F.min_by(F.struct("target", "tier"), "rank").alias("best")).select("source", "import", "best.*")
 
 
 def edges(resolved: DataFrame) -> DataFrame:
@@ -62,6 +101,12 @@ def module_rollup(files: DataFrame, links: DataFrame) -> DataFrame:
     return own.join(out, "module", "left").join(into, "module", "left").fillna(0, ["fan_in", "fan_out"])
 
 
+def module_edges(links: DataFrame) -> DataFrame:
+    """(source, target): distinct pairs of directories that links lead between."""
+    pairs = links.select(paths.dirname(F.col("source")).alias("source"), paths.dirname(F.col("target")).alias("target"))
+    return pairs.where("source <> target").distinct()
+
+
 def circular(pairs: DataFrame) -> DataFrame:
     """(module, circular_deps): modules that import each other; ``pairs`` (source, target) of modules."""
     one = pairs.where("source <> target").select("source", "target").distinct()
@@ -73,22 +118,28 @@ def circular(pairs: DataFrame) -> DataFrame:
 def pagerank(links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """(id, rank): fixed iterations, multiple edges count, mass of vertices without edges is lost.
 
-    Edges are weighted by out-degree once and kept by source; ranks are cut from their lineage
-    every five iterations by a written table.
+    Weighted edges are dealt by source and vertices by id once and kept so; a round then shuffles
+    only the sums that the edges send, as these arrive dealt by their target, which is the next
+    round's source. Ranks are cut from their lineage every five rounds by a written table.
     """
+    spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = written(links.select("source", "target"))
     degree = links.groupBy("source").agg(F.count("*").alias("degree"))
-    weighted = written(links.join(degree, "source").groupBy("source", "target").agg((F.count("*") / F.first("degree")).alias("weight")))
-    vertices = written(links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct())
+    weights = links.join(degree, "source").groupBy("source", "target").agg((F.count("*") / F.first("degree")).alias("weight"))
+    names = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
+    weighted, vertices = weights.repartition(parts, "source").persist(), names.repartition(parts, "id").persist()
     n = vertices.count()
     if not n:
-        return vertices.withColumn("rank", F.lit(0.0))
+        return names.withColumn("rank", F.lit(0.0))
     ranks = vertices.withColumn("rank", F.lit(1.0 / n))
     for i in range(iterations):
         sent = weighted.join(ranks, weighted.source == ranks.id).groupBy("target").agg(F.sum(F.col("rank") * F.col("weight")).alias("sent"))
         ranks = vertices.join(sent, vertices.id == sent.target, "left").select("id", (F.lit((1 - DAMPING) / n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4:
+        if i % 5 == 4 or i == iterations - 1:
             ranks = written(ranks)
+    weighted.unpersist()
+    vertices.unpersist()
     return ranks
 
 

@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import graph, tables
+from ..operators.structure import OWN
 from ..sources import parsers, repo
 from ..sources.shared import written
 
-#: Last directory name -> role of a module.
-ROLES = {"tests": "tests", "test": "tests", "docs": "documentation", "src": "source", "lib": "library", "api": "api", "models": "models", "utils": "utilities", "config": "configuration", "scripts": "scripts"}
-
-
 @dataclass
 class Index:
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
     modules: DataFrame
+    parsed: DataFrame | None = None
 
     def meta(self) -> DataFrame:
         """One row: totals and the languages' counts."""
@@ -46,31 +44,56 @@ class Index:
 
     def find_tests(self, path: str = "") -> DataFrame:
         """Files whose path says test and, with a path given, names its stem; with their test functions."""
-        wanted = self.files.where(F.lower("path").rlike("test|spec"))
+        wanted = self.files.where(F.col("path").contains("test") | F.col("path").contains("spec"))
         if path:
-            stem = path.rpartition("/")[2].rsplit(".", 1)[0]
-            wanted = wanted.where(F.col("path").contains(stem))
-        named = self.symbols.where(F.lower("name").contains("test")).groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_set("name")).alias("tests"))
+            name = path.rpartition("/")[2]
+            stem = name.rsplit(".", 1)[0] if "." in name[1:] else name
+            wanted = wanted.where(F.col("path").contains(stem)) if stem else wanted.limit(0)
+        tests = self.symbols.where(F.col("name").contains("test") | F.col("name").startswith("Test"))
+        named = tests.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_set("name")).alias("tests"))
         return wanted.select("path").join(named, "path", "left")
 
 
-def build(files: DataFrame) -> Index:
-    """From (path, content, size_bytes, language)."""
-    parsed = written(parsers.parse_files(files))
-    measured = files.select("path", "size_bytes", text.count_lines(F.col("content")).alias("lines"), text.cyclomatic(F.col("content")).alias("complexity"), text.logical_loc(F.col("content")).alias("logical_loc"), text.code_patterns(F.col("content")).alias("patterns"))
+def file_metrics(content: Column) -> list[Column]:
+    """Lines, complexity, logical lines and patterns of a file's text."""
+    return [text.count_lines(content).alias("lines"), text.cyclomatic(content).alias("complexity"), text.logical_loc(content).alias("logical_loc"), text.code_patterns(content).alias("patterns")]
+
+
+def parsed_files(files: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """(path, hash, language, symbols, imports, exports); a file whose path and hash are in ``previous`` is taken from there."""
+    hashed = files.withColumn("hash", F.sha2("content", 256))
+    if previous is None:
+        return written(parsers.parse_files(hashed).join(hashed.select("path", "hash"), "path"))
+    same = previous.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi")
+    changed = hashed.join(previous.select("path", "hash"), ["path", "hash"], "left_anti")
+    fresh = parsers.parse_files(changed).join(changed.select("path", "hash"), "path")
+    return written(same.unionByName(fresh.select(*same.columns)))
+
+
+def build(files: DataFrame, previous: DataFrame | None = None) -> Index:
+    """From (path, content, size_bytes, language); ``previous`` is an earlier index's ``parsed``, whose unchanged files aren't parsed again."""
+    parsed = parsed_files(files, previous)
+    measured = files.select("path", "size_bytes", *file_metrics(F.col("content")))
     symbols = parsed.select(F.explode("symbols").alias("s")).select("s.*")
     imports = parsed.select(F.col("path").alias("source"), F.explode("imports").alias("import"))
     edges = written(graph.edges(graph.resolve_imports(parsed.select("path"), imports)))
     ranks = graph.importance(graph.pagerank(edges)).select(F.col("id").alias("path"), "importance")
-    whole = parsed.join(measured, "path").join(ranks, "path", "left").fillna(0, ["importance"])
-    folders = edges.select(paths.dirname(F.col("source")).alias("source"), paths.dirname(F.col("target")).alias("target"))
-    role = F.coalesce(F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))[F.substring_index("module", "/", -1)], F.lit("module"))
-    modules = graph.module_rollup(parsed.select("path", F.size("symbols").alias("n_symbols")), edges).join(graph.circular(folders), "module", "left").withColumn("role", role)
-    return Index(written(whole), symbols, edges, modules)
+    whole = parsed.drop("hash").join(measured, "path").join(ranks, "path", "left").fillna(0, ["importance"])
+    folders = graph.module_edges(edges)
+    modules = graph.module_rollup(parsed.select("path", F.size("symbols").alias("n_symbols")), edges).join(graph.circular(folders), "module", "left").withColumn("role", paths.module_role(F.col("module")))
+    return Index(written(whole), symbols, edges, modules, parsed)
+
 
+def build_from(spark: SparkSession, root: str, previous: DataFrame | None = None) -> Index:
+    return build(repo.with_language(repo.scan(spark, root)), previous)
 
-def build_from(spark: SparkSession, root: str) -> Index:
-    return build(repo.with_language(repo.scan(spark, root)))
+
+def source_newer(files: DataFrame, made) -> bool:
+    """Whether a file of the listing (path, modified), but for generated and vendored ones, is newer than a time."""
+    watched = files
+    for part in (".git/", OWN, "node_modules/", "target/"):
+        watched = watched.where(~F.col("path").contains(part))
+    return not watched.where(F.col("modified") > F.lit(made)).isEmpty()
 
 
 def architecture(index: Index) -> DataFrame:
@@ -79,6 +102,4 @@ def architecture(index: Index) -> DataFrame:
     mods = index.modules.select(F.lit("Modules").alias("section"), F.format_string("%s (%s): in %d, out %d", F.when(F.col("module") == "", "(root)").otherwise(F.col("module")), "role", "fan_in", "fan_out").alias("line"))
     langs = index.files.groupBy("language").agg(F.count("*").alias("n")).select(F.lit("Languages").alias("section"), F.format_string("%s: %d", "language", "n").alias("line"))
     rows = top.unionByName(mods).unionByName(langs)
-    from pyspark.sql import Window
-
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("section").orderBy("line")))

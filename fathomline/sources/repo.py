@@ -1,13 +1,21 @@
-"""Scanning a directory of source files into (path, size_bytes, modified, content)."""
+"""Scanning a directory of source files into (path, size_bytes, modified, content).
+
+The tree is walked on the driver, as Spark's own listing is, by any file system that Arrow knows;
+Spark's file sources can't be used, as they pass over names that begin with a dot or an underscore
+(.github, __init__.py). Contents are read by the executors, after sizes and paths are tested.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import ignore
 
 #: Excluded directories and the largest file in bytes.
 EXCLUDED = (".git/", "node_modules/", "vendor/", "__pycache__/", "target/", "dist/")
@@ -33,14 +41,80 @@ def readable(content: Column) -> Column:
     return F.is_valid_utf8(content.cast("string")) & (F.locate("\0", content.cast("string")) == 0)
 
 
-def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED) -> DataFrame:
-    """All text files under ``root``: sizes and paths are tested before any content is read."""
-    base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.regexp_replace("path", f"^(file:)?/*{base.lstrip('/')}/", "")
-    files = found.where(F.col("length") <= MAX_BYTES).withColumn("path", path).where(included(F.col("path"), excluded))
-    text = files.where(readable(F.col("content")))
-    return text.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("content"))
+def _opened(root: str) -> tuple[arrow_fs.FileSystem, str]:
+    """File system and path of a directory given as a path or a URI."""
+    if "://" in root or root.startswith("file:"):
+        system, base = arrow_fs.FileSystem.from_uri(root)
+    else:
+        system, base = arrow_fs.LocalFileSystem(), root
+    return system, base.rstrip("/")
+
+
+def _text(system: arrow_fs.FileSystem, path: str) -> str:
+    with system.open_input_stream(path) as stream:
+        return stream.read().decode("utf-8", "replace")
+
+
+def walk(root: str, honour_ignores: bool = True) -> Iterator[tuple[str, int, object]]:
+    """(path, size in bytes, time) of all files below ``root`` in path order of each folder; ``.git`` is never entered.
+
+    Rules come from .git/info/exclude and the .gitignore files on the way.
+    """
+    system, base = _opened(root)
+    first: list[tuple[str, list[ignore.Rule]]] = []
+    exclude = f"{base}/.git/info/exclude"
+    if honour_ignores and system.get_file_info(exclude).type == arrow_fs.FileType.File:
+        first.append(("", ignore.parse(_text(system, exclude))))
+    todo = [("", first)]
+    while todo:
+        folder, levels = todo.pop()
+        entries = sorted(system.get_file_info(arrow_fs.FileSelector(f"{base}/{folder}".rstrip("/"))), key=lambda e: e.base_name)
+        if honour_ignores and any(e.base_name == ".gitignore" and e.type == arrow_fs.FileType.File for e in entries):
+            levels = [*levels, (folder, ignore.parse(_text(system, f"{base}/{folder}.gitignore")))]
+        below = []
+        for entry in entries:
+            path, is_folder = folder + entry.base_name, entry.type == arrow_fs.FileType.Directory
+            if is_folder and entry.base_name == ".git" or ignore.ignored(path, is_folder, levels):
+                continue
+            if is_folder:
+                below.append((path + "/", levels))
+            elif entry.type == arrow_fs.FileType.File:
+                yield path, entry.size, entry.mtime
+        todo += reversed(below)
+
+
+def listing(spark: SparkSession, root: str, honour_ignores: bool = True) -> DataFrame:
+    """(path, size_bytes, modified) of the files that a walk finds."""
+    return spark.createDataFrame(list(walk(root, honour_ignores)), "path string, size_bytes long, modified timestamp")
+
+
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """``files`` (path, ...) with their bytes as ``content``; a file that has gone meanwhile has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _opened(root)
+        for frame in frames:
+            for at in range(0, len(frame), 100):
+                part = frame.iloc[at : at + 100].copy()
+                raw = []
+                for path in part["path"]:
+                    try:
+                        with system.open_input_stream(f"{base}/{path}") as stream:
+                            raw.append(stream.read())
+                    except FileNotFoundError:
+                        raw.append(None)
+                part["content"] = raw
+                yield part
+
+    return files.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in files.dtypes) + ", content binary")
+
+
+def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED, honour_ignores: bool = True) -> DataFrame:
+    """(path, size_bytes, modified, content) of all text files under ``root``: sizes and paths are tested before any content is read."""
+    found = listing(spark, root, honour_ignores).where((F.col("size_bytes") <= MAX_BYTES) & included(F.col("path"), excluded))
+    spread = found.repartition(spark.sparkContext.defaultParallelism)
+    text = contents(spread, root).where(F.col("content").isNotNull()).where(readable(F.col("content")))
+    return text.withColumn("content", F.col("content").cast("string"))
 
 
 def with_language(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,34 @@ from .shared import written
 
 #: Ends every file that we write and may therefore overwrite.
 FOOTER = "<!-- generated -->"
+#: What follows this line in a file belongs to its reader.
+USER = "<!-- USER SECTIONS -->"
+#: Headers of the sections that the guide has itself.
+STANDARD = (
+    "## Commands", "## Invariants", "## Architecture", "## Key Locations", "## Environment Variables", "## Gotchas", "## Common Mistakes", "## Key State", "## Makefile",
+    "## Automated Enforcement", "## Skills", "## Self-Healing Workflow", "## Vault", "## Doc Sync", "## Getting Started", "## Self-Evolution", "## Session Learnings",
+)
+#: Headers that our own guide adds to them.
+OWN_HEADERS = ("## Key Files", "## Quality Tools", "## CI")
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_if_missing(df: DataFrame, path: str) -> None:
-    df.write.mode("ignore").parquet(path)
+def write_if_missing(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Writes a table in any of Spark's formats unless something is there."""
+    df.write.mode("ignore").format(kind).save(path)
+
+
+def write_text_if_missing(path: str, text: str) -> bool:
+    """Writes a file on the driver unless it is there."""
+    target = Path(path)
+    if target.exists():
+        return False
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(text)
+    return True
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "repo_name", order: str = "timestamp", fill: tuple[str, ...] = ()) -> DataFrame:
@@ -46,14 +67,34 @@ def stats(knowledge: DataFrame) -> DataFrame:
     return totals.crossJoin(names)  # one row each
 
 
+def user_sections(text: str, standard: Iterable[str] = (*STANDARD, *OWN_HEADERS)) -> str:
+    """What a reader has added to a document: all behind the mark, else the sections whose header is none of ours."""
+    _, mark, rest = text.partition(USER)
+    if mark and (own := rest.replace(FOOTER, "").strip()):
+        return own
+    kept: list[str] = []
+    own_section = False
+    for line in text.replace(FOOTER, "").splitlines():
+        if line.startswith("## "):
+            own_section = not line.startswith(tuple(standard))
+            if own_section and kept:
+                kept.append("")
+        if own_section:
+            kept.append(line)
+    return "\n".join(kept).strip()
+
+
 def write_owned(path: str, text: str) -> bool:
-    """Writes a report on the driver; a file that isn't ours stays, ours is backed up first."""
+    """Writes a report on the driver; a file that isn't ours stays. Ours is backed up first, and its reader's sections come along."""
     target = Path(path)
+    added = ""
     if target.exists():
         current = target.read_text()
         if FOOTER not in current:
             return False
         target.with_suffix(target.suffix + ".bak").write_text(current)
+        added = user_sections(current)
     target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(f"{text.rstrip()}\n\n{FOOTER}\n")
+    base = text.partition(USER)[0].rstrip()
+    target.write_text(f"{base}\n\n{USER}\n{added}\n\n{FOOTER}\n" if added else f"{base}\n\n{FOOTER}\n")
     return True

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fathomline.operators.checks import checks
+from fathomline.operators.graph import resolve_imports
 from fathomline.plans import index
 from fathomline.sources.parsers import LANGUAGES, parse
 
@@ -44,14 +44,50 @@ def test_index_of_a_repository(spark, tmp_path):
     assert (meta.total_files, meta.total_symbols, meta.total_edges, meta.languages) == (4, 3, 4, {"python": 4})
     assert made.top_files(1).first().importance == 1000
     modules = {r.module: r for r in made.modules.collect()}
-    assert modules["src"].circular_deps == ["lib"] and modules["tests"].role == "tests" and modules["src"].fan_in == 3
+    assert modules["src"].circular_deps == ["lib"] and modules["tests"].role == "testing" and modules["src"].fan_in == 3
     assert {r.fact for r in made.analyze_file("src/b.py").collect()} == {"imports_from", "imported_by"}
     assert [r.tests for r in made.find_tests("src/a.py").collect()] == [["test_one"]]
     assert [r.name for r in made.search_symbols("ON").collect()] == ["one", "test_one"]
     assert {r.section for r in index.architecture(made).collect()} == {"Key files", "Modules", "Languages"}
 
 
-def test_checks(spark):
-    files = spark.createDataFrame([("GUIDE.md", "## Commands\nlint it"), (".gitignore", "x\n.env\n"), ("a.py", "x = 1")], "path string, content string")
-    got = {r.name: r.status for r in checks(files).collect()}
-    assert got == {"guide": "PASS", "guide commands": "PASS", "ignored env": "PASS", "secrets": "PASS", "tracked env": "PASS", "command lint": "PASS", "command test": "WARN"}
+def test_index_takes_unchanged_files_from_the_one_before(spark, monkeypatch):
+    rows = [(f"src/f{i}.py", f"import f{i + 1}\n\ndef g{i}():\n    pass\n", 30, "python") for i in range(6)]
+    schema = "path string, content string, size_bytes long, language string"
+    first = index.build(spark.createDataFrame(rows, schema))
+    changed = [*rows[:5], ("src/f5.py", "def new():\n    pass\n", 20, "python"), ("src/f9.py", "X = 1\n", 6, "python")]
+    asked = []
+    inner = index.parsers.parse_files
+    monkeypatch.setattr(index.parsers, "parse_files", lambda d: asked.append(sorted(r.path for r in d.select("path").collect())) or inner(d))
+    second = index.build(spark.createDataFrame(changed, schema), first.parsed)
+    assert asked == [["src/f5.py", "src/f9.py"]]
+    whole = index.build(spark.createDataFrame(changed, schema))
+    rows_of = lambda d: sorted(map(str, d.collect()))
+    assert rows_of(second.symbols) == rows_of(whole.symbols) and rows_of(second.edges) == rows_of(whole.edges) and rows_of(second.files.select("path", "importance", "lines")) == rows_of(whole.files.select("path", "importance", "lines"))
+
+
+def test_import_ways(spark):
+    paths = ["lib/a/util.py", "web/util.py", "web/deep/util.ts", "x/b/foo.py", "y/xb/foo.py", "foo", "foo.py", "src/main.py", "web/deep/main.py"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    asked = [("src/main.py", i) for i in ("lib/a/util.py", "lib/a/util", "foo", "b/foo", "b/foo.py", "util", "a.util", "nothing", "no/thing", "xb.foo")]
+    asked += [("web/deep/main.py", "util"), ("web/deep/main.py", "util.ts"), ("web/x.py", "util")]
+    got = {(r.source, r["import"]): (r.target, r.tier) for r in resolve_imports(files, spark.createDataFrame(asked, "source string, import string")).collect()}
+    s, w = "src/main.py", "web/deep/main.py"
+    assert got == {
+        (s, "lib/a/util.py"): ("lib/a/util.py", 1), (s, "lib/a/util"): ("lib/a/util.py", 1), (s, "foo"): ("foo.py", 1), (s, "b/foo.py"): ("x/b/foo.py", 3), (s, "util"): ("lib/a/util.py", 4),
+        (w, "util"): ("web/deep/util.ts", 2), (w, "util.ts"): ("web/deep/util.ts", 2), ("web/x.py", "util"): ("web/util.py", 2),
+    }
+
+
+def test_imports_that_end_inside_a_name(spark):
+    files = spark.createDataFrame([(p,) for p in ("lib/freshness/track.sh", "z/xfreshness/track.sh", "q/a/b/c.py")], "path string")
+    asked = [("s", "ness/track.sh"), ("s", "freshness/track.sh"), ("s", "/b/c.py"), ("s", "a.b.c.py"), ("s", "ss.track.sh")]
+    got = {r["import"]: (r.target, r.tier) for r in resolve_imports(files, spark.createDataFrame(asked, "source string, import string")).collect()}
+    assert got == {"ness/track.sh": ("lib/freshness/track.sh", 3), "freshness/track.sh": ("lib/freshness/track.sh", 3), "/b/c.py": ("q/a/b/c.py", 3)}
+
+
+def test_nearest_stem_by_shared_letters(spark):
+    files = spark.createDataFrame([(p,) for p in ("a/m.py", "ab/m.py", "abc/x/m.py", "abc/y/m.py", "b/m.py", "é/ü/m.py", "é/z/m.py")], "path string")
+    asked = [("abc/y/q.py", "m"), ("abc/z.py", "m"), ("ac/z.py", "m"), ("zz.py", "m"), ("é/ü/q.py", "m"), ("", "m")]
+    got = {r.source: r.target for r in resolve_imports(files, spark.createDataFrame([(s + "", i) for s, i in asked if s], "source string, import string")).where("tier = 4").collect()}
+    assert got == {"abc/z.py": "abc/x/m.py", "ac/z.py": "a/m.py", "zz.py": "a/m.py"}

@@ -22,12 +22,44 @@ def test_owned_files(tmp_path):
     assert "two" in own.read_text() and "one" in (tmp_path / "g.md.bak").read_text() and foreign.read_text() == "mine"
 
 
+def test_sections_of_readers_stay(tmp_path):
+    own = tmp_path / "g.md"
+    sinks.write_owned(str(own), "# T\n## Commands\nmake")
+    own.write_text(own.read_text().replace("make\n", "make\n\n## Notes\nkeep me\n"))
+    sinks.write_owned(str(own), "# T\n## Commands\nmake all")
+    sinks.write_owned(str(own), "# T\n## Commands\nmake more")
+    text = own.read_text()
+    assert "make more" in text and text.count("## Notes\nkeep me") == 1 and "make all" not in text
+    assert sinks.user_sections("a\n## Gotchas\nx\n## Mine\ny\n## CI\nz\n## Other\nw") == "## Mine\ny\n\n## Other\nw"
+
+
 def test_request_loop(spark, tmp_path):
     (tmp_path / "a.py").write_text("import b\n\ndef one():\n    pass\n")
     (tmp_path / "b.py").write_text("X = 1\n")
     made = index.build_from(spark, str(tmp_path))
-    asked = ["", "{bad", *(json.dumps({"id": n, "method": m, "params": p}) for n, (m, p) in enumerate([("tools/list", {}), ("tools/call", {"name": "get_top_files", "arguments": {"limit": 1}}), ("tools/call", {"name": "get_file_symbols", "arguments": {"path": "a.py"}}), ("nope", {}), ("resources/read", {"uri": "index://meta"})]))]
-    out = [json.loads(x) for x in server.serve(made, asked)]
-    assert out[0]["error"]["code"] == -32700 and len(out[1]["result"]["tools"]) == 5
-    assert out[2]["result"] == [{"path": "b.py", "importance": 1000}] and out[3]["result"][0]["name"] == "one"
-    assert out[4]["error"]["code"] == -32603 and out[5]["result"][0]["total_files"] == 2
+    calls = [("initialize", {}), ("tools/list", {}), ("tools/call", {"name": "get_top_files", "arguments": {"limit": 1}}), ("tools/call", {"name": "get_file_symbols", "arguments": {"path": "a.py"}}), ("tools/call", {"name": "get_file_symbols", "arguments": {"path": "none"}}), ("nope", {}), ("resources/list", {}), ("resources/read", {"uri": "repo://code-index"}), ("resources/read", {"uri": "repo://manifest"})]
+    asked = ["", "{bad", *(json.dumps({"id": n, "method": m, "params": p}) for n, (m, p) in enumerate(calls))]
+    bad, *out = [json.loads(x) for x in server.serve(made, asked)]
+    assert bad["error"]["code"] == -32700 and len(out[1]["result"]["tools"]) == 7 and all(t["inputSchema"]["type"] == "object" for t in out[1]["result"]["tools"])
+    body = lambda n: json.loads(out[n]["result"]["content"][0]["text"])
+    assert body(2) == [{"path": "b.py", "importance": 1000}] and body(3)["rows"][0]["name"] == "one" and not body(3)["more"] and "none" in body(4)
+    assert out[5]["error"]["code"] == -32603 and [r["uri"] for r in out[6]["result"]["resources"]] == ["repo://code-index"]
+    assert json.loads(out[7]["result"]["contents"][0]["text"])["total_files"] == 2 and "no manifest" in out[8]["error"]["message"]
+
+
+def test_streams(spark, tmp_path):
+    from fathomline.streaming import incremental
+
+    folder, table, progress = tmp_path / "in", str(tmp_path / "latest"), str(tmp_path / "progress")
+    folder.mkdir()
+    schema = "repo_name string, timestamp string, total long"
+    stream = lambda: spark.readStream.schema(schema).json(str(folder))
+    (folder / "1.json").write_text('{"repo_name": "a", "timestamp": "1", "total": 1}\n{"repo_name": "b", "timestamp": "1", "total": 2}\n')
+    incremental.upsert_stream(stream(), table, "repo_name", "timestamp", progress)
+    (folder / "2.json").write_text('{"repo_name": "a", "timestamp": "2", "total": 5}\n')
+    out = incremental.upsert_stream(stream(), table, "repo_name", "timestamp", progress)
+    assert {r.repo_name: (r.timestamp, r.total) for r in out.collect()} == {"a": ("2", 5), "b": ("1", 2)}
+    log = lambda: incremental.append_learnings(spark, str(folder), str(tmp_path / "log"), schema, str(tmp_path / "seen"))
+    assert log().count() == 3
+    (folder / "3.json").write_text('{bad\n{"repo_name": "c", "timestamp": "3", "total": 1}\n')
+    assert log().count() == 4 and log().count() == 4
