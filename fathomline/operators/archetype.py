@@ -96,7 +96,7 @@ def package_manager(files: DataFrame) -> DataFrame:
 
 def toml_value(text: Column, key: str) -> Column:
     """Text between the first = and the next of the first line that begins with the key and has some, without quotes; whatever its section."""
-    return F.nullif(F.regexp_extract(text, rf"""(?dm)^[ \t]*{key}[^=\n]*=[ \t]*["']*([^=\n"']+?)["']*[ \t\r]*(?:=.*)?$""", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, rf"""(?dm)^[ \t]*{key}[^=\n]*=[ \t]*["']*([^\s="'][^=\n]*?)["']*[ \t\r]*(?:=.*)?$""", 1), F.lit(""))
 
 
 def identity(files: DataFrame) -> DataFrame:

@@ -1,16 +1,10 @@
-"""Ordered rule tables over file listings: languages, package managers, tools and archetypes."""
+"""Languages of one collection by marker files and extensions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Marker file -> package manager, in order of priority.
-PACKAGE_MANAGERS = (("pnpm-lock.yaml", "pnpm"), ("yarn.lock", "yarn"), ("package-lock.json", "npm"), ("Cargo.lock", "cargo"), ("poetry.lock", "poetry"), ("Pipfile.lock", "pipenv"), ("go.sum", "go"), ("Gemfile.lock", "bundler"), ("Cargo.toml", "cargo"), ("package.json", "npm"), ("go.mod", "go"), ("requirements.txt", "pip"), ("pyproject.toml", "pip"))
-#: Fixed values: (category, marker, tool), in order of priority within a category.
-TOOLS = (("linter", ".eslintrc.json", "eslint"), ("linter", "ruff.toml", "ruff"), ("linter", ".golangci.yml", "golangci-lint"), ("formatter", ".prettierrc", "prettier"), ("formatter", "rustfmt.toml", "rustfmt"), ("type_checker", "tsconfig.json", "tsc"), ("type_checker", "mypy.ini", "mypy"), ("test_framework", "jest.config.js", "jest"), ("test_framework", "pytest.ini", "pytest"))
 #: Our own registry: (language, marker files, extensions).
 LANGUAGES = (
     ("python", ("pyproject.toml", "setup.py", "requirements.txt", "Pipfile"), (".py",)),
@@ -29,21 +23,6 @@ LANGUAGES = (
 )
 
 
-def first_marker(files: DataFrame, rules: Sequence[tuple[str, str]], name: Column | str = "path") -> DataFrame:
-    """(value): of the first rule, in order, whose marker is a file's name; no row if none is."""
-    name = F.col(name) if isinstance(name, str) else name
-    markers = F.array(*(F.struct(F.lit(m).alias("marker"), F.lit(i).alias("rank"), F.lit(v).alias("value")) for i, (m, v) in enumerate(rules)))
-    hits = files.select(F.explode(F.filter(markers, lambda r: r["marker"] == name)).alias("r"))
-    return hits.agg(F.min_by("r.value", "r.rank").alias("value")).where("value is not null")
-
-
-def tool_per_category(files: DataFrame, rules: Sequence[tuple[str, str, str]] = TOOLS) -> DataFrame:
-    """(category, tool) by the first marker of every category."""
-    markers = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(m).alias("marker"), F.lit(i).alias("rank"), F.lit(t).alias("tool")) for i, (c, m, t) in enumerate(rules)))
-    hits = files.select(F.explode(F.filter(markers, lambda r: r["marker"] == F.substring_index("path", "/", -1))).alias("r"))
-    return hits.groupBy("r.category").agg(F.min_by("r.tool", "r.rank").alias("tool"))
-
-
 def language_scores(files: DataFrame, languages=LANGUAGES, cap: int = 10) -> DataFrame:
     """(language, score): marker files in the root, and per extension its files, counted up to ``cap``."""
     points = [F.struct(F.lit(lang).alias("language"), F.lit(m).alias("by"), F.lit(True).alias("exact")) for lang, marks, _ in languages for m in marks]
@@ -55,13 +34,3 @@ def language_scores(files: DataFrame, languages=LANGUAGES, cap: int = 10) -> Dat
 def main_language(files: DataFrame) -> DataFrame:
     """(language): the highest score, ties by name."""
     return language_scores(files).orderBy(F.desc("score"), "language").limit(1).select("language")
-
-
-def archetype(flags: dict[str, Column]) -> Column:
-    """First match over aggregated flags."""
-    order = ("monorepo", "data-pipeline", "ml-project", "mobile-app", "full-stack", "api-service", "web-app", "cli-tool", "library", "documentation-site", "infrastructure")
-    out: Column | None = None
-    for name in order:
-        if name in flags:
-            out = F.when(flags[name], name) if out is None else out.when(flags[name], name)
-    return F.lit("application") if out is None else out.otherwise("application")

@@ -180,12 +180,6 @@ def commands(files: DataFrame, language: Column, manager: Column) -> DataFrame:
     return facts.select("repo", *out)
 
 
-def missing_tools(tools: DataFrame) -> DataFrame:
-    """(repo, missing): categories that ``tools`` (repo, category) leaves out, in fixed order."""
-    have = tools.groupBy("repo").agg(F.collect_set("category").alias("have"))
-    return have.select("repo", F.array_except(F.array(*map(F.lit, ("linter", "formatter", "type-checker", "test-framework"))), "have").alias("missing"))
-
-
 def hooks(files: DataFrame, folder: str = ".githooks/") -> DataFrame:
     """(repo, status, detail) of the two hook files."""
     commit, push = any_of(path() == folder + "pre-commit"), any_of(path() == folder + "pre-push")
@@ -214,6 +208,25 @@ def stale(files: DataFrame, manifest: str, named: Sequence[str], folders: Sequen
     return files.groupBy("repo").agg(F.when(made.isNull() | F.coalesce(last > made, F.lit(False)), "WARN").otherwise("PASS").alias("status"))
 
 
+def source_newer(files: DataFrame, manifest: str, own: str) -> DataFrame:
+    """(repo, newer): whether a file outside version control, dependencies, build output and the engine's own folder is newer than the manifest.
+
+    ``files`` has ``mtime``; without the manifest any file is.
+    """
+    made = F.max(F.when(path() == manifest, F.col("mtime")))
+    watched = path() != manifest
+    for part in (".git/", own, "node_modules/", "target/"):
+        watched = watched & ~path().contains(part)
+    last = F.max(F.when(watched, F.col("mtime")))
+    return files.groupBy("repo").agg(F.coalesce(last > made, last.isNotNull()).alias("newer"))
+
+
+def maintained(last_commit: Column, now: Column | None = None, days: int = 90) -> Column:
+    """Whether the last commit is under 90 days old; an unknown one counts as such."""
+    now = now if now is not None else F.current_timestamp()
+    return F.coalesce(last_commit > now - F.expr(f"INTERVAL {days} DAYS"), F.lit(True))
+
+
 def start_hint(files: DataFrame, ready: Sequence[str]) -> DataFrame:
     """(repo, state, language): ready where all of those files are there, else by the version-control folder."""
     done = any_of(path() == ready[0])

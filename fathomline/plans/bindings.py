@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import paths as P
 from ..functions import text as T
-from ..operators import checks as V
 from ..operators import graph as G
 from ..operators import tables as O
-from ..sources import parsers as S
 from ..sources import repo as R
+from ..sources.shared import spread
 from ..streaming import incremental as I
 
 EXTS = (".py", ".ts", ".js", ".go", ".rs", ".rb", ".sh", ".java", ".cs", ".php", ".kt", ".swift", ".ex")
@@ -33,7 +32,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def files(spark: SparkSession, sf: str) -> DataFrame:
     ext = F.get(F.array(*(F.lit(e) for e in EXTS)), (F.col("doc_id") % 13).cast("int"))
     path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
-    return read(spark, sf, "documents").select(path.alias("path"), F.col("text").alias("content"), "doc_id", "lang", "source")
+    return spread(read(spark, sf, "documents")).select(path.alias("path"), F.col("text").alias("content"), "doc_id", "lang", "source")
 
 
 def links(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,22 +48,11 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 # ---- sources --------------------------------------------------------------------------------
 
 
-@query("s1_scan_repo", f"WITH {FILES} SELECT path, octet_length(encode(content))::BIGINT AS size_bytes FROM files WHERE octet_length(encode(content)) <= 8192")
-def s1(spark, sf):
-    size = F.octet_length("content").cast("long")
-    return files(spark, sf).where(size <= 8192).select("path", size.alias("size_bytes"))
-
-
 @query("s2_exclude_dirs", f"WITH {FILES} SELECT path FROM files WHERE NOT starts_with(path, 'src1/') AND NOT starts_with(path, 'src7/') AND NOT contains(path, '/target/')")
 def s2(spark, sf):
     return files(spark, sf).where(R.included(F.col("path"), ("src1/", "src7/"))).select("path")
 
 
-@query("s3_collect_files", f"WITH {FILES} SELECT path FROM files WHERE NOT starts_with(path, '.git/')")
-def s3(spark, sf):
-    return files(spark, sf).where(~F.col("path").startswith(".git/")).select("path")
-
-
 @query("s4_sniff_shebang", "WITH d AS (SELECT doc_id, string_split((['#!/bin/bash', '#!/usr/bin/env python3', '#!/usr/bin/ruby', '#!/usr/bin/env node', 'plain'])[doc_id % 5 + 1] || chr(10) || text, chr(10))[1] AS first FROM documents) SELECT doc_id, CASE WHEN contains(first, '/bash') OR contains(first, '/sh') THEN 'sh' WHEN contains(first, 'python') THEN 'py' WHEN contains(first, 'ruby') THEN 'rb' WHEN contains(first, 'node') THEN 'js' END AS ext FROM d")
 def s4(spark, sf):
     first = F.get(F.array(*(F.lit(x) for x in ("#!/bin/bash", "#!/usr/bin/env python3", "#!/usr/bin/ruby", "#!/usr/bin/env node", "plain"))), (F.col("doc_id") % 5).cast("int"))
@@ -110,12 +98,6 @@ def p3(spark, sf):
     return files(spark, sf).where("content <> ''").select("path", T.cyclomatic(F.col("content")).alias("complexity"))
 
 
-@query("p4_logical_loc", f"WITH {LINES}, t AS (SELECT path, {_TRIM} AS t FROM lines) SELECT path, count(*) FILTER (WHERE t <> '' AND NOT starts_with(t, '//') AND NOT starts_with(t, '#'))::BIGINT AS logical_loc FROM t GROUP BY path HAVING count(*) FILTER (WHERE starts_with(t, '/*')) = 0")
-def p4(spark, sf):
-    rows = files(spark, sf).where("content <> ''")
-    return rows.where(~F.exists(T.lines(F.col("content")), lambda x: T.trim(x).startswith("/*"))).select("path", T.logical_loc(F.col("content")).alias("logical_loc"))
-
-
 @query("p5_code_patterns", f"WITH {LINES} SELECT path, concat_ws(',', CASE WHEN count(*) > 500 THEN 'large_file' END, CASE WHEN count(*) FILTER (WHERE contains(line, 'function ') OR starts_with({_TRIM}, 'def ') OR starts_with({_TRIM}, 'fn ') OR starts_with({_TRIM}, 'func ') OR contains(line, '=>') AND contains(line, 'const ')) > 20 THEN 'many_functions' END, CASE WHEN count(*) FILTER (WHERE regexp_matches(upper(line), 'TODO|FIXME|HACK')) > 5 THEN 'many_todos' END, CASE WHEN count(*) FILTER (WHERE length(regexp_extract(line, '^\\s*')) >= 20 OR starts_with(line, repeat(chr(9), 5))) > 10 THEN 'deep_nesting' END) AS patterns FROM lines GROUP BY path")
 def p5(spark, sf):
     return files(spark, sf).where("content <> ''").select("path", F.concat_ws(",", T.code_patterns(F.col("content"))).alias("patterns"))
@@ -126,48 +108,16 @@ def p6(spark, sf):
     return O.count_by(lines(spark, sf).where(T.func_line(F.col("line"))), "path")
 
 
-@query("p7_source_dirs", f"WITH {FILES}, c(candidate, idx) AS (VALUES ('src1', 0), ('lib', 1), ('src3', 2), ('app', 3), ('src0', 4)) SELECT candidate, idx FROM c WHERE EXISTS (SELECT 1 FROM files WHERE starts_with(path, candidate || '/'))")
-def p7(spark, sf):
-    c = spark.createDataFrame([("src1", 0), ("lib", 1), ("src3", 2), ("app", 3), ("src0", 4)], "candidate string, idx int")
-    heads = files(spark, sf).select(F.substring_index("path", "/", 1).alias("candidate")).distinct()
-    return F.broadcast(c).join(heads, "candidate", "left_semi")  # five rows
-
-
-@query("p8_entry_points", f"WITH {FILES} SELECT path FROM files WHERE regexp_extract(path, '[^/]*$') IN ('doc_0.py', 'doc_27.ts', 'main.py')")
-def p8(spark, sf):
-    return files(spark, sf).where(P.basename(F.col("path")).isin("doc_0.py", "doc_27.ts", "main.py")).select("path")
-
-
 @query("p12_env_names", "SELECT p_partkey, regexp_matches(upper(replace(p_name, ' ', '_')), '^[A-Z_][A-Z0-9_]*$') AS is_name FROM part")
 def p12(spark, sf):
     return read(spark, sf, "part").select("p_partkey", P.env_name(F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).alias("is_name"))
 
 
-@query("p13_sensitive_names", f"SELECT p_partkey, regexp_matches(upper(p_name), '{'|'.join(P.SENSITIVE)}') AS is_sensitive FROM part")
-def p13(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", P.sensitive_name(F.col("p_name")).alias("is_sensitive"))
-
-
 @query("p15_secret_scan", f"WITH {FILES} SELECT path FROM files WHERE regexp_matches(content, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{{8,}}')")
 def p15(spark, sf):
     return files(spark, sf).where(T.secrets(F.col("content"))).select("path")
 
 
-@query("p17_path_class", f"WITH {FILES} SELECT path FROM files WHERE NOT starts_with(path, 'src2/') AND NOT contains(path, '.test.') AND NOT contains(path, '.spec.')")
-def p17(spark, sf):
-    return files(spark, sf).where(~F.col("path").startswith("src2/") & ~F.col("path").contains(".test.") & ~F.col("path").contains(".spec.")).select("path")
-
-
-@query("p18_newer_than", "SELECT user_id, max(ts) > TIMESTAMP '2024-01-05' AS is_newer FROM events GROUP BY 1")
-def p18(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id").agg((F.max("ts") > F.lit("2024-01-05").cast("timestamp_ntz")).alias("is_newer"))
-
-
-@query("p20_maintained", "SELECT user_id, coalesce(max(ts) > TIMESTAMP '2024-06-01' - INTERVAL 90 DAYS, true) AS maintained FROM events GROUP BY 1")
-def p20(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id").agg(F.coalesce(F.max("ts") > F.lit("2024-06-01").cast("timestamp_ntz") - F.expr("INTERVAL 90 DAYS"), F.lit(True)).alias("maintained"))
-
-
 # ---- paths and strings ----------------------------------------------------------------------
 
 
@@ -227,12 +177,6 @@ def x4(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))), "|").alias("refs"))
 
 
-@query("x6_coverage", f"WITH {FILES} SELECT source, bool_or(regexp_matches(lower(content), 'lint|eslint|ruff')) AS lint, bool_or(regexp_matches(lower(content), 'test')) AS test, bool_or(regexp_matches(lower(content), 'build|compile')) AS build FROM files GROUP BY 1")
-def x6(spark, sf):
-    low = F.lower("content")
-    return files(spark, sf).groupBy("source").agg(F.bool_or(low.rlike("lint|eslint|ruff")).alias("lint"), F.bool_or(low.rlike("test")).alias("test"), F.bool_or(low.rlike("build|compile")).alias("build"))
-
-
 # ---- joins ----------------------------------------------------------------------------------
 
 _IMPORTS = """imports AS (SELECT path AS source, CASE doc_id % 4 WHEN 0 THEN source || '/' || lang || '/doc_' || (doc_id // 2) WHEN 1 THEN 'doc_' || (doc_id // 3) WHEN 2 THEN lang || '/doc_' || (doc_id // 2) || '.py' ELSE source || '.' || lang || '.doc_' || (doc_id // 5) END AS import FROM files)"""
@@ -250,15 +194,26 @@ def imports(spark: SparkSession, sf: str) -> DataFrame:
     return files(spark, sf).select(F.col("path").alias("source"), made.alias("import"))
 
 
-_RESOLVE = f"""{FILES}, {_IMPORTS},
-keys AS (SELECT key, max(path) AS target FROM (SELECT path AS key, path FROM files UNION ALL SELECT regexp_replace(path, '\\.[^.]*$', ''), path FROM files) GROUP BY key),
+def resolve_sql(files: str, imports: str) -> str:
+    """Tables keys, known, found and resolved for DuckDB, from tables ``files`` (path) and ``imports`` (source, import)."""
+    folder, dotted = "regexp_extract(source, '^(.*)/[^/]*$', 1)", "replace(import, '.', '/')"
+    name = "regexp_extract(path, '[^/]*$')"
+    stem = f"CASE WHEN regexp_matches({name}, '^.+\\.[^.]*$') THEN regexp_extract({name}, '^(.+)\\.[^.]*$', 1) ELSE {name} END"
+    shared = "len(list_filter(generate_series(1, least(length(source), length(path))::BIGINT), lambda k: left(source, k) = left(path, k)))"
+    return f"""keys AS (SELECT key, max(path) AS target FROM (SELECT path AS key, path FROM {files} UNION ALL SELECT regexp_replace(path, '\\.[^.]*$', ''), path FROM {files} WHERE contains(path, '.')) GROUP BY key),
+known AS (SELECT DISTINCT target AS path FROM keys), stems AS (SELECT path, {stem} AS stem FROM {files}),
 found AS (
- SELECT source, import, target, 1 AS tier, 0 AS shared FROM imports JOIN keys ON key = import
- UNION ALL SELECT source, import, target, 2, 0 FROM imports JOIN keys ON key = regexp_extract(source, '^(.*)/[^/]*$', 1) || '/' || import
- UNION ALL SELECT source, import, min(target), 3, 0 FROM imports JOIN keys ON key = import OR ends_with(key, '/' || import) WHERE contains(import, '/') GROUP BY ALL
- UNION ALL SELECT i.source, import, path, 4, len(list_filter(generate_series(1, least(length(i.source), length(path))::BIGINT), lambda k: left(i.source, k) = left(path, k))) FROM imports i JOIN files ON regexp_extract(regexp_extract(path, '[^/]*$'), '^(.+)\\.[^.]*$', 1) = import
- UNION ALL SELECT source, import, min(target), 5, 0 FROM imports JOIN keys ON key = replace(import, '.', '/') OR ends_with(key, '/' || replace(import, '.', '/')) WHERE contains(import, '.') GROUP BY ALL),
-resolved AS (SELECT source, import, target, tier FROM (SELECT *, row_number() OVER (PARTITION BY source, import ORDER BY tier, shared DESC, target) AS rn FROM found) WHERE rn = 1)"""
+ SELECT source, import, target, 1 AS rank, 1 AS tier, 0 AS shared FROM {imports} JOIN keys ON key = import
+ UNION ALL SELECT source, import, target, 2, 2, 0 FROM {imports} JOIN keys ON key = {folder} || '/' || import WHERE {folder} <> ''
+ UNION ALL SELECT source, import, min(path), 3, 3, 0 FROM {imports} JOIN known ON ends_with(path, '/' || import) WHERE contains(import, '/') GROUP BY ALL
+ UNION ALL SELECT source, import, min(path), 4, 3, 0 FROM {imports} JOIN known ON ends_with(path, import) WHERE contains(import, '/') GROUP BY ALL
+ UNION ALL SELECT source, import, path, 5, 4, {shared} FROM {imports} JOIN stems ON stem = import
+ UNION ALL SELECT source, import, target, 6, 5, 0 FROM {imports} JOIN keys ON key = {dotted} WHERE contains(import, '.')
+ UNION ALL SELECT source, import, min(path), 7, 5, 0 FROM {imports} JOIN known ON ends_with(path, {dotted}) WHERE contains(import, '.') GROUP BY ALL),
+resolved AS (SELECT source, import, target, tier FROM (SELECT *, row_number() OVER (PARTITION BY source, import ORDER BY rank, shared DESC, target) AS rn FROM found) WHERE rn = 1)"""
+
+
+_RESOLVE = f"{FILES}, {_IMPORTS}, {resolve_sql('files', 'imports')}"
 
 
 @query("j1_resolve_imports", f"WITH {_RESOLVE} SELECT source, import, target, tier FROM resolved")
@@ -276,47 +231,11 @@ def j2(spark, sf):
     return G.edges(j1(spark, sf))
 
 
-_NATION = "SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN s_nationkey ELSE c_nationkey END AS source, CASE WHEN l_linenumber % 2 = 0 THEN c_nationkey ELSE s_nationkey END AS target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_partkey % 50 = 0"
-
-
-def nation_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of nations between which some parts travel; ``l_partkey % 50`` picks those parts and is part of the question."""
-    even = F.col("l_linenumber") % 2 == 0
-    rows = read(spark, sf, "lineitem").where("l_partkey % 50 = 0").join(read(spark, sf, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(read(spark, sf, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return rows.select(F.when(even, F.col("s_nationkey")).otherwise(F.col("c_nationkey")).alias("source"), F.when(even, F.col("c_nationkey")).otherwise(F.col("s_nationkey")).alias("target")).distinct()
-
-
-@query("j3_circular_deps", f"WITH m AS ({_NATION}) SELECT a.source AS module, array_to_string(list_sort(list(DISTINCT a.target)), ',') AS circular_deps FROM m a JOIN m b ON a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY 1")
-def j3(spark, sf):
-    return G.circular(nation_pairs(spark, sf)).select("module", F.array_join("circular_deps", ",").alias("circular_deps"))
-
-
-@query("j5_attach_importance", "SELECT doc_id, coalesce(quality, 0) AS importance FROM documents LEFT JOIN labels USING (doc_id)")
-def j5(spark, sf):
-    return read(spark, sf, "documents").select("doc_id").join(read(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("importance"))
-
-
-_PATTERNS = (("database", "shop"), ("web", "www."), ("blog", "blog."), ("mobile", "m."), ("english", "/en/"))
-
-
-@query("j6_domain_paths", f"WITH p(domain, pattern) AS (VALUES {', '.join(map(str, _PATTERNS))}), h AS (SELECT DISTINCT domain, url FROM pages JOIN p ON contains(lower(url), pattern)) SELECT domain, url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS rn FROM h) WHERE rn <= 10")
-def j6(spark, sf):
-    p = spark.createDataFrame(_PATTERNS, "domain string, pattern string")
-    hits = read(spark, sf, "pages").select("url").join(F.broadcast(p), F.lower("url").contains(F.col("pattern"))).select("domain", "url").distinct()  # a fixed rule table
-    return O.first_n_per_key(hits, ["domain"], ["url"], 10)
-
-
 @query("j10_imported_by", f"WITH {EDGES} SELECT target, count(*) AS n, min(source) AS first, max(source) AS last FROM edges GROUP BY 1")
 def j10(spark, sf):
     return links(spark, sf).groupBy("target").agg(F.count("*").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"))
 
 
-@query("j11_doc_consistency", "SELECT doc_id, name FROM documents, (VALUES ('lint', 'the '), ('test', 'que '), ('build', 'der ')) AS c(name, cmd) WHERE NOT contains(text, cmd)")
-def j11(spark, sf):
-    c = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(x).alias("cmd")) for n, x in (("lint", "the "), ("test", "que "), ("build", "der "))))
-    return read(spark, sf, "documents").select("doc_id", "text", F.explode(c).alias("c")).where(~F.col("text").contains(F.col("c.cmd"))).select("doc_id", "c.name")
-
-
 # ---- aggregations ---------------------------------------------------------------------------
 
 
@@ -325,12 +244,6 @@ def a1(spark, sf):
     return O.count_by(read(spark, sf, "documents"), F.col("lang").alias("language"))
 
 
-@query("a2_index_totals", f"WITH {EDGES} SELECT (SELECT count(*) FROM documents) AS total_files, (SELECT count(*) FROM part) AS total_symbols, (SELECT count(*) FROM edges) AS total_edges")
-def a2(spark, sf):
-    kinds = read(spark, sf, "documents").select(F.lit("f").alias("k")).unionAll(read(spark, sf, "part").select(F.lit("s").alias("k"))).unionAll(links(spark, sf).select(F.lit("e").alias("k")))
-    return kinds.agg(*(F.count_if(F.col("k") == k).alias(n) for k, n in (("f", "total_files"), ("s", "total_symbols"), ("e", "total_edges"))))
-
-
 @query("a3_module_rollup", f"WITH {_RESOLVE}, e AS (SELECT source, target FROM resolved WHERE target <> source), d AS (SELECT path, doc_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS module FROM files), o AS (SELECT regexp_extract(source, '^(.*)/[^/]*$', 1) AS module, count(*) AS n FROM e GROUP BY 1), i AS (SELECT regexp_extract(target, '^(.*)/[^/]*$', 1) AS module, count(*) AS n FROM e GROUP BY 1) SELECT d.module, count(*) AS n_files, sum(doc_id % 7)::BIGINT AS total_symbols, coalesce(any_value(i.n), 0) AS fan_in, coalesce(any_value(o.n), 0) AS fan_out FROM d LEFT JOIN o USING (module) LEFT JOIN i USING (module) GROUP BY 1")
 def a3(spark, sf):
     return G.module_rollup(files(spark, sf).withColumn("n_symbols", F.col("doc_id") % 7), j2(spark, sf))
@@ -346,12 +259,6 @@ def a5(spark, sf):
     return files(spark, sf).where(~F.col("path").startswith(".git")).select(P.dirname(F.col("path")).alias("dir")).where("dir <> ''").distinct()
 
 
-@query("a7_component_counts", "SELECT count(*) FILTER (WHERE contains(lower(url), 'blog')) AS blog, count(*) FILTER (WHERE contains(lower(url), '/en/')) AS en, count(*) FILTER (WHERE contains(lower(url), '.html')) AS html, count(*) FILTER (WHERE contains(lower(url), 'utm_')) AS utm FROM pages")
-def a7(spark, sf):
-    has = lambda x: F.count_if(F.lower("url").contains(x))
-    return read(spark, sf, "pages").agg(has("blog").alias("blog"), has("/en/").alias("en"), has(".html").alias("html"), has("utm_").alias("utm"))
-
-
 @query("a9_stats", "SELECT count(DISTINCT source) AS repos, count(*) AS files, sum(n_chars)::BIGINT AS symbols, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages FROM documents")
 def a9(spark, sf):
     return read(spark, sf, "documents").agg(F.countDistinct("source").alias("repos"), F.count("*").alias("files"), F.sum("n_chars").alias("symbols"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("languages"))
@@ -376,23 +283,6 @@ def a12(spark, sf):
     return O.capped_scores(O.count_by(files(spark, sf).withColumn("ext", P.extension(F.col("path"))).select("source", "ext"), F.struct("source", "ext").alias("k")).select("k.source", "n"), "source", "n", 10)
 
 
-@query("a13_complexity_score", "WITH s AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, bool_or(doc_id % 11 = 0) AS docker, bool_or(doc_id % 17 = 0) AS ci FROM documents GROUP BY 1), c AS (SELECT source, (floor(least(n, 500) / 10.0) + CASE WHEN docker THEN 10 ELSE 0 END + CASE WHEN ci THEN 10 ELSE 0 END + CASE WHEN langs > 1 THEN 15 ELSE 0 END + CASE WHEN n > 600 THEN 20 ELSE 0 END + CASE WHEN langs >= 3 THEN 15 ELSE 0 END)::BIGINT AS score FROM s) SELECT source, score, CASE WHEN score < 10 THEN 'simple' WHEN score < 30 THEN 'moderate' WHEN score < 60 THEN 'complex' ELSE 'enterprise' END AS complexity FROM c")
-def a13(spark, sf):
-    s = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), F.bool_or(F.col("doc_id") % 11 == 0).alias("docker"), F.bool_or(F.col("doc_id") % 17 == 0).alias("ci"))
-    score = O.complexity(F.col("n"), F.col("docker"), F.col("ci"), F.col("langs") > 1, F.col("n") > 600, F.col("langs")).cast("long")
-    return s.select("source", score.alias("score"), O.complexity_class(score).alias("complexity"))
-
-
-@query("a15_domain_invariants", "SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM documents GROUP BY 1")
-def a15(spark, sf):
-    return read(spark, sf, "documents").groupBy("lang").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-
-
-@query("a16_md_ratio", "SELECT source, 2 * count(*) FILTER (WHERE lang = 'en') > count(*) AND count(*) > 3 AS mostly_english FROM documents GROUP BY 1")
-def a16(spark, sf):
-    return read(spark, sf, "documents").groupBy("source").agg(((2 * F.count_if(F.col("lang") == "en") > F.count("*")) & (F.count("*") > 3)).alias("mostly_english"))
-
-
 # ---- windows, top-k, sets -------------------------------------------------------------------
 
 
@@ -476,21 +366,9 @@ def u4(spark, sf):
     return read(spark, sf, "documents").select(F.explode(F.array("lang", "source")).alias("name")).distinct()
 
 
-@query("u5_distinct_module_edges", f"WITH m AS ({_NATION}) SELECT source, target FROM m WHERE source <> target")
-def u5(spark, sf):
-    return nation_pairs(spark, sf).where("source <> target")
-
-
 # ---- rules, lookups, checks -----------------------------------------------------------------
 
 
-@query("c2_maturity", "SELECT source, CASE WHEN n < 20 THEN 'greenfield' WHEN ci AND n > 200 THEN 'mature' WHEN ci THEN 'active' WHEN n > 100 THEN 'legacy' ELSE 'established' END AS maturity FROM (SELECT source, count(*) AS n, bool_or(doc_id % 17 = 0) AS ci FROM documents GROUP BY 1)")
-def c2(spark, sf):
-    s = read(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") % 17 == 0).alias("ci"))
-    n, ci = F.col("n"), F.col("ci")
-    return s.select("source", O.first_match([(n < 20, "greenfield"), (ci & (n > 200), "mature"), (ci, "active"), (n > 100, "legacy")], "established").alias("maturity"))
-
-
 @query("c4_tier", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'lean' WHEN c_acctbal < 0 THEN 'lean' WHEN c_acctbal < 3000 THEN 'standard' WHEN c_acctbal < 6000 THEN 'full' ELSE 'enterprise' END AS tier FROM customer")
 def c4(spark, sf):
     a = F.col("c_acctbal")
@@ -498,51 +376,6 @@ def c4(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", O.tier(F.when(F.col("c_mktsegment") == "BUILDING", "lean"), level).alias("tier"))
 
 
-@query("c14_module_role", "SELECT doc_id, CASE lang WHEN 'en' THEN 'source' WHEN 'fr' THEN 'tests' WHEN 'de' THEN 'documentation' ELSE 'module' END AS role FROM documents")
-def c14(spark, sf):
-    roles = F.create_map(*(F.lit(x) for pair in (("en", "source"), ("fr", "tests"), ("de", "documentation")) for x in pair))
-    return read(spark, sf, "documents").select("doc_id", F.coalesce(roles[F.col("lang")], F.lit("module")).alias("role"))
-
-
-@query("q2_file_symbols", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#11'")
-def q2(spark, sf):
-    return read(spark, sf, "part").where("p_brand = 'Brand#11'").select("p_partkey", "p_name")
-
-
-@query("q3_search_symbols", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') ORDER BY p_name, p_partkey LIMIT 20")
-def q3(spark, sf):
-    return O.top(read(spark, sf, "part").where(F.lower("p_name").contains("1")).select("p_partkey", "p_name"), ["p_name", "p_partkey"], 20)
-
-
-@query("q4_analyze_file", f"WITH {EDGES} SELECT 's1' AS path, (SELECT count(*) FROM edges WHERE source = 's1') AS imports_from, (SELECT count(*) FROM edges WHERE target = 's1') AS imported_by")
-def q4(spark, sf):
-    n = G.neighbours(links(spark, sf), "s1")
-    return n.agg(F.count_if(F.col("direction") == "out").alias("imports_from"), F.count_if(F.col("direction") == "in").alias("imported_by")).select(F.lit("s1").alias("path"), "imports_from", "imported_by")
-
-
-@query("q5_find_tests", "SELECT url FROM pages WHERE contains(url, 'blog')")
-def q5(spark, sf):
-    return read(spark, sf, "pages").where(F.col("url").contains("blog")).select("url")
-
-
-@query("v7_security", f"WITH {FILES} SELECT path, CASE WHEN regexp_matches(content, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{{8,}}') THEN 'FAIL' ELSE 'PASS' END AS status FROM files")
-def v7(spark, sf):
-    return files(spark, sf).select("path", F.when(T.secrets(F.col("content")), "FAIL").otherwise("PASS").alias("status"))
-
-
-@query("v0_checks", "SELECT * FROM (VALUES ('guide', 'FAIL', 'missing'), ('guide commands', 'WARN', 'no section'), ('ignored env', 'WARN', '.env is not ignored'), ('secrets', (SELECT CASE WHEN bool_or(regexp_matches(text, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{8,}')) THEN 'FAIL' ELSE 'PASS' END FROM documents), (SELECT CASE WHEN bool_or(regexp_matches(text, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{8,}')) THEN 'possible secrets' ELSE 'none found' END FROM documents)), ('tracked env', 'PASS', 'no .env'), ('command lint', 'WARN', 'not documented'), ('command test', 'WARN', 'not documented')) AS t(name, status, detail)")
-def v0(spark, sf):
-    return V.checks(files(spark, sf))
-
-
-@query("x9_symbol_parser", "SELECT 'p' || p_partkey || '.py' AS path, unnest(['f_' || p_partkey, 'C' || p_partkey, 'm']) AS name, unnest(['function', 'class', 'method']) AS kind, unnest([1, 3, 4])::BIGINT AS line, unnest([NULL, NULL, 'C' || p_partkey]) AS parent FROM part")
-def x9(spark, sf):
-    key = F.col("p_partkey").cast("string")
-    code = F.concat(F.lit("def f_"), key, F.lit("():\n    pass\nclass C"), key, F.lit(":\n    def m(self): pass"))
-    parsed = S.parse_files(read(spark, sf, "part").select(F.concat(F.lit("p"), key, F.lit(".py")).alias("path"), code.alias("content"), F.lit("python").alias("language")))
-    return parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.kind", "s.line", "s.parent")
-
-
 @query("st1_windowed_counts", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def st1(spark, sf):
     return I.drain(spark, sf, "events", I.windowed_counts).select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")

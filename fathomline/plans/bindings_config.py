@@ -56,12 +56,6 @@ def s14(spark, sf):
     return L.make_targets(split(made(spark, sf, ".PHONY: all\nlint:\n\tx: y\nt", key(), ": lint\n%.o: %.c\nA := 1"))).where("not target like 'A%'").select("path", "target")
 
 
-@query("s15_git_url", f"SELECT {_K} AS path, 'https://github.com/o/r' || p_partkey AS url FROM part")
-def s15(spark, sf):
-    ssh = F.regexp_extract("content", r"url = (\S+)", 1)
-    return made(spark, sf, "[remote]\n\turl = git@github.com:o/r", key(), ".git\n").select("path", F.regexp_replace(F.regexp_replace(ssh, "^git@github.com:", "https://github.com/"), r"\.git$", "").alias("url"))
-
-
 @query("s18_read_knowledge", f"SELECT {_K} AS path, p_brand AS repo, p_size::BIGINT AS total FROM part")
 def s18(spark, sf):
     doc = F.from_json("content", "repo string, total long")
@@ -79,87 +73,11 @@ def s20(spark, sf):
     return made(spark, sf, '{"dependencies": {"c": 1, "b', F.col("p_size"), '": 2, "a": 3}}').select("path", F.array_join(F.slice(F.array_sort(keys), 1, 20), ",").alias("deps"))
 
 
-@query("x1_yaml_name", f"SELECT {_K} AS path, 'ci ' || p_partkey AS name FROM part")
-def x1(spark, sf):
-    return made(spark, sf, "on: push\nname: ci ", key(), "\njobs:\n").select("path", F.regexp_extract("content", r"(?m)^\s*name:\s*(.*)$", 1).alias("name"))
-
-
-@query("x3_yaml_jobs", f"SELECT {_K} AS path, unnest(['lint', 'j' || p_partkey]) AS key FROM part")
-def x3(spark, sf):
-    return L.block_keys(split(made(spark, sf, "on:\n  push:\njobs:\n  lint:\n    runs-on: x\n  j", key(), ":\n    y: z\nenv:\n  q: 1")), "jobs", 2).select("path", "key")
-
-
-@query("x2_yaml_triggers", f"SELECT {_K} AS path, 'push' AS key FROM part")
-def x2(spark, sf):
-    return L.block_keys(split(made(spark, sf, "on:\n  push:\njobs:\n  j", key(), ":\n")), "on", 2).select("path", "key")
-
-
-@query("x5_workflow_purpose", "SELECT p_partkey, CASE WHEN concat_ws(' + ', CASE WHEN p_size % 2 = 0 THEN 'lint' END, CASE WHEN p_size % 3 = 0 THEN 'test' END) = '' THEN 'general' ELSE concat_ws(' + ', CASE WHEN p_size % 2 = 0 THEN 'lint' END, CASE WHEN p_size % 3 = 0 THEN 'test' END) END AS purpose FROM part")
-def x5(spark, sf):
-    named = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, "lint"), F.when(F.col("p_size") % 3 == 0, "test")))
-    return read(spark, sf, "part").select("p_partkey", F.when(F.size(named) == 0, "general").otherwise(F.array_join(named, " + ")).alias("purpose"))
-
-
 @query("x7_compose_var_refs", f"SELECT {_K} AS path, 'DB,P' || p_size AS refs FROM part")
 def x7(spark, sf):
     return made(spark, sf, "a: ${P", F.col("p_size"), ":-1}\nb: ${DB}\nc: ${DB}\n").select("path", F.array_join(L.references(F.col("content"), r"\$\{([A-Z_][A-Z0-9_]*)"), ",").alias("refs"))
 
 
-@query("x8_md_command", f"SELECT {_K} AS path, 'make lint ' || p_partkey AS line FROM part")
-def x8(spark, sf):
-    lines = O.fenced(split(made(spark, sf, "lint here\n```\nmake build\nmake lint ", key(), "\n```\nmake lint no")), "path", "line_no", F.col("line").startswith("```"))
-    return lines.where(F.col("inside") & F.col("line").contains("lint")).groupBy("path").agg(F.min_by("line", "line_no").alias("line"))
-
-
-@query("x10_python_version", f"SELECT {_K} AS path, '>=3.' || p_size AS version FROM part")
-def x10(spark, sf):
-    return made(spark, sf, '[project]\nrequires-python = ">=3.', F.col("p_size"), '"\n').select("path", F.regexp_extract("content", r'requires-python\s*=\s*"([^"]*)"', 1).alias("version"))
-
-
-@query("x11_readme_description", f"SELECT {_K} AS path, 'A tool for ' || p_name AS line FROM part")
-def x11(spark, sf):
-    lines = split(made(spark, sf, "# Title\n\n![img](x)\nA tool for ", F.col("p_name"), "\nmore"))
-    text = F.trim("line")
-    return lines.where((F.col("line_no") > 0) & (text != "") & ~text.rlike(r"^[#!\[<]")).groupBy("path").agg(F.min_by(F.left("line", F.lit(200)), "line_no").alias("line"))
-
-
-@query("p9_key_files", f"WITH {FILES} SELECT path FROM files WHERE path IN ('src0/fr/doc_0.py', 'src1/en/doc_1.ts')")
-def p9(spark, sf):
-    return files(spark, sf).where(F.col("path").isin("src0/fr/doc_0.py", "src1/en/doc_1.ts")).select("path")
-
-
-@query("p10_config_files", f"WITH {FILES} SELECT DISTINCT path FROM files WHERE regexp_extract(path, '[^/]*$') IN ('doc_13.py', 'doc_14.ts', 'tsconfig.json')")
-def p10(spark, sf):
-    return files(spark, sf).where(P.basename(F.col("path")).isin("doc_13.py", "doc_14.ts", "tsconfig.json")).select("path").distinct()
-
-
-@query("p11_test_pattern", "SELECT source, concat_ws(' / ', CASE WHEN bool_or(lang = 'de') THEN '*.de' END, CASE WHEN bool_or(lang = 'es') THEN '*.es' END) AS pattern FROM documents GROUP BY 1")
-def p11(spark, sf):
-    return read(spark, sf, "documents").groupBy("source").agg(*(F.bool_or(F.col("lang") == x).alias(x) for x in ("de", "es"))).select("source", F.concat_ws(" / ", F.when(F.col("de"), "*.de"), F.when(F.col("es"), "*.es")).alias("pattern"))
-
-
-@query("p14_public_env", "SELECT p_brand, bool_or(starts_with(upper(p_type), 'ECO')) AS has_public FROM part GROUP BY 1")
-def p14(spark, sf):
-    return read(spark, sf, "part").groupBy("p_brand").agg(F.bool_or(F.upper("p_type").startswith("ECO")).alias("has_public"))
-
-
-@query("j8_dependency_match", "SELECT p_partkey, regexp_matches(lower(p_name), 'ring|bolt') AS hit FROM part")
-def j8(spark, sf):
-    return read(spark, sf, "part").select("p_partkey", F.lower("p_name").rlike("ring|bolt").alias("hit"))
-
-
-@query("j7_domain_deps", "SELECT p_partkey, domain FROM part JOIN (VALUES ('tools', 'bolt'), ('jewels', 'ring'), ('tools', 'gear')) AS d(domain, pattern) ON contains(p_name, pattern) GROUP BY ALL")
-def j7(spark, sf):
-    rules = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(p).alias("pattern")) for d, p in (("tools", "bolt"), ("jewels", "ring"), ("tools", "gear"))))
-    hits = F.array_distinct(F.transform(F.filter(rules, lambda r: F.col("p_name").contains(r["pattern"])), lambda r: r["domain"]))
-    return read(spark, sf, "part").select("p_partkey", F.explode(hits).alias("domain"))
-
-
-@query("j12_find_tests_match", "SELECT url FROM pages WHERE contains(url, 'blog') AND contains(url, '/en/')")
-def j12(spark, sf):
-    return read(spark, sf, "pages").where(F.col("url").contains("blog") & F.col("url").contains("/en/")).select("url")
-
-
 _EXT = "regexp_extract(path, '\\.([^./]*)$', 1)"
 
 
@@ -168,93 +86,17 @@ def j13(spark, sf):
     return C.language_scores(files(spark, sf))
 
 
-@query("a6_all_languages", f"WITH {FILES} SELECT DISTINCT {_EXT} AS ext FROM files")
-def a6(spark, sf):
-    return files(spark, sf).select(P.extension(F.col("path")).alias("ext")).distinct()
-
-
-@query("a8_test_file_count", "SELECT count(*) FILTER (WHERE contains(url, 'blog')) AS n FROM pages")
-def a8(spark, sf):
-    return read(spark, sf, "pages").agg(F.count_if(F.col("url").contains("blog")).alias("n"))
-
-
-@query("a14_package_count", "SELECT p_brand, count(*) FILTER (WHERE p_size < 10) >= 3 AS is_monorepo FROM part GROUP BY 1")
-def a14(spark, sf):
-    return read(spark, sf, "part").groupBy("p_brand").agg((F.count_if(F.col("p_size") < 10) >= 3).alias("is_monorepo"))
-
-
-@query("a18_file_symbol_count", "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n FROM documents")
-def a18(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
-
-
-@query("w4_brace_depth", "SELECT conv_id, turn, sum(CASE WHEN role = 'user' THEN 1 ELSE -1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS depth FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL)")
-def w4(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = read(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    return rows.select("conv_id", "turn", F.sum(F.when(F.col("role") == "user", 1).otherwise(-1)).over(w).alias("depth"))
-
-
-@query("w8_dense_id", "SELECT 'INV-' || (row_number() OVER (ORDER BY r_name) + 2) AS id, r_name FROM region")
-def w8(spark, sf):
-    from pyspark.sql import Window
-
-    # A handful of rule rows: one partition is meant.
-    return read(spark, sf, "region").select(F.concat(F.lit("INV-"), (F.row_number().over(Window.orderBy("r_name")) + 2).cast("string")).alias("id"), "r_name")
-
-
 @query("t2_get_top_files", f"{_PAGERANK} SELECT id, importance FROM imp ORDER BY importance DESC, id LIMIT 10")
 def t2(spark, sf):
     return O.top(g1(spark, sf), [F.desc("importance"), "id"], 10)
 
 
-@query("t4_top50_entities", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50")
-def t4(spark, sf):
-    return O.top(read(spark, sf, "part").select("p_partkey", "p_retailprice"), [F.desc("p_retailprice"), "p_partkey"], 50)
-
-
 @query("t8_sort_dedup", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) = 3))), ' ') AS words FROM documents")
 def t8(spark, sf):
     words = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) == 3)
     return read(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("words"))
 
 
-@query("u3_union_checks", "SELECT 'quality' AS name, doc_id FROM labels WHERE quality = 0 UNION ALL SELECT 'toxic', doc_id FROM labels WHERE toxic = 1")
-def u3(spark, sf):
-    names = F.array_compact(F.array(F.when(F.col("quality") == 0, "quality"), F.when(F.col("toxic") == 1, "toxic")))
-    return read(spark, sf, "labels").select(F.explode(names).alias("name"), "doc_id")
-
-
-@query("c5_package_manager", "SELECT 'yarn' AS value")
-def c5(spark, sf):
-    marks = read(spark, sf, "region").select(F.get(F.array(F.lit("yarn.lock"), F.lit("package.json"), F.lit("go.sum")), F.col("r_regionkey") % 3).alias("path"))
-    return C.first_marker(marks, C.PACKAGE_MANAGERS)
-
-
-@query("c9_quality_tools", "SELECT * FROM (VALUES ('linter', 'ruff'), ('test_framework', 'jest')) AS t(category, tool)")
-def c9(spark, sf):
-    marks = read(spark, sf, "region").select(F.get(F.array(F.lit("a/ruff.toml"), F.lit("jest.config.js"), F.lit("pytest.ini")), F.col("r_regionkey") % 3).alias("path"))
-    return C.tool_per_category(marks)
-
-
-@query("c1_archetype", "SELECT source, CASE WHEN count(DISTINCT lang) >= 4 THEN 'monorepo' WHEN bool_or(lang = 'es') THEN 'web-app' WHEN count(*) > 10 THEN 'library' ELSE 'application' END AS archetype FROM documents GROUP BY 1")
-def c1(spark, sf):
-    s = read(spark, sf, "documents").groupBy("source").agg(F.countDistinct("lang").alias("langs"), F.bool_or(F.col("lang") == "es").alias("es"), F.count("*").alias("n"))
-    return s.select("source", C.archetype({"monorepo": F.col("langs") >= 4, "web-app": F.col("es"), "library": F.col("n") > 10}).alias("archetype"))
-
-
-@query("c12_identity", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), c_name) AS name, CASE WHEN c_acctbal < 0 THEN '0.0.0' ELSE '1.0.0' END AS version FROM customer")
-def c12(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey", F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), "c_name").alias("name"), F.coalesce(F.when(F.col("c_acctbal") >= 0, "1.0.0"), F.lit("0.0.0")).alias("version"))
-
-
-@query("c15_package_dirs", f"WITH {FILES} SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files WHERE ends_with(path, '.rs')")
-def c15(spark, sf):
-    return files(spark, sf).where(F.col("path").endswith(".rs")).select(P.dirname(F.col("path")).alias("dir")).distinct()
-
-
 @query("j4_pagerank_step", f"WITH {EDGES}, o AS (SELECT source, count(*) AS od FROM edges GROUP BY 1) SELECT target AS id, round(sum(1.0::DOUBLE / od), 9) AS received FROM edges JOIN o USING (source) GROUP BY 1")
 def j4(spark, sf):
     e = links(spark, sf)
@@ -262,21 +104,3 @@ def j4(spark, sf):
     return e.join(degree, "source").groupBy(F.col("target").alias("id")).agg(F.round(F.sum(1 / F.col("od")), 9).alias("received"))
 
 
-@query("v3_json_valid", "SELECT event_id, json_valid(props) AS valid FROM events")
-def v3(spark, sf):
-    return read(spark, sf, "events").select("event_id", F.expr("try_parse_json(props) is not null").alias("valid"))
-
-
-@query("v5_configured", "SELECT p_brand, CASE WHEN bool_or(p_size = 1) THEN 'PASS' ELSE 'WARN' END AS status FROM part GROUP BY 1")
-def v5(spark, sf):
-    return read(spark, sf, "part").groupBy("p_brand").agg(F.when(F.bool_or(F.col("p_size") == 1), "PASS").otherwise("WARN").alias("status"))
-
-
-@query("v8_freshness", "SELECT event_type, CASE WHEN max(ts) > TIMESTAMP '2024-01-02' THEN 'WARN' ELSE 'PASS' END AS status FROM events GROUP BY 1")
-def v8(spark, sf):
-    return read(spark, sf, "events").groupBy("event_type").agg(F.when(F.max("ts") > F.lit("2024-01-02").cast("timestamp_ntz"), "WARN").otherwise("PASS").alias("status"))
-
-
-@query("r9_architecture_rows", "SELECT lang || ': ' || count(*) AS line FROM documents GROUP BY lang")
-def r9(spark, sf):
-    return read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).select(F.format_string("%s: %d", "lang", "n").alias("line"))

@@ -169,23 +169,12 @@ def m15(spark, sf):
     return collections(spark, sf).groupBy("repo").agg(C.any_of((C.path() == "pyproject.toml") & F.col("content").contains("[tool.mypy]")).alias("toml_section"), script.alias("lint_script"))
 
 
-@query("a17_missing_tools", "SELECT o_custkey AS repo, concat_ws(',', CASE WHEN NOT bool_or(o_orderkey % 4 = 0) THEN 'linter' END, CASE WHEN NOT bool_or(o_orderkey % 4 = 1) THEN 'formatter' END, CASE WHEN NOT bool_or(o_orderkey % 4 = 2) THEN 'type-checker' END, CASE WHEN NOT bool_or(o_orderkey % 4 = 3) THEN 'test-framework' END) AS missing FROM orders GROUP BY 1")
-def a17(spark, sf):
-    category = F.get(F.array(*map(F.lit, ("linter", "formatter", "type-checker", "test-framework"))), (F.col("o_orderkey") % 4).cast("int"))
-    return C.missing_tools(read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), category.alias("category"))).withColumn("missing", F.array_join("missing", ","))
-
-
 @query("m16_tier_parsing", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'lean' WHEN 1 THEN 'full' WHEN 2 THEN 'enterprise' END AS tier, CASE c_custkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'lean' WHEN 2 THEN 'standard' ELSE 'enterprise' END AS by_complexity FROM customer")
 def m16(spark, sf):
     at = lambda *values: F.get(F.array(*map(F.lit, values)), (F.col("c_custkey") % 4).cast("int"))
     return read(spark, sf, "customer").select("c_custkey", C.parse_tier(at("Lite", "FULL", "Enterprise", "bogus")).alias("tier"), C.tier_of_complexity(at("other", "simple", "moderate", "enterprise")).alias("by_complexity"))
 
 
-@query("m17_file_metrics", "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n_lines, regexp_matches(text, '(?i)(API_KEY|SECRET|PASSWORD|TOKEN)\\s*=\\s*[''\"]?[A-Za-z0-9/+=]{8,}') AS has_secret FROM documents")
-def m17(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", T.count_lines(F.col("text")).alias("n_lines"), T.secrets(F.col("text")).alias("has_secret"))
-
-
 # ---- functions of texts ---------------------------------------------------------------------
 
 
@@ -239,22 +228,6 @@ def s12(spark, sf):
     return L.block_keys(doc, "services", 2).select("path", F.col("key").alias("service"))
 
 
-@query("x12_user_sections", "SELECT p_partkey::VARCHAR AS path, '## Notes ' || p_size || chr(10) || 'keep' AS sections FROM part")
-def x12(spark, sf):
-    doc = split(made(spark, sf, "# T\n## Commands\nmake\n## Notes ", F.col("p_size"), "\nkeep\n## Vault\nx"))
-    return user_sections(doc, ("## Commands", "## Vault"))
-
-
-def user_sections(lines: DataFrame, standard: tuple[str, ...]) -> DataFrame:
-    """(path, sections): the text of second-level sections whose header is no standard one."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.last(F.when(F.col("line").startswith("## "), F.col("line")), True).over(w)
-    own = ~F.exists(F.array(*map(F.lit, standard)), lambda s: F.col("header").startswith(s))
-    kept = lines.withColumn("header", header).where(F.col("header").isNotNull() & own)
-    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return kept.groupBy("path").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("sections"))
-
-
 @query("x13_key_deps", "SELECT p_partkey::VARCHAR AS path, unnest(['flask', 'lib' || p_size, 'a', 'b']) AS name FROM part")
 def x13(spark, sf):
     python = L.requirements(split(made(spark, sf, "flask==1\nlib", F.col("p_size"), "[x]>2\n")))
@@ -262,46 +235,8 @@ def x13(spark, sf):
     return node.unionByName(python)
 
 
-@query("w5_current_class", "SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS owner FROM (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL)")
-def w5(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = read(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
-    return rows.withColumn("owner", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w))
-
-
 @query("t6_lang_breakdown", "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang")
 def t6(spark, sf):
     return read(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
 
 
-@query("v1_expected_files", "WITH e(path) AS (VALUES ('src0'), ('nowhere')), n AS (SELECT source AS path, count(*) AS n FROM documents GROUP BY 1) SELECT path, CASE WHEN n IS NULL THEN 'FAIL' ELSE 'PASS' END AS status, coalesce(n, 0)::BIGINT AS n FROM e LEFT JOIN n USING (path)")
-def v1(spark, sf):
-    expected = spark.createDataFrame([("src0",), ("nowhere",)], "path string")  # a fixed table
-    counts = read(spark, sf, "documents").where(F.col("source").isin("src0", "nowhere")).groupBy(F.col("source").alias("path")).agg(F.count("*").alias("n"))
-    return expected.join(counts, "path", "left").select("path", F.when(F.col("n").isNull(), "FAIL").otherwise("PASS").alias("status"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-@query("v6_consistency", f"WITH {VIEW}, g AS (SELECT repo, {_text('GUIDE.md')} AS doc FROM f GROUP BY repo), c AS (SELECT repo, doc, unnest(['lint', 'build']) AS command FROM g), m AS (SELECT repo, command FROM c WHERE doc IS NULL OR NOT contains(doc, command)) SELECT repo, command, 'WARN' AS status FROM m UNION ALL SELECT repo, 'all', 'PASS' FROM g WHERE repo NOT IN (SELECT repo FROM m)")
-def v6(spark, sf):
-    docs = collections(spark, sf).groupBy("repo").agg(F.coalesce(C.text_of("GUIDE.md"), F.lit("")).alias("doc"))
-    absent = F.filter(F.array(F.lit("lint"), F.lit("build")), lambda c: ~F.col("doc").contains(c))
-    rows = F.when(F.size(absent) == 0, F.array(F.struct(F.lit("all").alias("command"), F.lit("PASS").alias("status")))).otherwise(F.transform(absent, lambda c: F.struct(c.alias("command"), F.lit("WARN").alias("status"))))
-    return docs.select("repo", F.explode(rows).alias("r")).select("repo", "r.*")
-
-
-@query("j9_framework_detect", f"WITH {VIEW} SELECT repo, CASE WHEN bool_or({_MANIFEST} AND contains(content, 'drizzle')) THEN 'next' WHEN bool_or(path LIKE '%.tf') THEN 'stack' WHEN {_has('nx.json')} THEN 'nx' END AS framework FROM f GROUP BY repo")
-def j9(spark, sf):
-    rules = (("next", C.path().isin("package.json", "pyproject.toml") & C.content().contains("drizzle")), ("stack", C.path().endswith(".tf")), ("nx", C.path() == "nx.json"))
-    tests = dict(rules)
-    return collections(spark, sf).groupBy("repo").agg(C.first_rule([(n, n) for n, _ in rules], lambda n: tests[n], None).alias("framework"))
-
-
-@query("r11_entity_pages", "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT s AS id, '# ' || s || chr(10) || 'parts: ' || count(*) AS page FROM e GROUP BY s ORDER BY count(*) DESC, s LIMIT 50")
-def r11(spark, sf):
-    pairs = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), "l_partkey").distinct().groupBy("id").agg(F.count("*").alias("n"))
-    return pairs.orderBy(F.desc("n"), "id").limit(50).select("id", F.format_string("# %d\nparts: %d", "id", "n").alias("page"))
-
-
-@query("r12_graph_overview", "SELECT source || ' / ' || lang || ': ' || count(*) AS line FROM documents GROUP BY source, lang")
-def r12(spark, sf):
-    return read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).select(F.format_string("%s / %s: %d", "source", "lang", "n").alias("line"))

@@ -26,12 +26,14 @@ class Language:
 
     symbols: list[tuple[str, str]]
     imports: list[str]
-    private: Callable[[str, str], bool]
+    private: Callable[[str, str, str], bool]  # of a name, its kind and its line
     clean: Callable[[str], str | None] = lambda x: x
     scope: str = "file"  # how containers end: indent, brace or file
     doc: str | None = None
-    exported: Callable[[str, str], bool] | None = None
+    exported: Callable[[str, str, str], bool] = lambda n, kind, line: kind != "method"  # among those that aren't private
     private_mark: str | None = None
+    comments: tuple[str, ...] = ("//", "/*", "*")
+    methods: bool = True  # whether a function of a container is a method
     compiled: list[tuple[str, re.Pattern]] = field(default_factory=list)
     sources: list[re.Pattern] = field(default_factory=list)
 
@@ -77,36 +79,36 @@ _JS = Language(
      ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<n>\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(?P<n>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"), ("const", r"^\s*export\s+const\s+(?P<n>\w+)"),
      ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*(?P<n>\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{]+)?\{")],
     [r"""\bfrom\s+['"]([^'"]+)['"]""", r"""^\s*import\s+['"]([^'"]+)['"]""", r"""require\(\s*['"]([^'"]+)['"]"""],
-    lambda n, line: n.startswith("_") or bool(re.match(r"\s*private\b", line)),
-    _local, "brace", r"^\s*/?\*+\s?(?!/)([^@].*?)\s*(?:\*/)?$", lambda n, line: line.lstrip().startswith("export"),
+    lambda n, kind, line: kind != "method" and not line.startswith("export"),
+    _local, "brace", r"^\s*/?\*+\s?(?!/)([^@].*?)\s*(?:\*/)?$", comments=(),
 )
 LANGUAGES: dict[str, Language] = {
     "python": Language(
         [("class!", r"^\s*class\s+(?P<n>\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(?P<n>\w+)"), ("const", r"^(?P<n>[A-Z][A-Z0-9_]*)\s*(?::[^=]+)?=(?!=)")],
         [r"^\s*from\s+([.\w]+)\s+import", r"^\s*import\s+([\w., ]+)"],
-        lambda n, line: n.startswith("_") and not n.startswith("__"),
-        lambda x: x.split(" as ")[0].strip().lstrip(".").replace(".", "/") or None, "indent", r'^\s*"""(.+?)"""\s*$',
+        lambda n, kind, line: kind != "class" and n.startswith("_") and not n.startswith("__"),
+        lambda x: x.split(" as ")[0].strip().lstrip(".").replace(".", "/") or None, "indent", r'^\s*"""(.+?)"""\s*$', comments=("#",),
     ),
     "typescript": _JS,
     "javascript": _JS,
     "go": Language(
         [("method", r"^func\s+\(\s*\w*\s*\*?(?P<p>\w+)[^)]*\)\s*(?P<n>\w+)"), ("function", r"^func\s+(?P<n>\w+)"), ("struct", r"^type\s+(?P<n>\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^type\s+(?P<n>\w+)(?:\[[^\]]*\])?\s+interface\b"), ("type", r"^type\s+(?P<n>\w+)\s"), ("const", r"^(?:const|var)\s+(?P<n>\w+)")],
         [r'^\s*import\s+(?:\w+\s+)?"([^"]+)"', r'^\s+(?:[\w.]+\s+)?"([^"]+)"\s*$'],
-        lambda n, line: not n[:1].isupper(), lambda x: x.rpartition("/")[2], "file", r"^//\s?(.*)$",
+        lambda n, kind, line: not n[:1].isupper(), lambda x: x.rpartition("/")[2], "file", r"^//\s?(.*)$", comments=(),
     ),
     "rust": Language(
         [("impl!", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<n>\w+)"), ("trait!", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(?P<n>\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<n>\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<n>\w+)"), ("type", r"^\s*(?:pub(?:\([^)]*\))?\s+)?type\s+(?P<n>\w+)"), ("const", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?(?P<n>[A-Z]\w*)"), ("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+(?P<n>\w+)")],
         [r"^\s*(?:pub\s+)?use\s+([^;]+);", r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;"],
-        lambda n, line: not line.lstrip().startswith("pub"), _crate, "brace", r"^\s*///\s?(.*)$",
+        lambda n, kind, line: not line.startswith("pub"), _crate, "brace", r"^\s*///\s?(.*)$", comments=(),
     ),
-    "ruby": Language([("class!", r"^\s*(?:class|module)\s+(?P<n>\w+)"), ("function", r"^\s*def\s+(?:self\.)?(?P<n>\w+[?!=]?)")], [r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]"""], lambda n, line: n.startswith("_"), private_mark=r"^\s*private\s*$"),
-    "bash": Language([("function", r"^\s*function\s+(?P<n>[\w-]+)"), ("function", r"^\s*(?P<n>[\w-]+)\s*\(\)\s*\{?")], [r"^\s*(?:source|\.)\s+(\S+)"], lambda n, line: False, _shell),
-    "java": Language([("class!", rf"^\s*{_MODS}class\s+(?P<n>\w+)"), ("interface!", rf"^\s*{_MODS}interface\s+(?P<n>\w+)"), ("enum!", rf"^\s*{_MODS}enum\s+(?P<n>\w+)"), ("method", rf"^\s+{_MODS}[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\([^;]*$")], [r"^\s*import\s+(?:static\s+)?([\w.]+)"], lambda n, line: "private" in line),
-    "csharp": Language([("class!", rf"^\s*{_MODS}(?:class|struct|record)\s+(?P<n>\w+)"), ("interface!", rf"^\s*{_MODS}interface\s+(?P<n>I\w+)"), ("enum!", rf"^\s*{_MODS}enum\s+(?P<n>\w+)"), ("method", r"^\s+(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\(")], [r"^\s*using\s+([\w.]+)\s*;"], lambda n, line: "public" not in line),
-    "php": Language([("class!", rf"^\s*{_MODS}(?:class|trait)\s+(?P<n>\w+)"), ("interface!", r"^\s*interface\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}function\s+&?(?P<n>\w+)")], [r"^use\s+([\w\\]+)", r"""(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)['"]"""], lambda n, line: bool(re.search(r"(^|\s)private\s", line)), lambda x: x.replace("\\", "/")),
-    "kotlin": Language([("class!", rf"^\s*{_MODS}(?:class|object)\s+(?P<n>\w+)"), ("interface!", rf"^\s*{_MODS}interface\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<n>\w+)")], [r"^\s*import\s+([\w.]+)"], lambda n, line: bool(re.search(r"\b(private|internal)\b", line))),
-    "swift": Language([("class!", rf"^\s*{_MODS}(?:class|actor)\s+(?P<n>[A-Z]\w*)"), ("struct!", rf"^\s*{_MODS}struct\s+(?P<n>\w+)"), ("enum!", rf"^\s*{_MODS}enum\s+(?P<n>\w+)"), ("interface!", rf"^\s*{_MODS}protocol\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}func\s+(?P<n>\w+)")], [r"^\s*import\s+(\w+)"], lambda n, line: bool(re.search(r"\b(private|fileprivate)\b", line))),
-    "elixir": Language([("class!", r"^\s*defmodule\s+(?P<n>[\w.]+)"), ("function", r"^\s*def(?:p|macrop?)?\s+(?P<n>\w+[?!]?)")], [r"^\s*(?:alias|import|use|require)\s+([\w.]+)"], lambda n, line: bool(re.match(r"\s*def(macro)?p\b", line))),
+    "ruby": Language([("class!", r"^\s*(?:class|module)\s+(?P<n>\w+)"), ("function", r"^\s*def\s+(?:self\.)?(?P<n>\w+[?!=]?)")], [r"""^\s*require(?:_relative)?\s+['"]([^'"]+)['"]"""], lambda n, kind, line: kind != "class" and n.startswith("_"), private_mark=r"^\s*private\s*$", comments=("#",), exported=lambda n, kind, line: not line.startswith("def self.")),
+    "bash": Language([("function", r"^\s*function\s+(?P<n>[\w-]+)"), ("function", r"^\s*(?P<n>[\w-]+)\s*\(\)\s*\{?")], [r"^\s*(?:source|\.)\s+(\S+)"], lambda n, kind, line: False, _shell, comments=("#",)),
+    "java": Language([("class!", rf"^\s*{_MODS}class\s+(?P<n>\w+)"), ("interface", rf"^\s*{_MODS}interface\s+(?P<n>\w+)"), ("enum", rf"^\s*{_MODS}enum\s+(?P<n>\w+)"), ("method", rf"^\s+{_MODS}[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\([^;]*$")], [r"^\s*import\s+(?:static\s+)?([\w.]+)"], lambda n, kind, line: "public" not in line if kind == "class" else kind == "method" and line.startswith("private")),
+    "csharp": Language([("class!", rf"^\s*{_MODS}(?:class|struct|record)\s+(?P<n>\w+)"), ("interface", rf"^\s*{_MODS}interface\s+(?P<n>I\w+)"), ("enum", rf"^\s*{_MODS}enum\s+(?P<n>\w+)"), ("method", r"^\s+(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\], ?]+\s+(?P<n>\w+)\s*\(")], [r"^\s*using\s+([\w.]+)\s*;"], lambda n, kind, line: "public" not in line if kind == "class" else kind == "method" and not line.startswith("public")),
+    "php": Language([("class!", rf"^\s*{_MODS}(?:class|trait)\s+(?P<n>\w+)"), ("interface", r"^\s*interface\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}function\s+&?(?P<n>\w+)")], [r"^use\s+([\w\\]+)", r"""(?:require|include)(?:_once)?\s*\(?\s*['"]([^'"]+)['"]"""], lambda n, kind, line: kind not in ("class", "interface") and (line.startswith("private") or " private " in line), lambda x: x.replace("\\", "/"), comments=("//", "/*", "*", "#")),
+    "kotlin": Language([("class!", rf"^\s*{_MODS}class\s+(?P<n>\w+)"), ("class", rf"^\s*{_MODS}object\s+(?P<n>\w+)"), ("interface", rf"^\s*{_MODS}interface\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?(?P<n>\w+)")], [r"^\s*import\s+([\w.]+)"], lambda n, kind, line: kind not in ("class", "interface") and line.startswith(("private", "internal"))),
+    "swift": Language([("class!", rf"^\s*{_MODS}(?:class|actor)\s+(?P<n>[A-Z]\w*)"), ("struct!", rf"^\s*{_MODS}struct\s+(?P<n>\w+)"), ("enum!", rf"^\s*{_MODS}enum\s+(?P<n>\w+)"), ("interface", rf"^\s*{_MODS}protocol\s+(?P<n>\w+)"), ("function", rf"^\s*{_MODS}func\s+(?P<n>\w+)")], [r"^\s*import\s+(\w+)"], lambda n, kind, line: not line.startswith(("public", "open")) if kind in ("class", "struct") else kind not in ("enum", "interface") and line.startswith(("private", "fileprivate"))),
+    "elixir": Language([("class!", r"^\s*defmodule\s+(?P<n>[\w.]+)"), ("function", r"^\s*def(?:p|macrop?)?\s+(?P<n>\w+[?!]?)")], [r"^\s*(?:alias|import|use|require)\s+([\w.]+)"], lambda n, kind, line: bool(re.match(r"def(macro)?p\b", line)), comments=("#",), methods=False, exported=lambda n, kind, line: not line.startswith("defmacro")),
 }
 
 
@@ -123,17 +125,17 @@ def parse(content: str, path: str, language: str) -> tuple[list[dict], list[str]
         if bare and rules.scope == "indent":
             while holders and indent <= holders[-1][1]:
                 holders.pop()
-        for source in rules.sources:
+        for source in rules.sources if not (rules.comments and bare.startswith(rules.comments)) else ():
             for found in source.findall(line):
                 for part in found.split(",") if language == "python" else [found]:
                     if cleaned := rules.clean(part.strip()):
                         imports.add(cleaned)
         if rules.private_mark and re.match(rules.private_mark, line):
             hidden = True
-        for kind, pattern in rules.compiled:
+        for kind, pattern in rules.compiled if not (rules.comments and bare.startswith(rules.comments)) else ():
             m = pattern.match(line)
-            if not m or kind == "method" and m["n"] in _NOT_NAMES:
-                continue
+            if not m or kind == "method" and (m["n"] in _NOT_NAMES or holders and m["n"] == holders[-1][0]):
+                continue  # no constructors either
             opens, kind = kind.endswith("!"), kind.rstrip("!")
             parent = m.groupdict().get("p") or (holders[-1][0] if holders and kind in ("function", "method") else None)
             if kind == "method" and parent is None:
@@ -144,10 +146,10 @@ def parse(content: str, path: str, language: str) -> tuple[list[dict], list[str]
                 holders.append((m["n"], indent if rules.scope == "indent" else depth))
             if kind == "impl":
                 break
-            private = hidden and kind == "function" or rules.private(m["n"], line)
-            kind = "method" if kind == "function" and parent else kind
+            kind = "method" if kind == "function" and parent and rules.methods else kind
+            private = hidden and kind in ("function", "method") or rules.private(m["n"], kind, bare)
             symbols.append({"name": m["n"], "kind": kind, "file": path, "line": number, "signature": bare[:80] if kind == "const" and language != "python" else bare, "visibility": "private" if private else "public", "docstring": pending or None, "parent": parent})
-            if kind != "method" and not private and (rules.exported is None or rules.exported(m["n"], line)):
+            if not private and rules.exported(m["n"], kind, bare):
                 exports.append(m["n"])
             break
         doc = rules.doc and re.match(rules.doc, line)

@@ -127,3 +127,13 @@ def env_variables(files: DataFrame) -> DataFrame:
     order = Window.partitionBy("repo", "name").orderBy("rank", "path", "line_no")
     kept = rows.withColumn("rn", F.row_number().over(order)).where("rn = 1")
     return kept.select("repo", "name", F.col("path").alias("source"), sensitive_name(F.col("name")).alias("is_sensitive"), F.nullif(F.trim("value"), F.lit("")).alias("default"))
+
+
+def own_sections(lines: DataFrame, standard: tuple[str, ...]) -> DataFrame:
+    """(path, sections): the text of second-level sections whose header is no standard one."""
+    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.last(F.when(F.col("line").startswith("## "), F.col("line")), True).over(w)
+    own = ~F.exists(F.array(*map(F.lit, standard)), lambda s: F.col("header").startswith(s))
+    kept = lines.withColumn("header", header).where(F.col("header").isNotNull() & own)
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return kept.groupBy("path").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("sections"))

@@ -29,6 +29,16 @@ def included(path: Column, excluded: Iterable[str] = EXCLUDED) -> Column:
     return keep
 
 
+def listed(files: DataFrame) -> DataFrame:
+    """A listing without version control: what the rules look at, whatever its size."""
+    return files.where(~F.col("path").startswith(".git/"))
+
+
+def selected(files: DataFrame, excluded: Iterable[str] = EXCLUDED) -> DataFrame:
+    """Files (path, size_bytes, ...) of bounded size outside the excluded directories: what is read and parsed."""
+    return files.where((F.col("size_bytes") <= MAX_BYTES) & included(F.col("path"), excluded))
+
+
 def shebang_language(content: Column) -> Column:
     """Extension by the first line of a file without one; null if it names no interpreter."""
     first = F.split(content, "\n")[0]
@@ -111,7 +121,7 @@ def contents(files: DataFrame, root: str) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, excluded: Iterable[str] = EXCLUDED, honour_ignores: bool = True) -> DataFrame:
     """(path, size_bytes, modified, content) of all text files under ``root``: sizes and paths are tested before any content is read."""
-    found = listing(spark, root, honour_ignores).where((F.col("size_bytes") <= MAX_BYTES) & included(F.col("path"), excluded))
+    found = selected(listing(spark, root, honour_ignores), excluded)
     spread = found.repartition(spark.sparkContext.defaultParallelism)
     text = contents(spread, root).where(F.col("content").isNotNull()).where(readable(F.col("content")))
     return text.withColumn("content", F.col("content").cast("string"))

@@ -18,7 +18,7 @@ CASES = {
     "php": ("<?php\nuse App\\Model;\nclass A {\n    private function b() {\n    }\n}\n", {("A", "class", "public", None), ("b", "method", "private", "A")}, {"App/Model"}),
     "kotlin": ("import a.b.C\nclass A {\n    private fun b() {}\n}\n", {("A", "class", "public", None), ("b", "method", "private", "A")}, {"a.b.C"}),
     "swift": ("import UIKit\npublic struct A {\n    private func b() {}\n}\n", {("A", "struct", "public", None), ("b", "method", "private", "A")}, {"UIKit"}),
-    "elixir": ("defmodule A.B do\n  alias C.D\n  def e(x) do\n  end\n  defp f(x) do\n  end\nend\n", {("A.B", "class", "public", None), ("e", "method", "public", "A.B"), ("f", "method", "private", "A.B")}, {"C.D"}),
+    "elixir": ("defmodule A.B do\n  alias C.D\n  def e(x) do\n  end\n  defp f(x) do\n  end\nend\n", {("A.B", "class", "public", None), ("e", "function", "public", "A.B"), ("f", "function", "private", "A.B")}, {"C.D"}),
 }
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fathomline.operators import profile as C
-from fathomline.plans.bindings_profile import user_sections
+from fathomline.sources.readers import own_sections
 
 
 def files(spark, *rows):
@@ -64,4 +64,4 @@ def test_stale(spark):
 def test_user_sections(spark):
     text = ["# T", "## Vault", "x", "## Mine", "y"]
     f = spark.createDataFrame([("p", i, t) for i, t in enumerate(text)] + [("q", 0, "none")], "path string, line_no int, line string")
-    assert [tuple(r) for r in user_sections(f, ("## Vault",)).collect()] == [("p", "## Mine\ny")]
+    assert [tuple(r) for r in own_sections(f, ("## Vault",)).collect()] == [("p", "## Mine\ny")]
