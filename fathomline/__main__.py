@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import checks as V
-from .operators.profile import COMPLEXITY_TIERS, TIERS
+from .operators.profile import COMPLEXITY_TIERS, TIERS, start_hint
 from .operators.structure import OWN
 from .plans import index as I
 from .plans import manifest as M
@@ -170,10 +170,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("fathomline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.command is None:
-        files = collection(spark, given.target)
-        from .operators.profile import start_hint
-
-        hint = start_hint(files, (V.GUIDE, V.MANIFEST)).first()
+        hint = start_hint(collection(spark, "."), (V.GUIDE, V.MANIFEST)).first()
         print(f"{hint.state}{': ' + hint.language if hint.language else ''}; see --help")
         return 0
     root = given.target

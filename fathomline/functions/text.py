@@ -66,7 +66,7 @@ def code_patterns(content: Column) -> Column:
     return F.array_compact(F.array(
         F.when(count_lines(content) > 500, "large_file"),
         F.when(_count(content, functions) > 20, "many_functions"),
-        F.when(_count(F.upper(content), r"[^\n]*(?:TODO|FIXME|HACK)[^\n]*") > 5, "many_todos"),
+        F.when(_count(F.upper(content), rf"{_LINES}^.*(?:TODO|FIXME|HACK).*$") > 5, "many_todos"),
         F.when(_count(content, rf"{_LINES}^(?:[ \t\r\f\x0B]{{20}}|\t{{5}}).*$") > 10, "deep_nesting"),
     ))
 
