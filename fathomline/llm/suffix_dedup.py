@@ -11,12 +11,16 @@ judged on the input.
 2. *Same contexts.* Of runs with the same key and context, all but the earliest are repeats in
    whole (two different contexts around one anchor pass for equal with a chance of 2^-64); that is settled within a slice first, so a passage found in a third of all documents
    reaches a shuffle once a slice, and then within the key's bucket.
-3. *Suffix arrays.* A key with several different contexts needs its texts: their bytes are
+3. *Flanks.* An equal string in two contexts of a key has its anchor at the same place, so it
+   reaches at least half of the other ``L - K`` bytes to the left of the anchor or to the right. Of
+   a key's contexts only those go on whose hash of that many bytes on one side, if they have them,
+   is another's as well; a frequent gram with differing surroundings ends here.
+4. *Suffix arrays.* A key with several different contexts left needs its texts: their bytes are
    fetched, and each bucket's contexts form one shard text. Its suffix array comes from induced
    sorting at every level (classify suffixes, sort the leftmost-smaller substrings and name them,
    recurse on the names, induce the rest linearly), and common prefixes are computed in permuted (text) order.
    Neighbours in the array that share 100 bytes are equal strings; all but the earliest repeat.
-4. *Cut.* Repeats meet their documents by id; overlapping ones merge to spans, which are removed.
+5. *Cut.* Repeats meet their documents by id; overlapping ones merge to spans, which are removed.
 
 What travels is packed arrays of numbers (a few bytes a run) in a fixed number of buckets; texts
 are dealt out once, by document. No group is gathered beyond one bucket, and a bucket's size
@@ -49,7 +53,7 @@ BUCKET_BYTES = 12 << 20
 BLOCK = 1 << 20
 #: Runs that a task settles among themselves before it sends them: about 16 MB of text.
 SLICE_RUNS = 400_000
-RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<i4"), ("n", "<i4"), ("home", "<i4")])
+RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("sig", "<u4"), ("start", "<i4"), ("n", "<i4"), ("home", "<i4"), ("left", "<u4"), ("right", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("sig", "<u4"), ("start", "<i4"), ("n", "<i4")])
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -76,8 +80,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of starts with one anchor: (row, start in the row, count, key, context hash)."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """Runs of starts with one anchor: (row, start in the row, count, key, context hash, left and right flank's hash or 0)."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32))
     if len(data) < length:
         return none
     if len(data) >= 1 << 23:
@@ -113,8 +117,19 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     last = begin + count - 1 + length - K + 1
     context = _mixed((total[last] - total[begin]) * back[begin]) + count.astype(np.uint64)
     where = anchor[begin]
+    half = (length - K + 1) // 2
+    left, right = where - begin >= half, begin + count - 1 + length - where - K >= half
+
+    def flank(at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """Hash of the ``half`` bytes from every place: of grams that cover them, two where two grams are long enough."""
+        out = np.zeros(len(at), np.uint64)
+        at = np.where(there, at, 0)
+        for k in [*range(0, half - K, K), half - K] if half > K else [half - K]:
+            out = _mixed(out * _C[0] + grams[np.clip(at + k, 0, len(grams) - 1)])
+        return np.where(there, np.maximum((out >> np.uint64(32)).astype(np.uint32), 1), 0).astype(np.uint32)
+
     # The anchor's place in its string is part of the class: equal contexts have it by themselves.
-    return row[begin], begin - offsets[row[begin]], count, grams[where], context
+    return row[begin], begin - offsets[row[begin]], count, grams[where], context, flank(where - half, left), flank(where + K, right)
 
 
 def runs_in_blocks(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -359,6 +374,16 @@ def _later(rows: np.ndarray) -> np.ndarray:
     return np.concatenate([[False], (rows["key"][1:] == rows["key"][:-1]) & (rows["ctx"][1:] == rows["ctx"][:-1])]) if len(rows) else np.zeros(0, bool)
 
 
+def _shared(rows: np.ndarray, flank: str) -> np.ndarray:
+    """Which runs have a flank that another run of their key has as well."""
+    order = np.lexsort((rows[flank], rows["key"]))
+    key, side = rows["key"][order], rows[flank][order]
+    same = (key[1:] == key[:-1]) & (side[1:] == side[:-1]) & (side[1:] > 0)
+    out = np.zeros(len(rows), bool)
+    out[order] = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) if len(rows) else same
+    return out
+
+
 def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(doc.astype(np.uint64) * _C[0] + _C[1]) % np.uint64(buckets)).astype(np.int32)
 
@@ -396,8 +421,8 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
     ``spans`` are the removed runs as (start, end) byte places, ``kept`` the remaining bytes. With
     ``whole_characters`` what a cut leaves of a character at its edges goes as well, so ``kept`` is text.
     """
-    if length < K + 8:
-        raise ValueError(f"length must be {K + 8} or more")
+    if length < 3 * K:
+        raise ValueError(f"length must be {3 * K} or more")
     carry = carry or []
     extra = [f"carried{i}" for i in range(len(carry))]
     texts = df.select(df[id_col].cast("long").alias("doc"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("text"), *(df[c].alias(x) for c, x in zip(carry, extra)))
@@ -424,11 +449,11 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
 
         for part in text_slices(batches, "text", 1 << 20):
             data, offsets = utf8_buffers(part["text"])
-            row, start, count, key, context = runs_in_blocks(data, offsets, length)
+            row, start, count, key, context, left, right = runs_in_blocks(data, offsets, length)
             found = np.zeros(len(row), RUN)
             found["key"], found["ctx"], found["start"], found["n"] = key, context, start, count
             found["doc"], found["sig"] = part["doc"].to_numpy()[row], part["sig"].to_numpy()[row]
-            found["home"] = _home(found["doc"], buckets)
+            found["home"], found["left"], found["right"] = _home(found["doc"], buckets), left, right
             held.append(found)
             if sum(map(len, held)) >= SLICE_RUNS:
                 yield from settle()
@@ -449,10 +474,8 @@ def dedup(df: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: st
             later = _later(found)
             spans, first = found[later], found[~later]
             out += _sent("span", _spans_of(spans), _home(_spans_of(spans)["doc"], buckets))
-            if len(first):
-                same = first["key"][1:] == first["key"][:-1]
-                several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-                out += _sent("fetch", first[several], first[several]["home"])
+            near = first[_shared(first, "left") | _shared(first, "right")]
+            out += _sent("fetch", near, near["home"])
         return _messages(out)
 
     def fetch(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:

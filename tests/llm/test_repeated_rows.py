@@ -35,7 +35,7 @@ def test_long_texts_in_blocks(spark, monkeypatch):
     texts = [base, base[1000:4000], b"x" * 50 + base[2500:2700] + b"y" * 30, b"", base[:99], base[3500:6000] + base[:100]]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    strings = lambda r: sorted((row, s + k, key) for row, s, n, key, _ in zip(*(x.tolist() for x in r)) for k in range(n))
+    strings = lambda r: sorted((row, s + k, key) for row, s, n, key, *_ in zip(*(x.tolist() for x in r)) for k in range(n))
     whole = strings(suffix_dedup.runs(data, offsets, 100))
     for block in (64, 100, 1000, 5000):
         monkeypatch.setattr(suffix_dedup, "BLOCK", block)
@@ -53,3 +53,25 @@ def test_every_level_is_induced(monkeypatch):
     array = suffix_dedup.suffix_array(text, 256)
     assert max(sizes) > 4096 and sorted(array.tolist()) == list(range(len(raw)))
     assert all(raw[a : a + 400] < raw[b : b + 400] for a, b in zip(array[:-1].tolist(), array[1:].tolist()))
+
+
+def test_flanks_keep_all_that_repeats(spark):
+    """Strings of exactly the length, with the anchor anywhere in them, and near misses, against brute force."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    texts = {}
+    for i in range(60):
+        core = letters(int(rng.choice([98, 99, 100, 101, 130, 180])))
+        texts[3 * i], texts[3 * i + 1] = letters(int(rng.integers(0, 150))) + core + letters(int(rng.integers(0, 150))), letters(int(rng.integers(0, 150))) + core + letters(int(rng.integers(0, 150)))
+        texts[3 * i + 2] = letters(40) + core[:60] + letters(3) + core[60:]
+    seen, want = set(), {}
+    for doc in sorted(texts):
+        raw, gone = texts[doc], np.zeros(len(texts[doc]), bool)
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(raw[s : s + 100])
+        want[doc] = int(gone.sum())
+    assert any(want.values())
+    docs = spark.createDataFrame([(d, t.decode()) for d, t in texts.items()], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup(docs, buckets=3).collect()} == want
