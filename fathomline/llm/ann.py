@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE, CALIBRATION, BRANCH, LEAF_ROWS, BLOCK_ROWS = 40_000, 200, 8, 200, 8192
+SAMPLE, CALIBRATION, BRANCH, LEAF_ROWS, BLOCK_ROWS, LEAST_BLOCK = 40_000, 200, 8, 200, 8192, 512
 
 
 class Tree:
@@ -168,11 +168,13 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, i
     placed_of = lambda frames: (pd.DataFrame({"leaf": shared.value.place(lift(_matrix(f["v"]))), "first": f["first"], "v": f["v"]}) for f in frames)
     placed = materialise(items.select(F.col("ids")[0].alias("first"), "v").mapInPandas(placed_of, "leaf long, first long, v array<double>"))
     sizes = dict.fromkeys(range(total), 0) | {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
+    # Blocks of a small table are smaller, so that all cores have some.
+    block_rows = max(LEAST_BLOCK, min(BLOCK_ROWS, count // (4 * spark.sparkContext.defaultParallelism)))
     group, parts, at, held = {}, {}, 0, 0
     for leaf in range(total):  # leaves are numbered along the tree
-        if held and held + sizes[leaf] > BLOCK_ROWS:
+        if held and held + sizes[leaf] > block_rows:
             at, held = at + 1, 0
-        group[leaf], parts[leaf], held = at, max(1, -(-sizes[leaf] // BLOCK_ROWS)), held + sizes[leaf]
+        group[leaf], parts[leaf], held = at, max(1, -(-sizes[leaf] // block_rows)), held + sizes[leaf]
     layout = spark.sparkContext.broadcast((group, parts))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
