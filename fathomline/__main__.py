@@ -21,7 +21,7 @@ from .operators.structure import OWN
 from .plans import index as I
 from .plans import manifest as M
 from .plans import render, server
-from .sources import repo, sinks
+from .sources import git, repo, sinks
 
 #: Where the knowledge of all collections is kept unless told.
 KNOWLEDGE = Path.home() / OWN / "knowledge"
@@ -45,8 +45,9 @@ def write_document(root: str, name: str, text: str) -> None:
     target.write_text(text)
 
 
-def discover(spark: SparkSession, root: str, commits: int = 0, output: str | None = None) -> DataFrame:
-    """Builds the manifest, writes it as JSON and returns its row."""
+def discover(spark: SparkSession, root: str, commits: int | None = None, output: str | None = None) -> DataFrame:
+    """Builds the manifest, writes it as JSON and returns its row; the number of commits is asked from version control unless given."""
+    commits = git.log(spark, root).first()["n_commits"] if commits is None else commits
     files = collection(spark, root).where(~F.col("path").startswith(OWN)).persist()
     history = files.select("repo").distinct().withColumn("n_commits", F.lit(commits).cast("long"))
     rows = M.manifest(files.select("repo", "path", "content"), history).persist()
@@ -103,7 +104,9 @@ def generate(root: str, manifest: DataFrame, made: I.Index | None, tier: str, dr
 
 
 def verify(spark: SparkSession, root: str) -> DataFrame:
-    return V.checks(collection(spark, root)).drop("repo").orderBy("name")
+    """The checks of a tree; without version control .env doesn't count as tracked."""
+    tracked = bool(git.log(spark, root).first()["env_tracked"])
+    return V.checks(collection(spark, root), tracked).drop("repo").orderBy("name")
 
 
 def show_checks(rows: DataFrame) -> int:
@@ -131,7 +134,7 @@ def remember(spark: SparkSession, root: str, manifest: DataFrame, made: I.Index
     sinks.upsert(spark, knowledge, entry, fill=("total_files", "total_symbols", "total_edges", "languages"))
 
 
-def run(spark: SparkSession, root: str, with_index: bool = True, tier: str | None = None, dry_run: bool = False, knowledge: str = str(KNOWLEDGE), commits: int = 0) -> int:
+def run(spark: SparkSession, root: str, with_index: bool = True, tier: str | None = None, dry_run: bool = False, knowledge: str = str(KNOWLEDGE), commits: int | None = None) -> int:
     """The whole pipeline; a dry run writes manifest and index only."""
     manifest = discover(spark, root, commits)
     made = make_index(spark, root) if with_index else None
@@ -165,7 +168,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         sub.add_argument("--no-index", action="store_true")
         sub.add_argument("--dry-run", action="store_true")
         sub.add_argument("--summary", action="store_true")
-        sub.add_argument("--commits", type=int, default=0)
+        sub.add_argument("--commits", type=int)
         sub.add_argument("--knowledge", default=str(KNOWLEDGE))
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("fathomline").config("spark.sql.session.timeZone", "UTC").getOrCreate()

@@ -56,6 +56,11 @@ def relative_import(x: Column) -> Column:
     return F.when(x.startswith(".") | x.contains("/"), F.regexp_replace(F.regexp_replace(x, r"^(\./)+", ""), r"^(\.\./)+", ""))
 
 
+def tildify(path: Column, home: str) -> Column:
+    """The path with the home directory as ~."""
+    return F.when((path == home) | path.startswith(home.rstrip("/") + "/"), F.concat(F.lit("~"), F.substring(path, len(home.rstrip("/")) + 1, 1 << 20))).otherwise(path)
+
+
 def suffixes(path: Column) -> Column:
     """The path's endings at component borders, the whole path first."""
     parts = F.split(path, "/")

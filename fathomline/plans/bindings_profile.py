@@ -231,7 +231,7 @@ def s12(spark, sf):
 @query("x13_key_deps", "SELECT p_partkey::VARCHAR AS path, unnest(['flask', 'lib' || p_size, 'a', 'b']) AS name FROM part")
 def x13(spark, sf):
     python = L.requirements(split(made(spark, sf, "flask==1\nlib", F.col("p_size"), "[x]>2\n")))
-    node = made(spark, sf, '{"dependencies": {"b": 1, "a": 2}}').select("path", F.explode(F.slice(F.array_sort(F.json_object_keys(F.get_json_object("content", "$.dependencies"))), 1, 20)).alias("name"))
+    node = made(spark, sf, '{"dependencies": {"b": 1, "a": 2}}').select("path", F.explode(L.package_dependencies(F.col("content"))).alias("name"))
     return node.unionByName(python)
 
 

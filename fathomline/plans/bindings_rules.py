@@ -411,6 +411,9 @@ for _id, _names in (("v1_expected_files", ("GUIDE.md", "AGENTS.md")), ("v2_guide
     query(_id, f"SELECT * FROM ({_CHECK_SQL}) WHERE name IN ({', '.join(map(quoted, _names))})")(lambda spark, sf, ns=_names: checked(spark, sf).where(F.col("name").isin(*ns)))
 
 
+query("j11_doc_consistency", f"SELECT repo, name, detail FROM ({_CHECK_SQL}) WHERE starts_with(name, 'consistency-')")(lambda spark, sf: checked(spark, sf).where("startswith(name, 'consistency-')").select("repo", "name", "detail"))
+
+
 @query("v8_freshness", f"WITH {VIEW.replace('f AS', 'g AS')}, f AS (SELECT repo, CASE path WHEN 'index.json' THEN '{_OWN_DIR}manifest.json' ELSE path END AS path, mtime FROM g), t AS (SELECT repo, max(mtime) FILTER (WHERE path = '{_OWN_DIR}manifest.json') AS made, max(mtime) FILTER (WHERE path IN ('GUIDE.md', 'Makefile', 'src/a.py', 'lib/package.json')) AS latest FROM f GROUP BY repo) SELECT repo, CASE WHEN made IS NULL OR coalesce(latest > made, false) THEN 'WARN' ELSE 'PASS' END AS status FROM t")
 def v8(spark, sf):
     rows = profiles(spark, sf).withColumn("path", F.when(F.col("path") == "index.json", V.MANIFEST).otherwise(F.col("path")))

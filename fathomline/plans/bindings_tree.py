@@ -321,3 +321,9 @@ def m17(spark, sf):
     return files(spark, sf).select("path", *I.file_metrics(F.col("content"))).select("path", "lines", "logical_loc")
 
 
+
+
+@query("p6_func_line", f"WITH {TREE}, l AS (SELECT path, unnest(string_split(content, chr(10))) AS line FROM tree), t AS (SELECT path, line, trim(line, ' ' || chr(9)) AS t FROM l) SELECT path, count(*) AS n FROM t WHERE starts_with(t, 'def ') OR starts_with(t, 'fn ') OR starts_with(t, 'func ') OR contains(t, 'function ') OR contains(t, '=>') AND contains(t, 'const ') GROUP BY path")
+def p6(spark, sf):
+    rows = tree(spark, sf).select("path", F.explode(T.lines(F.col("content"))).alias("line"))
+    return rows.where(T.func_line(F.col("line"))).groupBy("path").agg(F.count("*").alias("n"))

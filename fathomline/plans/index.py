@@ -13,6 +13,10 @@ from ..operators.structure import OWN
 from ..sources import parsers, repo
 from ..sources.shared import written
 
+#: Times of documents: seconds, UTC (the session's zone).
+ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
 @dataclass
 class Index:
     files: DataFrame
@@ -25,7 +29,7 @@ class Index:
         """One row: totals and the languages' counts."""
         counts = self.files.groupBy("language").agg(F.count("*").alias("n"))
         languages = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "n")))).alias("languages"), F.sum("n").alias("total_files"))
-        return languages.crossJoin(self.symbols.agg(F.count("*").alias("total_symbols"))).crossJoin(self.edges.agg(F.count("*").alias("total_edges"))).withColumn("generated_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))  # one-row tables
+        return languages.crossJoin(self.symbols.agg(F.count("*").alias("total_symbols"))).crossJoin(self.edges.agg(F.count("*").alias("total_edges"))).withColumn("generated_at", F.date_format(F.current_timestamp(), ISO))  # one-row tables
 
     def top_files(self, n: int = 10) -> DataFrame:
         """Most important files, 20 at most; ties by path."""

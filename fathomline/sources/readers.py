@@ -34,6 +34,16 @@ def requirements(lines: DataFrame, most: int = 20) -> DataFrame:
     return hits.select("path", F.trim(F.regexp_extract("line", r"^[^=<>\[;]*", 0)).alias("name"))
 
 
+def package_dependencies(content: Column, most: int = 20) -> Column:
+    """The first names, in order, of the dependencies of a package.json."""
+    return F.slice(F.array_sort(F.json_object_keys(F.get_json_object(content, "$.dependencies"))), 1, most)
+
+
+def knowledge(content: Column, schema: str) -> Column:
+    """Fields of an entry of the knowledge folder; null for a text that doesn't parse."""
+    return F.from_json(content, schema)
+
+
 def block_keys(lines: DataFrame, block: str, indent: int) -> DataFrame:
     """(path, key): keys at that indentation under a top-level ``block:``."""
     w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
