@@ -118,24 +118,26 @@ def circular(pairs: DataFrame) -> DataFrame:
 def pagerank(links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """(id, rank): fixed iterations, multiple edges count, mass of vertices without edges is lost.
 
-    Weighted edges are dealt by source and vertices by id once and kept so; a round then shuffles
-    only the sums that the edges send, as these arrive dealt by their target, which is the next
-    round's source. Ranks are cut from their lineage every five rounds by a written table.
+    Weighted edges are dealt and sorted by source and vertices by id once and kept so; a round then
+    shuffles only the sums that the edges send, as these arrive dealt by their target, which is the
+    next round's source. Neither edges nor ranks are broadcast, as both grow with the graph. Ranks
+    are cut from their lineage every five rounds by a written table.
     """
     spark = links.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = written(links.select("source", "target"))
-    degree = links.groupBy("source").agg(F.count("*").alias("degree"))
-    weights = links.join(degree, "source").groupBy("source", "target").agg((F.count("*") / F.first("degree")).alias("weight"))
-    names = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
-    weighted, vertices = weights.repartition(parts, "source").persist(), names.repartition(parts, "id").persist()
+    dealt = links.select("source", "target").repartition(parts, "source").groupBy("source", "target").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("source")
+    weighted = dealt.select("source", "target", (F.col("n") / F.sum("n").over(own)).alias("weight")).persist()
+    weighted.count()  # once it is there, the planner knows its partitions and order
+    ends = weighted.select(F.col("source").alias("id")).unionByName(weighted.select(F.col("target").alias("id")))
+    vertices = ends.repartition(parts, "id").distinct().sortWithinPartitions("id").persist()
     n = vertices.count()
     if not n:
-        return names.withColumn("rank", F.lit(0.0))
+        return vertices.withColumn("rank", F.lit(0.0))
     ranks = vertices.withColumn("rank", F.lit(1.0 / n))
     for i in range(iterations):
-        sent = weighted.join(ranks, weighted.source == ranks.id).groupBy("target").agg(F.sum(F.col("rank") * F.col("weight")).alias("sent"))
-        ranks = vertices.join(sent, vertices.id == sent.target, "left").select("id", (F.lit((1 - DAMPING) / n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("rank"))
+        sent = weighted.join(ranks.hint("merge"), weighted.source == ranks.id).groupBy("target").agg(F.sum(F.col("rank") * F.col("weight")).alias("sent"))
+        ranks = vertices.join(sent.hint("merge"), vertices.id == sent.target, "left").select("id", (F.lit((1 - DAMPING) / n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("rank"))
         if i % 5 == 4 or i == iterations - 1:
             ranks = written(ranks)
     weighted.unpersist()
