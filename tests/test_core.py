@@ -51,10 +51,10 @@ def test_pagerank_pair(spark):
 
 def test_resolve_tiers(spark):
     files = spark.createDataFrame([(p,) for p in ("foo", "foo.py", "x/a.py", "x/b.py", "lib/util/deep.py", "p/one/same.py", "p/two/same.py", "self.py")], "path string")
-    imports = spark.createDataFrame([("x/a.py", "foo"), ("x/a.py", "b"), ("x/a.py", "util/deep"), ("p/twofold/z.py", "same"), ("x/a.py", "lib.util.deep"), ("self.py", "self"), ("x/a.py", "absent")], "source string, import string")
+    imports = spark.createDataFrame([("x/a.py", "foo"), ("x/a.py", "b"), ("x/a.py", "util/deep"), ("x/a.py", "util/deep.py"), ("p/twofold/z.py", "same"), ("x/a.py", "lib.util.deep"), ("self.py", "self"), ("x/a.py", "absent")], "source string, import string")
     found = {(r["source"], r["import"]): (r["target"], r["tier"]) for r in graph.resolve_imports(files, imports).collect()}
     assert found == {
-        ("x/a.py", "foo"): ("foo.py", 1), ("x/a.py", "b"): ("x/b.py", 2), ("x/a.py", "util/deep"): ("lib/util/deep.py", 3), ("p/twofold/z.py", "same"): ("p/two/same.py", 4),
+        ("x/a.py", "foo"): ("foo.py", 1), ("x/a.py", "b"): ("x/b.py", 2), ("x/a.py", "util/deep.py"): ("lib/util/deep.py", 3), ("p/twofold/z.py", "same"): ("p/two/same.py", 4),
         ("x/a.py", "lib.util.deep"): ("lib/util/deep.py", 5), ("self.py", "self"): ("self.py", 1),
     }
     assert ("self.py", "self.py") not in {(r.source, r.target) for r in graph.edges(graph.resolve_imports(files, imports)).collect()}
