@@ -48,6 +48,8 @@ from .common import materialise, text_slices
 
 #: Rows of the (partition, source) table up to which it is broadcast: about 8 MB.
 BROADCAST_ROWS = 100_000
+#: Characters from which on ids come as an array, without a list that takes ten times its memory.
+LONG_TEXT = 1 << 20
 #: Queues: the largest sources and all with a target have their own, and beyond half this number of sources the rest share queues.
 QUEUES = 1024
 
@@ -107,6 +109,8 @@ class IdEncoder:
         """Little-endian ids, ``dtype`` wide."""
         if self.fast is None or self.PLAIN.fullmatch(text) is None or any(x in text for x in self.added):
             return self.library_ids(text)
+        if len(text) > LONG_TEXT:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
         return np.array(self.fast.encode_ordinary(text), self.dtype).tobytes()
 
 
