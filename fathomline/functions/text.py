@@ -84,3 +84,11 @@ def fenced_command(content: Column, label: str) -> Column:
         return F.struct(F.when(fence, ~state["inside"]).otherwise(state["inside"]).alias("inside"), F.coalesce(state["found"], F.when(hit, t)).alias("found"))
 
     return F.aggregate(lines(content), F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("found")), step)["found"]
+
+
+def djb2(content: Column) -> Column:
+    """16 hex digits of the 64-bit hash that multiplies by 33 and adds each byte, starting from 5381."""
+    digits = F.regexp_extract_all(F.hex(F.encode(content, "UTF-8")), F.lit("(..)"), F.lit(1))
+    whole = "decimal(20,0)"
+    step = lambda h, b: F.pmod(h * F.lit(33).cast("decimal(2,0)") + F.conv(b, 16, 10).cast("decimal(3,0)"), F.lit(str(1 << 64)).cast(whole)).cast(whole)
+    return F.lpad(F.lower(F.conv(F.aggregate(digits, F.lit(5381).cast(whole), step).cast("string"), 10, 16)), 16, "0")

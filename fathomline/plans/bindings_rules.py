@@ -407,6 +407,7 @@ def checked(spark, sf) -> DataFrame:
 
 query("u3_union_checks", _CHECK_SQL)(checked)
 query("a10_check_summary_rows", f"SELECT status, count(*) AS n, max(length(name))::BIGINT AS width FROM ({_CHECK_SQL}) GROUP BY 1")(lambda spark, sf: V.summary(checked(spark, sf)))
+query("m5_verify_status", f"SELECT repo, bool_or(status = 'FAIL')::INT AS status FROM ({_CHECK_SQL}) GROUP BY repo")(lambda spark, sf: checked(spark, sf).groupBy("repo").agg(F.bool_or(F.col("status") == "FAIL").cast("int").alias("status")))
 for _id, _names in (("v1_expected_files", ("GUIDE.md", "AGENTS.md")), ("v2_guide_structure", ("guide structure",)), ("v3_json_valid", ("manifest.json",)), ("v5_configured", ("commands",)), ("v6_consistency", ("consistency", "consistency-lint", "consistency-test", "consistency-manifest-lint", "consistency-manifest-test")), ("v7_security", ("security-gitignore", "security-secrets", "security-env-tracked")), ("v8_index_present", ("freshness-index",))):
     query(_id, f"SELECT * FROM ({_CHECK_SQL}) WHERE name IN ({', '.join(map(quoted, _names))})")(lambda spark, sf, ns=_names: checked(spark, sf).where(F.col("name").isin(*ns)))
 

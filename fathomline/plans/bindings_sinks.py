@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import paths as P
+from ..functions import text as T
 from ..operators import profile as C
 from ..sources import sinks
 from ..sources.shared import shared_path
@@ -169,3 +170,8 @@ def j1b(spark, sf):
 def p16(spark, sf):
     rows = read(spark, sf, "orders").select(F.col("o_custkey").alias("repo"), (F.col("o_orderkey") % 5).cast("string").alias("path"))
     return rows.groupBy("repo").agg(C.first_rule((("3", "c"), ("1", "b"), ("4", "a")), C.marked, "none").alias("first"))
+
+
+@query("f25_djb2", "SELECT p_partkey, lower(lpad(to_hex(list_reduce(list_transform(string_split(p_name || ':' || p_type, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT, 5381::HUGEINT)::UBIGINT), 16, '0')) AS hash FROM part")
+def f25(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.djb2(F.concat_ws(":", "p_name", "p_type")).alias("hash"))

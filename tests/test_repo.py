@@ -1,7 +1,8 @@
 """Walking source trees: ignore files, dotted names, guards before reading."""
 
 import os
-from fathomline.sources import ignore, repo
+import subprocess
+from fathomline.sources import git, ignore, repo
 
 
 def test_ignore_rules():
@@ -23,3 +24,16 @@ def test_scan_honours_ignores_and_keeps_dotted_names(spark, tmp_path):
     assert set(got) == {".gitignore", "sub/.gitignore", "sub/a.log", "pkg/__init__.py", ".github/workflows/ci.yml", "run"} and got["sub/a.log"] == "kept"
     assert {r.path: r.language for r in repo.with_language(repo.scan(spark, f"file://{os.fspath(root)}".replace(" ", "%20"))).collect()} == {"pkg/__init__.py": "python", "run": "bash"}
     assert "a.log" in [p for p, _, _ in repo.walk(str(root), honour_ignores=False)]
+
+
+def test_facts_of_version_control(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    assert tuple(git.log(spark, str(tmp_path)).first())[0] == 0
+    run("init", "-q")
+    run("config", "user.name", "Someone")
+    run("config", "user.email", "s@example.org")
+    (tmp_path / ".env").write_text("A=1")
+    run("add", "-f", ".env")
+    run("commit", "-qm", "one")
+    row = git.log(spark, str(tmp_path)).first()
+    assert (row.n_commits, row.contact, row.env_tracked) == (1, "Someone", True) and row.last_commit is not None
