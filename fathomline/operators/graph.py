@@ -25,16 +25,17 @@ def _nearest_of_stem(files: DataFrame, wanted: DataFrame) -> DataFrame:
     path with that prefix then is the next one from the prefix on. Two sorts by stem, no pairs.
     """
     stems = files.select(paths.stem(F.col("path")).alias("stem"), F.col("path").alias("at"), F.lit(1).alias("file"), F.lit(None).cast("string").alias("source"))
-    order = Window.partitionBy("stem").orderBy("at", "file")
-    here = F.when(F.col("file") == 1, F.col("at"))
+    # Both ways a frame only grows, so each is one pass over a sorted stem, however many files have it.
+    ahead = Window.partitionBy("stem").orderBy("at", "file").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("stem").orderBy(F.desc("at"), F.desc("file")).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = F.last(F.when(F.col("file") == 1, F.col("at")), True)
     asks = wanted.select(F.col("import").alias("stem"), F.col("source").alias("at"), F.lit(0).alias("file"), "source")
     near = stems.unionByName(asks).select(
-        "stem", "source", F.last(here, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.first(here, True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("b")
+        "stem", "source", nearest.over(ahead).alias("a"), nearest.over(back).alias("b")
     ).where("source is not null and (a is not null or b is not null)")
     shared = lambda c: F.coalesce(paths.common_prefix(F.col("source"), F.col(c)), F.lit(0))
     starts = near.select("stem", F.left("source", F.greatest(shared("a"), shared("b"))).alias("at"), F.lit(0).alias("file"), "source")
-    first = F.first(here, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return stems.unionByName(starts).select("source", F.col("stem").alias("import"), first.alias("target")).where("source is not null")
+    return stems.unionByName(starts).select("source", F.col("stem").alias("import"), nearest.over(back).alias("target")).where("source is not null")
 
 
 def _unaligned(known: DataFrame, asked: DataFrame) -> DataFrame:
