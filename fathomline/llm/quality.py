@@ -79,13 +79,9 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         bare = F.translate(t, " \t\n\x0b\x0c\r", "")
         lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
         words = F.filter(F.split(t, SPACE), lambda x: x != "")
-        rest = lambda b: F.struct(
-            F.length(b).cast("long").alias("word_chars"),
-            (F.length(b) - F.length(F.translate(b, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            (F.length(b) - F.length(F.translate(b, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
-        )
+        counted = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
         return F.struct(
-            _let(bare, rest).alias("chars"),
+            F.struct(F.length(bare).cast("long").alias("word_chars"), counted(r"[#*$%&|<>]").alias("n_symbols"), counted("[A-Z]").alias("n_capitals")).alias("chars"),
             _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("lines"),
             _let(F.transform(words, lambda w: F.xxhash64(w)), lambda x: F.struct(F.size(x).cast("long").alias("n_words"), _repeat_words(x, F.size(x)).cast("long").alias("n_repeat_words"))).alias("words"),
         )
