@@ -1,8 +1,6 @@
 """Past the limits that operators used to have: many sources, many languages, clashing names, long texts."""
 
 import numpy as np
-from pyspark.sql import functions as F
-
 from fathomline.llm import langid, mixing, packing
 from fathomline.llm.queries import tokenizer
 
