@@ -57,7 +57,7 @@ def archetype(files: DataFrame) -> DataFrame:
         (any_of(has("routes/", "controllers/", "handlers/", "endpoints/")) | depends_on(API)).alias("api"),
         depends_on(WEB).alias("web"), any_of(path().startswith("bin/")).alias("bin"),
         F.count_if(path().isin(*LIBRARY_ENTRIES)).alias("entries"), depends_on(DOCUMENTATION).alias("doc"), F.count_if(has(r"\.md$", r"\.mdx$")).alias("md"),
-        any_of(has("terraform", "pulumi", r"cdk\.json", r"ansible\.cfg", r"\.tf$")).alias("infra"),
+        any_of(path().rlike(_escaped(INFRASTRUCTURE) + r"|\.tf$")).alias("infra"),
     )
     f = F.col
     kind = (
