@@ -10,6 +10,8 @@ from ..sources.shared import written
 
 #: Damping and number of iterations.
 DAMPING, ITERATIONS = 0.85, 20
+#: Rounds that one plan holds: longer plans take longer to plan and compile than a table of ranks takes to write.
+CUT = 2
 
 
 def path_keys(files: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def pagerank(links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     Weighted edges are dealt and sorted by source and vertices by id once and kept so; a round then
     shuffles only the sums that the edges send, as these arrive dealt by their target, which is the
     next round's source. Neither edges nor ranks are broadcast, as both grow with the graph. Ranks
-    are cut from their lineage every five rounds by a written table.
+    are cut from their lineage every ``CUT`` rounds by a written table, small next to the edges.
     """
     spark = links.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -139,7 +141,7 @@ def pagerank(links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     for i in range(iterations):
         sent = weighted.join(ranks.hint("merge"), weighted.source == ranks.id).groupBy("target").agg(F.sum(F.col("rank") * F.col("weight")).alias("sent"))
         ranks = vertices.join(sent.hint("merge"), vertices.id == sent.target, "left").select("id", (F.lit((1 - DAMPING) / n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4 or i == iterations - 1:
+        if i % CUT == CUT - 1 or i == iterations - 1:
             ranks = written(ranks)
     weighted.unpersist()
     vertices.unpersist()
