@@ -23,31 +23,31 @@ from .fixtures import quoted
 FOLDERS = ("lib", "api", "models", "services", "tests", "cmd", "config", "web/handlers", "core")
 #: (extension, language, text, symbols: (line, name, kind, visibility, parent, docstring), imports, exports).
 LANGUAGES = (
-    ("py", "python", 'import os\nfrom lib.m{j} import x\n\nclass C{i}:\n    """Holds things"""\n    def run(self):\n        return 1\n\ndef f_{i}():\n    pass\n\ndef _g{i}():\n    pass\n# def gone(): pass\nLIMIT_{i} = 1\n',
-     ((4, "C{i}", "class", "public", None, None), (6, "run", "method", "public", "C{i}", "Holds things"), (9, "f_{i}", "function", "public", None, None), (12, "_g{i}", "function", "private", None, None), (15, "LIMIT_{i}", "const", "public", None, None)), ("lib/m{j}", "os"), ("C{i}", "f_{i}", "LIMIT_{i}")),
-    ("ts", "typescript", "import {{ a }} from './m{j}';\nimport express from 'express';\nexport interface I{i} {{\n  a: string;\n}}\nexport class C{i} {{\n  async run(p: number): Promise<void> {{\n    if (p) {{\n    }}\n  }}\n}}\nexport function f_{i}(): void {{\n}}\nclass Hid{i} {{\n}}\nexport const V_{i} = '1';\n",
-     ((3, "I{i}", "interface", "public", None, None), (6, "C{i}", "class", "public", None, None), (7, "run", "method", "public", "C{i}", None), (12, "f_{i}", "function", "public", None, None), (14, "Hid{i}", "class", "private", None, None), (16, "V_{i}", "const", "public", None, None)), ("m{j}",), ("I{i}", "C{i}", "f_{i}", "V_{i}")),
-    ("js", "javascript", "const x = require('../lib/m{j}');\nclass C{i} {{\n  run(a) {{\n  }}\n}}\nfunction f_{i}(a) {{\n}}\nexport const g{i} = (a) => a;\n",
-     ((2, "C{i}", "class", "private", None, None), (3, "run", "method", "public", "C{i}", None), (6, "f_{i}", "function", "private", None, None), (8, "g{i}", "function", "public", None, None)), ("lib/m{j}",), ("g{i}",)),
-    ("go", "go", 'package main\n\nimport (\n\t"fmt"\n\t"app/m{j}"\n)\n\ntype C{i} struct {{\n}}\n\n// Run does it\nfunc (s *C{i}) Run() {{\n}}\n\nfunc f_{i}() *C{i} {{\n\treturn nil\n}}\n',
-     ((8, "C{i}", "struct", "public", None, None), (12, "Run", "method", "public", "C{i}", "Run does it"), (15, "f_{i}", "function", "private", None, None)), ("fmt", "m{j}"), ("C{i}",)),
-    ("rs", "rust", "use crate::m{j};\nmod m{j};\n\npub struct C{i} {{\n}}\n\nimpl C{i} {{\n    /// Makes one\n    pub fn new() -> Self {{\n        C{i} {{}}\n    }}\n    fn inner(&self) {{\n    }}\n}}\npub fn f_{i}() {{\n}}\n",
-     ((4, "C{i}", "struct", "public", None, None), (9, "new", "method", "public", "C{i}", "Makes one"), (12, "inner", "method", "private", "C{i}", None), (15, "f_{i}", "function", "public", None, None)), ("crate/m{j}", "m{j}"), ("C{i}", "f_{i}")),
-    ("rb", "ruby", "require_relative 'm{j}'\nclass C{i}\n  def run\n  end\n  private\n  def hid\n  end\nend\n",
-     ((2, "C{i}", "class", "public", None, None), (3, "run", "method", "public", "C{i}", None), (6, "hid", "method", "private", "C{i}", None)), ("m{j}",), ("C{i}", "run")),
-    ("sh", "bash", '#!/bin/bash\nsource "$ROOT/lib/m{j}.sh"\nf_{i}() {{\n  echo\n}}\nfunction g_{i} {{\n  echo\n}}\n',
-     ((3, "f_{i}", "function", "public", None, None), (6, "g_{i}", "function", "public", None, None)), ("lib/m{j}.sh",), ("f_{i}", "g_{i}")),
-    ("java", "java", "import lib.m{j};\npublic class C{i} {{\n    public C{i}(int a) {{\n    }}\n    private int run(int x) {{\n    }}\n}}\ninterface I{i} {{\n}}\n",
-     ((2, "C{i}", "class", "public", None, None), (5, "run", "method", "private", "C{i}", None), (8, "I{i}", "interface", "public", None, None)), ("lib.m{j}",), ("C{i}", "I{i}")),
-    ("cs", "csharp", "using core.m{j};\npublic class C{i} {{\n    public void Run() {{\n    }}\n    internal int Hid() {{\n    }}\n}}\npublic interface IFace{i} {{\n}}\n",
-     ((2, "C{i}", "class", "public", None, None), (3, "Run", "method", "public", "C{i}", None), (5, "Hid", "method", "private", "C{i}", None), (8, "IFace{i}", "interface", "public", None, None)), ("core.m{j}",), ("C{i}", "IFace{i}")),
-    ("php", "php", "<?php\nuse api\\m{j};\nfunction f_{i}() {{\n}}\nclass C{i} {{\n    private function hid() {{\n    }}\n}}\n",
+    ("py", "python", 'import os\nfrom lib.m{j} import x\n\nclass C{i}:\n    """Holds things"""\n    def run(self):\n        return 1\n\ndef f_{i}():\n    pass\n\ndef _g{i}():\n    pass\n# def gone(): pass\nLIMIT_{i} = 1\nclass D{i}:\n    """Two\n    lines."""\n    TEXT = """\ndef not_real():\n    pass\n"""\n    def after(self):\n        """Own text\n        goes on."""\n',
+     ((4, "C{i}", "class", "public", None, "Holds things"), (6, "run", "method", "public", "C{i}", None), (9, "f_{i}", "function", "public", None, None), (12, "_g{i}", "function", "private", None, None), (15, "LIMIT_{i}", "const", "public", None, None), (16, "D{i}", "class", "public", None, "Two"), (23, "after", "method", "public", "D{i}", "Own text")), ("lib/m{j}", "os"), ("C{i}", "f_{i}", "LIMIT_{i}", "D{i}")),
+    ("ts", "typescript", "import {{ a }} from './m{j}';\nimport express from 'express';\nexport interface I{i} {{\n  a: string;\n}}\nexport class C{i} {{\n  async run(p: number): Promise<void> {{\n    if (p) {{\n    }}\n  }}\n}}\nexport function f_{i}(): void {{\n}}\nclass Hid{i} {{\n}}\nexport const V_{i} = '1';\nexport const text{i} = `\nclass No {{\n${{ \"}}\" }}`;\nnamespace N{i} {{\n  export function in_{i}(): void {{}}\n}}\n",
+     ((3, "I{i}", "interface", "public", None, None), (6, "C{i}", "class", "public", None, None), (7, "run", "method", "public", "C{i}", None), (12, "f_{i}", "function", "public", None, None), (14, "Hid{i}", "class", "private", None, None), (16, "V_{i}", "const", "public", None, None), (17, "text{i}", "const", "public", None, None), (21, "in_{i}", "function", "public", None, None)), ("m{j}",), ("I{i}", "C{i}", "f_{i}", "V_{i}", "text{i}", "in_{i}")),
+    ("js", "javascript", "const x = require('../lib/m{j}');\nclass C{i} {{\n  run(a) {{\n  }}\n}}\nfunction f_{i}(a) {{\n}}\nexport const g{i} = (a) => a;\nclass E{i} {{\n  text = \"{{\";\n  go(a) {{\n  }}\n}}\n/* function gone() {{}}\n   class Gone {{}} */\nfunction top{i}() {{}}\n",
+     ((2, "C{i}", "class", "private", None, None), (3, "run", "method", "public", "C{i}", None), (6, "f_{i}", "function", "private", None, None), (8, "g{i}", "function", "public", None, None), (9, "E{i}", "class", "private", None, None), (11, "go", "method", "public", "E{i}", None), (16, "top{i}", "function", "private", None, None)), ("lib/m{j}",), ("g{i}",)),
+    ("go", "go", 'package main\n\nimport (\n\t"fmt"\n\t"app/m{j}"\n)\n\ntype C{i} struct {{\n}}\n\n// Run does it\nfunc (s *C{i}) Run() {{\n}}\n\nfunc f_{i}() *C{i} {{\n\treturn nil\n}}\nvar raw{i} = `\nfunc fake() {{\n`\n\n// First of two.\n// Second.\nfunc Late{i}() string {{\n\treturn "}}"\n}}\n',
+     ((8, "C{i}", "struct", "public", None, None), (12, "Run", "method", "public", "C{i}", "Run does it"), (15, "f_{i}", "function", "private", None, None), (18, "raw{i}", "const", "private", None, None), (24, "Late{i}", "function", "public", None, "First of two.")), ("fmt", "m{j}"), ("C{i}", "Late{i}")),
+    ("rs", "rust", "use crate::m{j};\nmod m{j};\n\npub struct C{i} {{\n}}\n\nimpl C{i} {{\n    /// Makes one\n    pub fn new() -> Self {{\n        C{i} {{}}\n    }}\n    fn inner(&self) {{\n    }}\n}}\npub fn f_{i}() {{\n}}\nuse crate::{{a, b::c}};\n/* /* fn no() {{ */ fn gone() {{}} */\nimpl C{i} {{\n    fn odd(&self) -> char {{ '}}' }}\n}}\nfn tail{i}() -> &'static str {{ r#\"fn raw() {{ \" \"# }}\n",
+     ((4, "C{i}", "struct", "public", None, None), (9, "new", "method", "public", "C{i}", "Makes one"), (12, "inner", "method", "private", "C{i}", None), (15, "f_{i}", "function", "public", None, None), (20, "odd", "method", "private", "C{i}", None), (22, "tail{i}", "function", "private", None, None)), ("crate/m{j}", "m{j}", "crate/a", "crate/b/c"), ("C{i}", "f_{i}")),
+    ("rb", "ruby", "require_relative 'm{j}'\nclass C{i}\n  def run\n  end\n  private\n  def hid\n  end\nend\nclass D{i}\n  TEXT = <<~EOS\n    def fake\n    end\n  EOS\n  def late(a)\n    a.each do |x|\n      puts \"end\"\n    end\n  end\nend\ndef top{i}; end\n",
+     ((2, "C{i}", "class", "public", None, None), (3, "run", "method", "public", "C{i}", None), (6, "hid", "method", "private", "C{i}", None), (9, "D{i}", "class", "public", None, None), (14, "late", "method", "public", "D{i}", None), (20, "top{i}", "function", "public", None, None)), ("m{j}",), ("C{i}", "run", "D{i}", "late", "top{i}")),
+    ("sh", "bash", '#!/bin/bash\nsource "$ROOT/lib/m{j}.sh"\nf_{i}() {{\n  echo\n}}\nfunction g_{i} {{\n  echo\n}}\nh_{i}() {{\n  cat <<EOF\nfake() {{\n}}\nsource no.sh\nEOF\n  inner() {{ :; }}\n}}\n',
+     ((3, "f_{i}", "function", "public", None, None), (6, "g_{i}", "function", "public", None, None), (9, "h_{i}", "function", "public", None, None)), ("lib/m{j}.sh",), ("f_{i}", "g_{i}", "h_{i}")),
+    ("java", "java", "import lib.m{j};\npublic class C{i} {{\n    public C{i}(int a) {{\n    }}\n    private int run(int x) {{\n    }}\n}}\ninterface I{i} {{\n}}\nclass D{i} {{\n    String s = \"}}\"; char c = '{{';\n    /* void gone() {{ */\n    public <T> java.util.Map<String, T> get(T a) {{ return null; }}\n}}\n",
+     ((2, "C{i}", "class", "public", None, None), (5, "run", "method", "private", "C{i}", None), (8, "I{i}", "interface", "public", None, None), (10, "D{i}", "class", "private", None, None), (13, "get", "method", "public", "D{i}", None)), ("lib.m{j}",), ("C{i}", "I{i}")),
+    ("cs", "csharp", "using core.m{j};\npublic class C{i} {{\n    public void Run() {{\n    }}\n    internal int Hid() {{\n    }}\n}}\npublic interface IFace{i} {{\n}}\nclass D{i} {{\n    string s = @\"class \"\"Fake\"\" {{\";\n    public int Late() {{ return 1; }}\n}}\n",
+     ((2, "C{i}", "class", "public", None, None), (3, "Run", "method", "public", "C{i}", None), (5, "Hid", "method", "private", "C{i}", None), (8, "IFace{i}", "interface", "public", None, None), (10, "D{i}", "class", "private", None, None), (12, "Late", "method", "public", "D{i}", None)), ("core.m{j}",), ("C{i}", "IFace{i}")),
+    ("php", "php", "<?php\nuse api\\m{j};\nfunction f_{i}() {{\n}}\nclass C{i} {{\n    private function hid() {{\n    }}\n}}\n$t = '\nfunction fake() {{}}\n';\n",
      ((3, "f_{i}", "function", "public", None, None), (5, "C{i}", "class", "public", None, None), (6, "hid", "method", "private", "C{i}", None)), ("api/m{j}",), ("f_{i}", "C{i}")),
-    ("kt", "kotlin", "import m{j}\nfun f_{i}() {{}}\nclass C{i} {{\n    internal fun hid() {{}}\n}}\n",
+    ("kt", "kotlin", "import m{j}\nfun f_{i}() {{}}\nclass C{i} {{\n    internal fun hid() {{}}\n}}\nval t = \"\"\"\nfun fake() {{}}\n\"\"\"\n",
      ((2, "f_{i}", "function", "public", None, None), (3, "C{i}", "class", "public", None, None), (4, "hid", "method", "private", "C{i}", None)), ("m{j}",), ("f_{i}", "C{i}")),
-    ("swift", "swift", "import m{j}\npublic struct C{i} {{\n    private func hid() {{}}\n    func run() {{}}\n}}\nprotocol Q{i} {{\n}}\n",
+    ("swift", "swift", "import m{j}\npublic struct C{i} {{\n    private func hid() {{}}\n    func run() {{}}\n}}\nprotocol Q{i} {{\n}}\nlet t = \"\"\"\nfunc fake() {{}}\n\"\"\"\n",
      ((2, "C{i}", "struct", "public", None, None), (3, "hid", "method", "private", "C{i}", None), (4, "run", "method", "public", "C{i}", None), (6, "Q{i}", "interface", "public", None, None)), ("m{j}",), ("C{i}", "Q{i}")),
-    ("ex", "elixir", "defmodule C{i} do\n  alias m{j}\n  def run(x) do\n  end\n  defp hid(x) do\n  end\n  defmacro mac(x) do\n  end\nend\n",
+    ("ex", "elixir", "defmodule C{i} do\n  alias m{j}\n  def run(x) do\n  end\n  defp hid(x) do\n  end\n  defmacro mac(x) do\n  end\nend\n@doc \"\"\"\ndef fake(x) do\n\"\"\"\n",
      ((1, "C{i}", "class", "public", None, None), (3, "run", "function", "public", "C{i}", None), (5, "hid", "function", "private", "C{i}", None), (7, "mac", "function", "public", "C{i}", None)), ("m{j}",), ("C{i}", "run")),
 )
 _LIST = lambda values: "[" + ", ".join(map(quoted, values)) + "]"
@@ -105,6 +105,12 @@ def x9(spark, sf):
     return symbols(spark, sf).select("file", "line", "name", "kind", "visibility", "parent")
 
 
+@query("x9_parser_function", f"WITH {TREE}, {SYMBOLS} SELECT file, line, name, kind, visibility, parent, docstring FROM symbols")
+def x9_function(spark, sf):
+    tree(spark, sf).createOrReplaceTempView("parsed_tree")
+    return spark.sql(f"SELECT s.file, s.line, s.name, s.kind, s.visibility, s.parent, s.docstring FROM parsed_tree, LATERAL {S.register(spark)}(path, content, language) s")
+
+
 @query("x9_imports", f"WITH {TREE}, {IMPORTS} SELECT source, import FROM imports")
 def x9_imports(spark, sf):
     return parsed(spark, sf).select(F.col("path").alias("source"), F.explode("imports").alias("import"))
