@@ -41,6 +41,8 @@ from .common import materialise, text_slices, utf8_buffers
 SCALE = 1_000_000_000
 #: Bytes of text that are counted together.
 SLICE = 8 << 20
+#: Shares into which a group's terms are dealt before its top ones are ranked.
+SALTS = 16
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -136,8 +138,10 @@ def _terms(postings: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     rows = postings.join(groups, ["lang", "source"])
     p, q = share(F.col("n"), F.col("total"), F.col("vocabulary")), share(F.col("lang_n"), F.col("lang_total"), F.col("vocabulary"))
     over = rows.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q").select("lang", "source", "item", distance(F.col("p"), F.col("q")).alias("value"))
-    first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    return over.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).drop("r").withColumn("part", F.lit("term"))
+    # First within a group's salted shares, so that its last window gets SALTS times ``top`` rows at most, however many tasks there are.
+    salt = F.pmod(F.xxhash64("item"), F.lit(SALTS))
+    best = lambda rows, *keys: rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "item"))).where(F.col("r") <= top).drop("r")
+    return best(best(over.withColumn("salt", salt), "lang", "source", "salt").drop("salt"), "lang", "source").withColumn("part", F.lit("term"))
 
 
 def _pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
