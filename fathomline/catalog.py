@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from .plans import bindings, bindings_config, bindings_profile, bindings_rules, bindings_sinks, bindings_tree  # noqa: F401
+    from .plans import bindings, bindings_config, bindings_profile, bindings_rules, bindings_scan, bindings_sinks, bindings_tree  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
