@@ -61,12 +61,19 @@ def discover(spark: SparkSession, root: str, commits: int | None = None, output:
 
 
 def make_index(spark: SparkSession, root: str, output: str | None = None) -> I.Index:
-    """Builds the index on an earlier one's parsed files, writes its tables and its totals."""
+    """Builds the index, from an earlier one's tables by difference, and writes its tables and its totals."""
     folder = output or str(Path(root) / OWN / "index")
-    parsed = f"{folder}/parsed"
-    previous = spark.read.parquet(parsed) if Path(parsed).is_dir() else None
-    made = I.build_from(spark, root, previous)
-    for name, table in {"files": made.files, "symbols": made.symbols, "edges": made.edges, "modules": made.modules, "parsed": made.parsed}.items():
+    names = ("files", "symbols", "edges", "modules", "parsed", "resolved", "pairs")
+    if all(Path(f"{folder}/{n}/_SUCCESS").exists() for n in names):
+        old = {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+        links = I.delta.ImportGraph(old["parsed"], old["resolved"], old["pairs"], old["modules"].drop("role"))
+        made = I.refresh(I.Index(old["files"], old["symbols"], old["edges"], old["modules"], old["parsed"], links), repo.with_language(repo.scan(spark, root)))
+    else:
+        made = I.build_from(spark, root)
+    tables = {"files": made.files, "symbols": made.symbols, "edges": made.edges, "modules": made.modules, "parsed": made.parsed, "resolved": made.graph.resolved, "pairs": made.graph.pairs}
+    if made.graph.resolved.inputFiles()[:1] == [x for x in spark.read.parquet(f"{folder}/resolved").inputFiles()[:1]] if Path(f"{folder}/resolved").is_dir() else False:
+        tables = {}  # nothing has changed
+    for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
     top = [r.asDict() for r in made.top_files(20).collect()]
     meta = made.meta().first().asDict(True) | {"top_files": top}

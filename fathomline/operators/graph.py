@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -10,8 +10,10 @@ from ..sources.shared import written
 
 #: Damping and number of iterations.
 DAMPING, ITERATIONS = 0.85, 20
-#: Rounds that one plan holds: longer plans take longer to plan and compile than a table of ranks takes to write.
-CUT = 2
+#: Rounds that one plan holds: longer plans take longer to plan than a table of ranks takes to write.
+CUT = 5
+#: Most sources whose edges are dealt by both ends, and the degree from which on a source may be one.
+MOST_CUT, LEAST_CUT = 1_000, 100_000
 
 
 def path_keys(files: DataFrame) -> DataFrame:
@@ -118,34 +120,59 @@ def circular(pairs: DataFrame) -> DataFrame:
     return both.groupBy(F.col("source").alias("module")).agg(F.sort_array(F.collect_set("target")).alias("circular_deps"))
 
 
-def pagerank(links: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
+def pagerank(links: DataFrame, iterations: int = ITERATIONS, least_cut: int = LEAST_CUT) -> DataFrame:
     """(id, rank): fixed iterations, multiple edges count, mass of vertices without edges is lost.
 
-    Weighted edges are dealt and sorted by source and vertices by id once and kept so; a round then
-    shuffles only the sums that the edges send, as these arrive dealt by their target, which is the
-    next round's source. Neither edges nor ranks are broadcast, as both grow with the graph. Ranks
-    are cut from their lineage every ``CUT`` rounds by a written table, small next to the edges.
+    Vertices are numbered, so rounds move whole numbers. Weighted edges are dealt and sorted by source and
+    vertices by number once and kept so; a round then shuffles only the sums that the edges send, as these arrive
+    dealt by their target, which is the next round's source. Edges of a source with more than a
+    ``MOST_CUT``-th of all (and than ``least_cut``) are dealt by both ends instead: its rank goes to all of them, and its edges'
+    sums merge as all others do. There can be no more than ``MOST_CUT`` such sources, so their ranks
+    are the only ones that are broadcast. Ranks are cut from their lineage every ``CUT`` rounds by a written
+    table, small next to the edges.
     """
     spark = links.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = links.select("source", "target").repartition(parts, "source").groupBy("source", "target").agg(F.count("*").alias("n"))
-    own = Window.partitionBy("source")
-    weighted = dealt.select("source", "target", (F.col("n") / F.sum("n").over(own)).alias("weight")).persist()
-    weighted.count()  # once it is there, the planner knows its partitions and order
-    ends = weighted.select(F.col("source").alias("id")).unionByName(weighted.select(F.col("target").alias("id")))
-    vertices = ends.repartition(parts, "id").distinct().sortWithinPartitions("id").persist()
-    n = vertices.count()
+    counted = written(links.groupBy("source", "target").agg(F.count("*").alias("n")))
+    numbered = written(counted.select(F.explode(F.array("source", "target")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("v")))
+    n, edges = numbered.count(), counted.count()
     if not n:
-        return vertices.withColumn("rank", F.lit(0.0))
-    ranks = vertices.withColumn("rank", F.lit(1.0 / n))
+        return numbered.select("id", F.lit(0.0).alias("rank"))
+    most = max(least_cut, -(-edges // MOST_CUT))
+    sources = counted.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("degree")).join(numbered.select(F.col("id").alias("source"), F.col("v").alias("s")), "source")
+    targets = numbered.select(F.col("id").alias("target"), F.col("v").alias("t"))
+    weighted = written(counted.join(sources, "source").join(targets, "target").select("s", "t", (F.col("n") / F.col("total")).alias("weight"), (F.col("degree") > most).alias("cut")))
+
+    fixed = _fixed_plans(spark)
+    numbers, weighted = fixed.read.parquet(*numbered.inputFiles()).select("v"), fixed.read.parquet(*weighted.inputFiles())
+    light = weighted.where("not cut").select("s", "t", "weight").repartition(parts, "s").sortWithinPartitions("s").persist()
+    vertices = numbers.repartition(parts, "v").sortWithinPartitions("v").persist()
+    cut = light.count() < edges  # once they are there, the planner knows their partitions and order
+    vertices.count()
+    spread = weighted.where("cut").select("s", "t", "weight").repartition(parts, "s", "t").persist() if cut else None
+    hubs = F.broadcast(written(weighted.where("cut").select("s").distinct())) if cut else None
+    ranks, step = vertices.withColumn("rank", F.lit(1.0 / n)), 1 if cut else CUT  # hubs read the ranks a second time
     for i in range(iterations):
-        sent = weighted.join(ranks.hint("merge"), weighted.source == ranks.id).groupBy("target").agg(F.sum(F.col("rank") * F.col("weight")).alias("sent"))
-        ranks = vertices.join(sent.hint("merge"), vertices.id == sent.target, "left").select("id", (F.lit((1 - DAMPING) / n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("rank"))
-        if i % CUT == CUT - 1 or i == iterations - 1:
+        sums = light.join(ranks.hint("merge"), light.s == ranks.v).select("t", (F.col("rank") * F.col("weight")).alias("sent"))
+        if cut:
+            own = ranks.join(hubs, ranks.v == hubs.s, "left_semi")
+            sums = sums.unionByName(spread.join(F.broadcast(own), spread.s == own.v).select("t", (F.col("rank") * F.col("weight")).alias("sent")))
+        sums = sums.groupBy("t").agg(F.sum("sent").alias("sent"))
+        ranks = vertices.join(sums.hint("merge"), vertices.v == sums.t, "left").select("v", (F.lit((1 - DAMPING) / n) + DAMPING * F.coalesce("sent", F.lit(0.0))).alias("rank"))
+        if i % step == step - 1 or i == iterations - 1:
             ranks = written(ranks)
-    weighted.unpersist()
-    vertices.unpersist()
-    return ranks
+    for kept in (light, vertices, spread):
+        if kept is not None:
+            kept.unpersist()
+    return numbered.join(spark.read.parquet(*ranks.inputFiles()), "v").select("id", "rank")
+
+
+def _fixed_plans(spark: SparkSession) -> SparkSession:
+    """A session whose plans aren't changed while they run: rounds know their partitions, and planning them anew after each stage costs more than it gives."""
+    fixed = spark.newSession()
+    fixed.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    fixed.conf.set("spark.sql.adaptive.enabled", "false")
+    return fixed
 
 
 def importance(ranks: DataFrame) -> DataFrame:

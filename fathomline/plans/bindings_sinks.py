@@ -18,6 +18,9 @@ from . import index as I
 from . import server as V
 from .bindings import read
 from .bindings_rules import manifests
+from .bindings_tree import _MODULES as MODULES
+from .bindings_tree import _PAIRS as PAIRS
+from .bindings_tree import _RESOLVED as RESOLVED
 from .bindings_tree import built, tree
 
 # ---- sinks --------------------------------------------------------------------------------------
@@ -72,6 +75,17 @@ def st2_index(spark, sf):
     return I.parsed_files(files, before).agg(F.count("*").alias("files"), F.count_if(F.col("language") == "bash").alias("shells"))
 
 
+@query("st2_delta_refresh", f"WITH {RESOLVED}, {PAIRS}, {MODULES} SELECT module, n_files, total_symbols, fan_in, fan_out, circular_deps FROM modules")
+def st2_delta(spark, sf):
+    """From a graph of the tree as it was, without a seventh of its files, with others in it and with some emptied."""
+    files, odd = tree(spark, sf), F.crc32("path")
+    gone = files.where(odd % 13 == 1).select(F.concat(F.lit("old/"), "path").alias("path"), "language", "content", "size_bytes")
+    was = files.where(odd % 7 != 3).withColumn("content", F.when(odd % 11 == 5, "").otherwise(F.col("content"))).unionByName(gone)
+    before = I.parsed_files(was)
+    kept = I.delta.refresh(I.delta.build(before), I.parsed_files(files, before))
+    return kept.modules.withColumn("circular_deps", F.array_join("circular_deps", ","))
+
+
 @query("st3_append_learnings", "SELECT event_id, event_type FROM events")
 def st3(spark, sf):
     folder, table = shared_path(spark, "learned"), shared_path(spark, "learnings")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import graph, tables
+from ..operators import delta, graph, tables
 from ..operators.structure import OWN
 from ..sources import parsers, repo
 from ..sources.shared import written
@@ -24,6 +24,7 @@ class Index:
     edges: DataFrame
     modules: DataFrame
     parsed: DataFrame | None = None
+    graph: delta.ImportGraph | None = None
 
     def meta(self) -> DataFrame:
         """One row: totals and the languages' counts."""
@@ -77,15 +78,31 @@ def parsed_files(files: DataFrame, previous: DataFrame | None = None) -> DataFra
 def build(files: DataFrame, previous: DataFrame | None = None) -> Index:
     """From (path, content, size_bytes, language); ``previous`` is an earlier index's ``parsed``, whose unchanged files aren't parsed again."""
     parsed = parsed_files(files, previous)
-    measured = files.select("path", "size_bytes", *file_metrics(F.col("content")))
+    links = delta.build(parsed)
+    return _assembled(parsed, links, files.select("path", "size_bytes", *file_metrics(F.col("content"))), graph.importance(graph.pagerank(links.edges())))
+
+
+def refresh(old: Index, files: DataFrame) -> Index:
+    """``build(files)`` from an earlier index: changed files are parsed and measured, imports that the change touches are resolved, counts are shifted.
+
+    Ranks belong to the whole graph; they are computed again if any edge changed.
+    """
+    parsed = parsed_files(files, old.parsed)
+    links = delta.refresh(old.graph, parsed)
+    same = old.parsed.select("path", "hash").join(parsed.select("path", "hash"), ["path", "hash"], "left_semi").select("path")
+    columns = ["path", "size_bytes", "lines", "complexity", "logical_loc", "patterns"]
+    fresh = files.join(same, "path", "left_anti").select("path", "size_bytes", *file_metrics(F.col("content")))
+    measured = old.files.join(same, "path", "left_semi").select(*columns).unionByName(fresh.select(*columns))
+    before, after = (x.edges().groupBy("source", "target").agg(F.count("*").alias("n")) for x in (old.graph, links))
+    unchanged = links.resolved is old.graph.resolved or before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
+    ranks = old.files.select(F.col("path").alias("id"), "importance") if unchanged else graph.importance(graph.pagerank(links.edges()))
+    return _assembled(parsed, links, measured, ranks)
+
+
+def _assembled(parsed: DataFrame, links: delta.ImportGraph, measured: DataFrame, ranks: DataFrame) -> Index:
     symbols = parsed.select(F.explode("symbols").alias("s")).select("s.*")
-    imports = parsed.select(F.col("path").alias("source"), F.explode("imports").alias("import"))
-    edges = written(graph.edges(graph.resolve_imports(parsed.select("path"), imports)))
-    ranks = graph.importance(graph.pagerank(edges)).select(F.col("id").alias("path"), "importance")
-    whole = parsed.drop("hash").join(measured, "path").join(ranks, "path", "left").fillna(0, ["importance"])
-    folders = graph.module_edges(edges)
-    modules = graph.module_rollup(parsed.select("path", F.size("symbols").alias("n_symbols")), edges).join(graph.circular(folders), "module", "left").withColumn("role", paths.module_role(F.col("module")))
-    return Index(written(whole), symbols, edges, modules, parsed)
+    whole = parsed.drop("hash").join(measured, "path").join(ranks.select(F.col("id").alias("path"), "importance"), "path", "left").fillna(0, ["importance"])
+    return Index(written(whole), symbols, links.edges(), links.modules.withColumn("role", paths.module_role(F.col("module"))), parsed, links)
 
 
 def build_from(spark: SparkSession, root: str, previous: DataFrame | None = None) -> Index:
