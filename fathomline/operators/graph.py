@@ -12,6 +12,8 @@ from ..sources.shared import written
 DAMPING, ITERATIONS = 0.85, 20
 #: Rounds that one plan holds: longer plans take longer to plan than a table of ranks takes to write.
 CUT = 5
+#: Files and imports of one stem that are sorted together.
+CROWD = 100_000
 #: Most sources whose edges are dealt by both ends, and the degree from which on a source may be one.
 MOST_CUT, LEAST_CUT = 1_000, 100_000
 
@@ -22,24 +24,46 @@ def path_keys(files: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max("path").alias("target"))
 
 
-def _nearest_of_stem(files: DataFrame, wanted: DataFrame) -> DataFrame:
+def _around(stems: DataFrame, asks: DataFrame, crowd: int) -> DataFrame:
+    """``asks`` (stem, at, source) with the stem's paths next to ``at`` in order: ``before``, at or before it, and ``after``, at or after it.
+
+    Rows of a stem are sorted together. A stem with more than ``crowd`` rows is cut into ranges of its
+    paths instead, each as large as any other's, and what the rows of a range miss at its ends is
+    carried over from the nearest range that has it.
+    """
+    rows = stems.select("stem", "at", F.lit(1).alias("file"), F.lit(None).cast("string").alias("source")).unionByName(asks.select("stem", "at", F.lit(0).alias("file"), "source"))
+    path = F.when(F.col("file") == 1, F.col("at"))
+    # Both ways a frame only grows, so each is one pass over sorted rows; a path at the place itself counts both ways.
+    ahead = lambda *keys: Window.partitionBy(*keys).orderBy("at", F.desc("file")).rowsBetween(Window.unboundedPreceding, 0)
+    back = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("file")).rowsBetween(Window.unboundedPreceding, 0)
+    found = lambda t, *keys: t.select("*", F.last(path, True).over(ahead(*keys)).alias("before"), F.last(path, True).over(back(*keys)).alias("after")).where("file = 0")
+    crowded = rows.groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    total = crowded.agg(F.sum("n")).first()[0]
+    if not total:
+        return found(rows, "stem").select("stem", "source", "before", "after")
+    crowded = F.broadcast(written(crowded.select("stem")))  # each of them has more than ``crowd`` rows, so they are few
+    ranges = max(2, -(-total // crowd))
+    cut = written(rows.join(crowded, "stem", "left_semi").repartitionByRange(ranges, "stem", "at", "file", F.xxhash64("source")).withColumn("part", F.spark_partition_id()))
+    ends = cut.where("file = 1").groupBy("stem", "part").agg(F.max("at").alias("last"), F.min("at").alias("first"))
+    parts = cut.select("stem", "part").distinct().join(ends, ["stem", "part"], "left")
+    others = Window.partitionBy("stem").orderBy("part")
+    carried = parts.select("stem", "part", F.last("last", True).over(others.rowsBetween(Window.unboundedPreceding, -1)).alias("from_before"), F.first("first", True).over(others.rowsBetween(1, Window.unboundedFollowing)).alias("from_after"))
+    near = found(cut, "part", "stem").join(F.broadcast(carried), ["stem", "part"])  # a range has its first stem and its last in common with others: two rows a range, and one for each stem
+    wide = near.select("stem", "source", F.coalesce("before", "from_before").alias("before"), F.coalesce("after", "from_after").alias("after"))
+    return found(rows.join(crowded, "stem", "left_anti"), "stem").select("stem", "source", "before", "after").unionByName(wide)
+
+
+def _nearest_of_stem(files: DataFrame, wanted: DataFrame, crowd: int) -> DataFrame:
     """(source, import, target): of the files whose stem is the import, the one that shares the longest prefix with the source.
 
     In path order the longest prefix is shared by the source's neighbour before or after; the first
-    path with that prefix then is the next one from the prefix on. Two sorts by stem, no pairs.
+    path with that prefix then is the next one from the prefix on. Two searches, no pairs.
     """
-    stems = files.select(paths.stem(F.col("path")).alias("stem"), F.col("path").alias("at"), F.lit(1).alias("file"), F.lit(None).cast("string").alias("source"))
-    # Both ways a frame only grows, so each is one pass over a sorted stem, however many files have it.
-    ahead = Window.partitionBy("stem").orderBy("at", "file").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy("stem").orderBy(F.desc("at"), F.desc("file")).rowsBetween(Window.unboundedPreceding, 0)
-    nearest = F.last(F.when(F.col("file") == 1, F.col("at")), True)
-    asks = wanted.select(F.col("import").alias("stem"), F.col("source").alias("at"), F.lit(0).alias("file"), "source")
-    near = stems.unionByName(asks).select(
-        "stem", "source", nearest.over(ahead).alias("a"), nearest.over(back).alias("b")
-    ).where("source is not null and (a is not null or b is not null)")
+    stems = files.select(paths.stem(F.col("path")).alias("stem"), F.col("path").alias("at"))
+    near = _around(stems, wanted.select(F.col("import").alias("stem"), F.col("source").alias("at"), "source"), crowd).where("before is not null or after is not null")
     shared = lambda c: F.coalesce(paths.common_prefix(F.col("source"), F.col(c)), F.lit(0))
-    starts = near.select("stem", F.left("source", F.greatest(shared("a"), shared("b"))).alias("at"), F.lit(0).alias("file"), "source")
-    return stems.unionByName(starts).select("source", F.col("stem").alias("import"), nearest.over(back).alias("target")).where("source is not null")
+    starts = near.select("stem", F.left("source", F.greatest(shared("before"), shared("after"))).alias("at"), "source")
+    return _around(stems, starts, crowd).select("source", F.col("stem").alias("import"), F.col("after").alias("target"))
 
 
 def _unaligned(known: DataFrame, asked: DataFrame) -> DataFrame:
@@ -59,38 +83,30 @@ def _unaligned(known: DataFrame, asked: DataFrame) -> DataFrame:
     return grown.groupBy("k").agg(F.min("path").alias("target"))
 
 
-def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_imports(files: DataFrame, imports: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(source, import, target, tier): the first of five ways that finds a file wins.
 
     1 exact path or stripped path; 2 the same beside the source; 3 a path that ends in the import
     (with a /), at a component's border or else anywhere; 4 the file stem, by the longest prefix
     shared with the source; 5 dots as slashes, exact or as a path's end. Where several paths end
-    alike the smallest counts. All ways are equi-joins or sorts on a key.
+    alike the smallest counts. All ways but the fourth are one equi-join: an import asks with a key a way.
     """
     keys = path_keys(files)
     known = keys.select(F.col("target").alias("path")).distinct()
     wanted = imports.select("source", "import").distinct()
-    folder = paths.dirname(F.col("source"))
+    x, folder = F.col("import"), paths.dirname(F.col("source"))
+    as_path = F.replace(x, F.lit("."), F.lit("/"))
+    slashed, dotted = x.contains("/"), x.contains(".")
+    # (kind of key, key, tier, rank); a way that doesn't apply has no key.
+    ways = [("path", x, 1, 1), ("path", F.when(folder != "", F.concat_ws("/", folder, x)), 2, 2), ("tail", F.when(slashed, x), 3, 3), ("end", F.when(slashed, x), 3, 4), ("path", F.when(dotted, as_path), 5, 6), ("end", F.when(dotted, as_path), 5, 7)]
+    made = F.array(*(F.struct(F.lit(kind).alias("kind"), k.alias("k"), F.lit(tier).alias("tier"), F.lit(rank).alias("rank")) for kind, k, tier, rank in ways))
+    asked = wanted.select("source", "import", F.explode(F.filter(made, lambda w: w["k"].isNotNull())).alias("w")).select("source", "import", "w.*")
+    ends = _unaligned(known, asked.where("kind = 'end'").select("k"))
     tails = known.select(F.explode(paths.suffixes(F.col("path"))).alias("k"), "path").groupBy("k").agg(F.min("path").alias("target"))
-    lookup = keys.withColumnRenamed("key", "k")
-    as_path = F.replace(F.col("import"), F.lit("."), F.lit("/"))
-    dotted = wanted.where(F.col("import").contains(".")).withColumn("k", as_path)
-    slashed = wanted.where(F.col("import").contains("/")).withColumn("k", F.col("import"))
-    ends = _unaligned(known, slashed.unionByName(dotted))
-
-    def way(rank: int, tier: int, asked: DataFrame, table: DataFrame) -> DataFrame:
-        return asked.join(table, "k").select("source", "import", "target", F.lit(tier).alias("tier"), F.lit(rank).alias("rank"))
-
-    found = (
-        way(1, 1, wanted.withColumn("k", F.col("import")), lookup)
-        .unionByName(way(2, 2, wanted.where(folder != "").withColumn("k", F.concat_ws("/", folder, F.col("import"))), lookup))
-        .unionByName(way(3, 3, slashed, tails))
-        .unionByName(way(4, 3, slashed, ends))
-        .unionByName(_nearest_of_stem(files, wanted).select("source", "import", "target", F.lit(4).alias("tier"), F.lit(5).alias("rank")))
-        .unionByName(way(6, 5, dotted, lookup))
-        .unionByName(way(7, 5, dotted, ends))
-    )
-    return found.groupBy("source", "import").agg(F.min_by(F.struct("target", "tier"), "rank").alias("best")).select("source", "import", "best.*")
+    answers = keys.select(F.lit("path").alias("kind"), F.col("key").alias("k"), "target").unionByName(tails.withColumn("kind", F.lit("tail"))).unionByName(ends.withColumn("kind", F.lit("end")))
+    found = asked.join(answers, ["kind", "k"]).select("source", "import", "target", "tier", "rank")
+    nearest = _nearest_of_stem(files, wanted.where(~slashed), crowd).select("source", "import", "target", F.lit(4).alias("tier"), F.lit(5).alias("rank"))
+    return found.unionByName(nearest).groupBy("source", "import").agg(F.min_by(F.struct("target", "tier"), "rank").alias("best")).select("source", "import", "best.*")
 
 
 def edges(resolved: DataFrame) -> DataFrame:

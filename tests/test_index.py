@@ -91,3 +91,25 @@ def test_nearest_stem_by_shared_letters(spark):
     asked = [("abc/y/q.py", "m"), ("abc/z.py", "m"), ("ac/z.py", "m"), ("zz.py", "m"), ("é/ü/q.py", "m"), ("", "m")]
     got = {r.source: r.target for r in resolve_imports(files, spark.createDataFrame([(s + "", i) for s, i in asked if s], "source string, import string")).where("tier = 4").collect()}
     assert got == {"abc/z.py": "abc/x/m.py", "ac/z.py": "a/m.py", "zz.py": "a/m.py"}
+
+
+def test_a_crowded_stem_is_cut_into_ranges(spark):
+    """Equal to a search by hand, whatever the crowd: a stem of half of all files, sources between, before and after its paths."""
+    import random
+
+    rng = random.Random(4)
+    folders = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    paths = sorted({f"{f}/{rng.choice(['m', 'm', 'n', 'z'])}.{rng.choice(['py', 'ts'])}" for f in folders})
+    sources = sorted({f"{f}{rng.choice('ab')}/q.py" for f in folders} | {"0.py", "~.py"})
+    asked = [(s, i) for s in sources for i in ("m", "n", "none")]
+
+    def nearest(source, stem):
+        share = lambda p: next((k for k, (a, b) in enumerate(zip(p, source)) if a != b), min(len(p), len(source)))
+        own = [p for p in paths if p.rpartition("/")[2].rpartition(".")[0] == stem]
+        return min(own, key=lambda p: (-share(p), p.encode())) if own else None
+
+    files, imports = spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(asked, "source string, import string")
+    for crowd in (1, 7, 1000):
+        found = {(r.source, r["import"]): r.target for r in resolve_imports(files, imports, crowd).where("tier = 4").collect()}
+        assert found and all(nearest(*k) == v for k, v in found.items())
+        assert {k for k in asked if nearest(*k) and k not in found} <= {(s, i) for s, i in asked if any(p in (f"{s.rpartition('/')[0]}/{i}.py", f"{s.rpartition('/')[0]}/{i}.ts") for p in paths)}
