@@ -14,6 +14,8 @@ DAMPING, ITERATIONS = 0.85, 20
 CUT = 5
 #: Files and imports of one stem that are sorted together.
 CROWD = 100_000
+#: Edges of a partition of ranks: as few partitions as the first asks for, as many as the second does.
+LEAST_PART, MOST_PART = 20_000, 2_000_000
 #: Most sources whose edges are dealt by both ends, and the degree from which on a source may be one.
 MOST_CUT, LEAST_CUT = 1_000, 100_000
 
@@ -29,7 +31,7 @@ def _around(stems: DataFrame, asks: DataFrame, crowd: int) -> DataFrame:
 
     Rows of a stem are sorted together. A stem with more than ``crowd`` rows is cut into ranges of its
     paths instead, each as large as any other's, and what the rows of a range miss at its ends is
-    carried over from the nearest range that has it.
+    carried over from the nearest range that has it. A ``crowd`` of 0 says that there is no such stem.
     """
     rows = stems.select("stem", "at", F.lit(1).alias("file"), F.lit(None).cast("string").alias("source")).unionByName(asks.select("stem", "at", F.lit(0).alias("file"), "source"))
     path = F.when(F.col("file") == 1, F.col("at"))
@@ -38,7 +40,7 @@ def _around(stems: DataFrame, asks: DataFrame, crowd: int) -> DataFrame:
     back = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("file")).rowsBetween(Window.unboundedPreceding, 0)
     found = lambda t, *keys: t.select("*", F.last(path, True).over(ahead(*keys)).alias("before"), F.last(path, True).over(back(*keys)).alias("after")).where("file = 0")
     crowded = rows.groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
-    total = crowded.agg(F.sum("n")).first()[0]
+    total = crowded.agg(F.sum("n")).first()[0] if crowd else 0
     if not total:
         return found(rows, "stem").select("stem", "source", "before", "after")
     crowded = F.broadcast(written(crowded.select("stem")))  # each of them has more than ``crowd`` rows, so they are few
@@ -105,6 +107,7 @@ def resolve_imports(files: DataFrame, imports: DataFrame, crowd: int = CROWD) ->
     tails = known.select(F.explode(paths.suffixes(F.col("path"))).alias("k"), "path").groupBy("k").agg(F.min("path").alias("target"))
     answers = keys.select(F.lit("path").alias("kind"), F.col("key").alias("k"), "target").unionByName(tails.withColumn("kind", F.lit("tail"))).unionByName(ends.withColumn("kind", F.lit("end")))
     found = asked.join(answers, ["kind", "k"]).select("source", "import", "target", "tier", "rank")
+    crowd = crowd if files.count() + imports.count() > crowd else 0
     nearest = _nearest_of_stem(files, wanted.where(~slashed), crowd).select("source", "import", "target", F.lit(4).alias("tier"), F.lit(5).alias("rank"))
     return found.unionByName(nearest).groupBy("source", "import").agg(F.min_by(F.struct("target", "tier"), "rank").alias("best")).select("source", "import", "best.*")
 
@@ -148,18 +151,19 @@ def pagerank(links: DataFrame, iterations: int = ITERATIONS, least_cut: int = LE
     table, small next to the edges.
     """
     spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = written(links.groupBy("source", "target").agg(F.count("*").alias("n")))
     numbered = written(counted.select(F.explode(F.array("source", "target")).alias("id")).distinct().select("id", F.monotonically_increasing_id().alias("v")))
     n, edges = numbered.count(), counted.count()
     if not n:
         return numbered.select("id", F.lit(0.0).alias("rank"))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(min(shuffled, -(-edges // LEAST_PART)), -(-edges // MOST_PART))
     most = max(least_cut, -(-edges // MOST_CUT))
     sources = counted.groupBy("source").agg(F.sum("n").alias("total"), F.count("*").alias("degree")).join(numbered.select(F.col("id").alias("source"), F.col("v").alias("s")), "source")
     targets = numbered.select(F.col("id").alias("target"), F.col("v").alias("t"))
     weighted = written(counted.join(sources, "source").join(targets, "target").select("s", "t", (F.col("n") / F.col("total")).alias("weight"), (F.col("degree") > most).alias("cut")))
 
-    fixed = _fixed_plans(spark)
+    fixed = _fixed_plans(spark, parts)
     numbers, weighted = fixed.read.parquet(*numbered.inputFiles()).select("v"), fixed.read.parquet(*weighted.inputFiles())
     light = weighted.where("not cut").select("s", "t", "weight").repartition(parts, "s").sortWithinPartitions("s").persist()
     vertices = numbers.repartition(parts, "v").sortWithinPartitions("v").persist()
@@ -183,10 +187,10 @@ def pagerank(links: DataFrame, iterations: int = ITERATIONS, least_cut: int = LE
     return numbered.join(spark.read.parquet(*ranks.inputFiles()), "v").select("id", "rank")
 
 
-def _fixed_plans(spark: SparkSession) -> SparkSession:
+def _fixed_plans(spark: SparkSession, parts: int) -> SparkSession:
     """A session whose plans aren't changed while they run: rounds know their partitions, and planning them anew after each stage costs more than it gives."""
     fixed = spark.newSession()
-    fixed.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    fixed.conf.set("spark.sql.shuffle.partitions", str(parts))
     fixed.conf.set("spark.sql.adaptive.enabled", "false")
     return fixed
 
