@@ -210,7 +210,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         for answer in server.serve(served, sys.stdin):
             print(answer, flush=True)
     else:
-        row = sinks.stats(spark.read.parquet(given.knowledge)).first()
+        row = sinks.stats(sinks.read_newest(spark, given.knowledge)).first()
         print(f"{row.repos} collections, {row.files} files, {row.symbols} symbols, {', '.join(row.languages)}")
     return 0
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import uuid
+from collections.abc import Iterable, Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import written
-
 #: Ends every file that we write and may therefore overwrite.
 FOOTER = "<!-- generated -->"
 #: What follows this line in a file belongs to its reader.
@@ -42,22 +43,96 @@ def write_text_if_missing(path: str, text: str) -> bool:
     return True
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "repo_name", order: str = "timestamp", fill: tuple[str, ...] = ()) -> DataFrame:
-    """Keeps the newest row of every key in a Parquet table; columns in ``fill`` keep an older value where the new one is null.
+# ---- tables of the newest row of every key ----------------------------------------------------
+#
+# A table is a folder of segments and a pointer, a small file that lists those that count and their rows. An upsert
+# writes its rows as a segment of their own, then replaces the pointer in one step, so whoever reads
+# finds the table before or after it, never half of it, and what a broken run has left behind doesn't count.
+# Segments are merged when one is no longer than twice what follows it, so a stream of small batches rewrites
+# a row only as often as the table doubles. One writer at a time.
 
-    The result is written out before the table that it reads is replaced.
-    """
+POINTER = "_current.json"
+
+
+def _files(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, folder.getFileSystem(conf), folder
+
+
+def _pointer(spark: SparkSession, path: str) -> dict | None:
+    """What the pointer of a table says; None without a table."""
+    jvm, system, folder = _files(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path(folder, POINTER)
+    if not system.exists(at):
+        if system.exists(folder) and any(f.getPath().getName().endswith(".parquet") for f in system.listStatus(folder)):
+            return {"segments": [{"name": "", "rows": -1}], "before": []}  # plain Parquet, as others write it
+        return None
+    stream = system.open(at)
     try:
-        old = spark.read.parquet(path)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        old = rows.limit(0)
-    both = old.unionByName(rows, allowMissingColumns=True)
-    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)) if c in fill else F.col(order)).alias(c) for c in both.columns if c != key]
-    merged = written(both.groupBy(key).agg(*newest))
-    merged.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
+
+
+def _replace_pointer(spark: SparkSession, path: str, told: dict) -> None:
+    """Puts a new pointer in the place of the old one in one step."""
+    jvm, system, folder = _files(spark, path)
+    to, new = jvm.org.apache.hadoop.fs.Path(folder, POINTER), jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}.json")
+    stream = system.create(new)
+    stream.write(bytearray(json.dumps(told).encode()))
+    stream.close()
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(kind, 1)
+    overwrite[0] = kind.valueOf("OVERWRITE")
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), system.getConf()).rename(system.makeQualified(new), system.makeQualified(to), overwrite)
+
+
+def _newest(rows: DataFrame, key: str, order: str, fill: Sequence[str]) -> DataFrame:
+    """One row a key: the last by ``order``; a column in ``fill`` has its last value that isn't null."""
+    picked = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)) if c in fill else F.col(order)).alias(c) for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(*picked)
+
+
+def _segments(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
+    parts = [spark.read.parquet(f"{path}/{x['name'] or '*.parquet'}") for x in segments]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that upserts have made under ``path``, one row a key; None if there is none."""
+    told = _pointer(spark, path)
+    if told is None:
+        return None
+    rows = _segments(spark, path, told["segments"])
+    return rows if len(told["segments"]) == 1 else _newest(rows, told["key"], told["order"], told["fill"])
+
+
+def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "repo_name", order: str = "timestamp", fill: Sequence[str] = ()) -> DataFrame:
+    """Keeps the newest row of every key; columns in ``fill`` keep an older value where the new one is null. Returns the table.
+
+    Rows that are upserted again change nothing.
+    """
+    told = _pointer(spark, path) or {"segments": [], "before": []}
+    own = {"name": f"segment-{uuid.uuid4().hex}"}
+    _newest(rows, key, order, fill).write.parquet(f"{path}/{own['name']}")
+    own["rows"] = spark.read.parquet(f"{path}/{own['name']}").count()
+    segments, merged = [*told["segments"], own], 0
+    following = 0
+    for back in reversed(range(len(segments))):  # from the last one on: how many are to be one
+        if merged and segments[back]["rows"] > 2 * following:
+            break
+        merged, following = merged + 1, following + max(0, segments[back]["rows"])
+    if merged > 1:
+        one = {"name": f"segment-{uuid.uuid4().hex}"}
+        _newest(_segments(spark, path, segments[-merged:]), key, order, fill).write.parquet(f"{path}/{one['name']}")
+        one["rows"] = spark.read.parquet(f"{path}/{one['name']}").count()
+        segments = [*segments[:-merged], one]
+    _replace_pointer(spark, path, {"segments": segments, "before": [x["name"] for x in told["segments"]], "key": key, "order": order, "fill": list(fill)})
+    _, system, _ = _files(spark, path)
+    for name in set(told["before"]) - {x["name"] for x in [*told["segments"], *segments]} - {""}:  # readers of the table before this one may still need its segments
+        system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
+    return read_newest(spark, path)
 
 
 def stats(knowledge: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_path, written
-from ..sources.sinks import upsert
+from ..sources.sinks import read_newest, upsert
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -44,13 +44,20 @@ def upsert_latest(current: DataFrame, batch: DataFrame, key: str, order: list[st
 
 
 def upsert_stream(stream: DataFrame, path: str, key: str, order: str, checkpoint: str | None = None) -> DataFrame:
-    """Merges a stream into a Parquet table of the newest row of every key, batch by batch, and returns the table.
+    """Merges a stream into a table of the newest row of every key, batch by batch, and returns the table.
 
-    A batch that is run again after a failure leaves the table as it is: merging is idempotent.
+    A batch that is run again after a failure leaves the table as it is: merging is idempotent. A batch costs its own
+    rows and, now and then, a merge of segments no longer than what came since.
     """
     spark = stream.sparkSession
     run_available(stream, lambda batch, _: upsert(spark, path, batch, key, order) and None, checkpoint=checkpoint)
-    return spark.read.parquet(path)
+    found = read_newest(spark, path)
+    return stream_rows(stream) if found is None else found
+
+
+def stream_rows(stream: DataFrame) -> DataFrame:
+    """No rows, with the columns of a stream."""
+    return stream.sparkSession.createDataFrame([], stream.schema)
 
 
 def append_learnings(spark: SparkSession, folder: str, path: str, schema: str, checkpoint: str | None = None) -> DataFrame:

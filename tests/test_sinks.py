@@ -2,6 +2,9 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from fathomline.plans import index, server
 from fathomline.sources import sinks
 
@@ -15,6 +18,49 @@ def test_upsert_and_stats(spark, tmp_path):
     assert tuple(sinks.stats(out).first()) == (2, 7, 13, ["go", "python", "rust"])
 
 
+ENTRY = "repo_name string, timestamp string, total_files long"
+
+
+@pytest.mark.parametrize("breaks", ["write", "replace"])
+def test_a_broken_upsert_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch, breaks):
+    path = str(tmp_path / "t")
+    sinks.upsert(spark, path, spark.createDataFrame([("a", "1", 1), ("b", "1", 2)], ENTRY))
+    with monkeypatch.context() as patch:
+        if breaks == "replace":
+            patch.setattr(sinks, "_replace_pointer", lambda *a: 1 / 0)
+            new = spark.createDataFrame([("a", "2", 9)], ENTRY)
+        else:  # a row fails while the segment is written
+            new = spark.createDataFrame([("a", "2", 9)], ENTRY).withColumn("total_files", F.expr("total_files + cast(raise_error('lost') as long)"))
+        with pytest.raises(Exception, match="division|lost"):
+            sinks.upsert(spark, path, new)
+    rows = lambda t: {r.repo_name: (r.timestamp, r.total_files) for r in t.collect()}
+    assert rows(sinks.read_newest(spark, path)) == {"a": ("1", 1), "b": ("1", 2)}
+    assert rows(sinks.upsert(spark, path, spark.createDataFrame([("a", "3", 3)], ENTRY))) == {"a": ("3", 3), "b": ("1", 2)}
+
+
+def test_many_small_upserts_rewrite_little(spark, tmp_path):
+    """Equal to one that sees all rows, with a reader that holds an older table, and with few segments."""
+    path, seen = str(tmp_path / "t"), {}
+    (tmp_path / "t").mkdir()
+    spark.createDataFrame([(f"k{i}", "00", i) for i in range(40)], ENTRY).write.mode("overwrite").parquet(path)  # as others write it
+    seen.update({f"k{i}": ("00", i) for i in range(40)})
+    held = None
+    for n in range(1, 6):
+        batch = [(f"k{(n * 7 + j) % 50}", f"{n:02}", None if j == 1 else 100 * n + j) for j in range(3)]
+        for k, t, v in batch:
+            seen[k] = (t, seen.get(k, (None, None))[1] if v is None else v)
+        out = sinks.upsert(spark, path, spark.createDataFrame(batch, ENTRY), fill=("total_files",))
+        if held is not None:
+            assert held.count() >= 40  # its segments are still there
+        held = out
+        assert len(sinks._pointer(spark, path)["segments"]) <= 4
+    rows = {r.repo_name: (r.timestamp, r.total_files) for r in held.collect()}
+    assert rows == seen
+    again = sinks.upsert(spark, path, spark.createDataFrame(batch, ENTRY), fill=("total_files",))
+    assert {r.repo_name: (r.timestamp, r.total_files) for r in again.collect()} == seen
+    assert sinks.read_newest(spark, str(tmp_path / "none")) is None
+
+
 def test_owned_files(tmp_path):
     own, foreign = tmp_path / "g.md", tmp_path / "f.md"
     foreign.write_text("mine")
