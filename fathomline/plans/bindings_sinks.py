@@ -15,13 +15,16 @@ from ..sources import sinks
 from ..sources.shared import shared_path
 from ..streaming import incremental as N
 from . import index as I
+from . import requests as RQ
 from . import server as V
 from .bindings import read
 from .bindings_rules import manifests
 from .bindings_tree import _MODULES as MODULES
 from .bindings_tree import _PAIRS as PAIRS
+from .bindings_tree import _LIST as LIST
+from .bindings_tree import _RANKED as RANKED
 from .bindings_tree import _RESOLVED as RESOLVED
-from .bindings_tree import built, tree
+from .bindings_tree import FOLDERS, LANGUAGES, built, tree
 
 # ---- sinks --------------------------------------------------------------------------------------
 
@@ -100,7 +103,53 @@ def st4(spark, sf):
     return N.upsert_stream(stream, shared_path(spark, "latest"), "user_id", "event_id")
 
 
-# ---- requests -----------------------------------------------------------------------------------
+# ---- requests: each row of conversations asks ---------------------------------------------------
+
+_QUERIES = ("F_1", "run", "t", "C2", "_g", "zzz", "hid", "M")
+
+
+def request_lines(rows: DataFrame) -> DataFrame:
+    """(request, line): one of nine kinds a row, about a file that the tree may have or not; every ninth line is no JSON but the row's text."""
+    k = F.col("conv_id") * 8 + F.col("turn")
+    i, at = k * 7 % 2500 + 1, lambda values, n: F.get(F.array(*map(F.lit, values)), n.cast("int"))
+    path = F.concat(at(FOLDERS, i % len(FOLDERS)), F.lit("/m"), i, F.lit("."), at([x[0] for x in LANGUAGES], i % len(LANGUAGES)))
+    call = lambda name, **arguments: F.to_json(F.struct(k.alias("id"), F.lit("tools/call").alias("method"), F.struct(F.lit(name).alias("name"), F.struct(*(v.alias(n) for n, v in arguments.items())).alias("arguments")).alias("params")))
+    plain = lambda method: F.to_json(F.struct(k.alias("id"), F.lit(method).alias("method")))
+    lines = [F.col("text"), call("get_file_symbols", path=path, offset=F.lit(1)), call("search_symbols", query=at(_QUERIES, F.floor(k / 9) % len(_QUERIES))), call("analyze_file", path=path), call("find_tests", path=path), call("get_top_files", limit=k % 25), call("nope", path=path), plain("tools/list"), plain("nope")]
+    chosen = F.lit(None)
+    for n, line in enumerate(lines):
+        chosen = F.when(k % len(lines) == n, line).otherwise(chosen)
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("request"), chosen.alias("line"))
+
+
+_ASKED = f"""rq AS (SELECT conv_id || '-' || turn AS request, conv_id * 8 + turn AS k, (conv_id * 8 + turn) * 7 % 2500 + 1 AS i FROM conversations),
+ ra AS (SELECT request, k, k % 9 AS kind, {LIST(FOLDERS)}[i % {len(FOLDERS)} + 1] || '/m' || i || '.' || {LIST([x[0] for x in LANGUAGES])}[i % {len(LANGUAGES)} + 1] AS path, 'm' || i AS stem, {LIST(_QUERIES)}[k // 9 % {len(_QUERIES)} + 1] AS query FROM rq),
+ rknown AS (SELECT file AS path, 'symbol' AS fact, name FROM symbols UNION ALL SELECT source, 'imports_from', target FROM edges UNION ALL SELECT target, 'imported_by', source FROM edges),
+ rfacts AS (
+  SELECT request, row_number() OVER (PARTITION BY request ORDER BY line, name) AS pos, name || ' ' || s.kind || ' ' || line AS fact FROM ra JOIN symbols s ON file = path WHERE ra.kind = 1
+  UNION ALL SELECT * FROM (SELECT request, row_number() OVER (PARTITION BY request ORDER BY file, line) AS pos, file || ' ' || name || ' ' || line FROM ra JOIN symbols ON contains(lower(name), lower(query)) WHERE ra.kind = 2) WHERE pos <= 20
+  UNION ALL SELECT request, row_number() OVER (PARTITION BY request ORDER BY fact, name), fact || ' ' || name FROM ra JOIN rknown USING (path) WHERE kind = 3
+  UNION ALL SELECT request, row_number() OVER (PARTITION BY request ORDER BY t.path), t.path FROM ra JOIN tree t ON contains(t.path, stem) AND (contains(t.path, 'test') OR contains(t.path, 'spec')) WHERE kind = 4
+  UNION ALL SELECT * FROM (SELECT request, row_number() OVER (PARTITION BY request ORDER BY importance DESC, r.path) AS pos, r.path || ' ' || importance FROM ra JOIN ranked r ON kind = 5) WHERE pos <= 20
+  UNION ALL SELECT request, t.pos, t.fact FROM ra JOIN (SELECT unnest(range(1, 8)) AS pos, unnest(['get_top_files', 'get_file_symbols', 'search_symbols', 'analyze_file', 'find_tests', 'check_invariants', 'refresh']) AS fact) t ON kind = 7),
+ rpage AS (SELECT request, pos, fact FROM rfacts JOIN ra USING (request) WHERE CASE kind WHEN 1 THEN pos BETWEEN 2 AND 101 WHEN 5 THEN pos <= least(k % 25, 20) ELSE pos <= 100 END),
+ rtold AS (SELECT request, CASE kind WHEN 0 THEN -32700 WHEN 6 THEN -32603 WHEN 8 THEN -32603 ELSE 0 END AS code, coalesce(pos, 0)::INT AS pos, CASE kind WHEN 0 THEN 'parse error' WHEN 6 THEN 'unknown tool nope' WHEN 8 THEN 'unknown method nope' ELSE coalesce(fact, '') END AS fact FROM ra LEFT JOIN rpage USING (request))"""
+
+
+@query("q10_protocol", f"WITH RECURSIVE {RANKED}, {_ASKED} SELECT request, code, pos, fact FROM rtold")
+def q10(spark, sf):
+    """Every request's answer, fact by fact."""
+    return RQ.answers(request_lines(read(spark, sf, "conversations")), built(spark, sf)).select("request", "code", "pos", "fact")
+
+
+@query("s21_requests", f"WITH RECURSIVE {RANKED}, {_ASKED} SELECT request, CASE WHEN min(code) < 0 THEN min(fact) END AS message, count(*) FILTER (WHERE pos > 0) AS n_rows, string_agg(fact, chr(10) ORDER BY pos) FILTER (WHERE pos > 0) AS facts FROM rtold GROUP BY request")
+def s21(spark, sf):
+    """The responses of a stream of requests, read from its lines of JSON."""
+    stream = spark.readStream.schema(read(spark, sf, "conversations").schema).parquet(f"{sf}/conversations.parquet*")
+    told = RQ.serve_stream(request_lines(stream), built(spark, sf), shared_path(spark, "responses"))
+    answer = F.from_json("response", "id string, result struct<rows:array<string>>, error struct<code:int,message:string>")
+    rows = F.coalesce("r.result.rows", F.array().cast("array<string>"))
+    return told.select("request", answer.alias("r")).select("request", F.col("r.error.message").alias("message"), F.size(rows).cast("long").alias("n_rows"), F.when(F.size(rows) > 0, F.array_join(rows, "\n")).alias("facts"))
 
 
 def asked(served: V.Served, method: str, **params) -> dict:
@@ -108,24 +157,31 @@ def asked(served: V.Served, method: str, **params) -> dict:
     return json.loads(answer)["result"]
 
 
-@query("q7_refresh", "SELECT true AS success")
+@query("q7_refresh", f"WITH {RESOLVED} SELECT (SELECT count(*) FROM tree) AS total_files, (SELECT count(*) FROM symbols) AS total_symbols, (SELECT count(*) FROM edges) AS total_edges")
 def q7(spark, sf):
-    answer = asked(V.Served(refresh=lambda: V.Served(index=built(spark, sf))), "tools/call", name="refresh")
-    return spark.createDataFrame([(json.loads(answer["content"][0]["text"])["success"],)], "success boolean")
+    """The totals that a refresh answers, of an index that it made of the tree."""
+    files = tree(spark, sf)
+    emptied = I.delta.build(I.parsed_files(files.limit(0)))
+    old = I.Index(files.limit(0), None, None, None, emptied.parsed, emptied)
 
+    def made() -> V.Served:
+        parsed = I.parsed_files(files, emptied.parsed)
+        links = I.delta.refresh(old.graph, parsed)
+        return V.Served(index=I.Index(parsed, parsed.select(F.explode("symbols").alias("s")).select("s.*"), links.edges(), links.modules, parsed, links))
 
-@query("q8_resources", "SELECT unnest(['manifest', 'code-index', 'commands', 'invariants', 'architecture']) AS resource, unnest(['application/json', 'application/json', 'text/plain', 'text/plain', 'text/plain']) AS kind")
-def q8(spark, sf):
-    served = V.Served(index=built(spark, sf), manifest=manifests(spark, sf))
-    rows = [(r["uri"].removeprefix(V.SCHEME), r["mimeType"]) for r in asked(served, "resources/list")["resources"]]
-    return spark.createDataFrame(rows, "resource string, kind string")
+    answer = json.loads(asked(V.Served(refresh=made), "tools/call", name="refresh")["content"][0]["text"])
+    totals = F.from_json(F.replace(F.lit(answer["output"]), F.lit("'"), F.lit('"')), "total_files long, total_symbols long, total_edges long")
+    return spark.range(1).select(totals.alias("t")).select("t.*")
 
 
-@query("s21_requests", "SELECT unnest([1, 2, 3])::INT AS n, unnest([-32700, -32603, 0])::INT AS code")
-def s21(spark, sf):
-    lines = ["", "{bad", '{"id": 2, "method": "nope"}', '{"id": 3, "method": "initialize"}']
-    codes = [json.loads(x).get("error", {}).get("code", 0) for x in V.serve(V.Served(), lines)]
-    return spark.createDataFrame([(n, c) for n, c in enumerate(codes, 1)], "n int, code int")
+@query("q8_resources", f"WITH {RESOLVED} SELECT 'code-index' AS resource, 'application/json' AS kind, (SELECT count(*) FROM tree) AS total_files, (SELECT count(*) FROM symbols) AS total_symbols, (SELECT count(*) FROM edges) AS total_edges")
+def q8(spark, sf):
+    """What the resource of the index says; the list of resources says where it is."""
+    served = V.Served(index=built(spark, sf), manifest=manifests(spark, sf))
+    uri = next(r["uri"] for r in asked(served, "resources/list")["resources"] if r["name"] == "Code index")
+    (content,) = asked(served, "resources/read", uri=uri)["contents"]
+    totals = F.from_json(F.lit(content["text"]), "total_files long, total_symbols long, total_edges long")
+    return spark.range(1).select(F.lit(uri.removeprefix(V.SCHEME)).alias("resource"), F.lit(content["mimeType"]).alias("kind"), totals.alias("t")).select("resource", "kind", "t.*")
 
 
 # ---- scalar functions ---------------------------------------------------------------------------

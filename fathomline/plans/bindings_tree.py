@@ -16,7 +16,6 @@ from ..operators import graph as G
 from ..sources import parsers as S
 from . import index as I
 from . import render as R
-from . import server as V
 from .bindings import FILES, files, read, resolve_sql
 from .fixtures import quoted
 
@@ -252,13 +251,9 @@ def j12(spark, sf):
     return built(spark, sf).find_tests("services/m4.py").select("path")
 
 
-@query("q10_protocol", "SELECT unnest(['get_top_files', 'get_file_symbols', 'search_symbols', 'analyze_file', 'find_tests', 'check_invariants', 'refresh']) AS name, unnest(['', 'path', 'query', 'path', '', '', '']) AS required")
-def q10(spark, sf):
-    import json
-
-    (answer,) = V.serve(V.Served(), [json.dumps({"id": 1, "method": "tools/list"})])
-    rows = [(t["name"], ",".join(t["inputSchema"].get("required", []))) for t in json.loads(answer)["result"]["tools"]]
-    return spark.createDataFrame(rows, "name string, required string")
+@query("q3_indexed_search", f"WITH {TREE}, {SYMBOLS} SELECT file, name, line FROM symbols WHERE contains(lower(name), 'un') ORDER BY file, line LIMIT 20")
+def q3_indexed(spark, sf):
+    return built(spark, sf).with_search().search_symbols("Un").select("file", "name", "line")
 
 
 # ---- documents ------------------------------------------------------------------------------

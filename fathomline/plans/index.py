@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import delta, graph, tables
+from ..operators import delta, graph, search, tables
 from ..operators.structure import OWN
 from ..sources import parsers, repo
 from ..sources.shared import written
@@ -25,6 +25,11 @@ class Index:
     modules: DataFrame
     parsed: DataFrame | None = None
     graph: delta.ImportGraph | None = None
+    postings: DataFrame | None = None
+
+    def with_search(self) -> Index:
+        """The same with posting lists of the symbols' names, which searches then read instead of all symbols."""
+        return replace(self, postings=search.postings(self.symbols.select("file", "line", "name", "kind"), "name"))
 
     def meta(self) -> DataFrame:
         """One row: totals and the languages' counts."""
@@ -40,7 +45,8 @@ class Index:
         return self.symbols.where(F.col("file") == path)
 
     def search_symbols(self, query: str) -> DataFrame:
-        return tables.top(self.symbols.where(F.lower("name").contains(query.lower())), ["file", "line"], 20)
+        found = self.symbols.where(F.lower("name").contains(query.lower())) if self.postings is None or not query else search.find(self.postings, "name", query)
+        return tables.top(found, ["file", "line"], 20)
 
     def analyze_file(self, path: str) -> DataFrame:
         """One row per fact: symbol, imports_from or imported_by."""
