@@ -8,6 +8,7 @@ import pytest
 
 from fathomline import __main__ as cli
 from fathomline.operators.structure import OWN
+from fathomline.sources import sinks
 from fathomline.plans import manifest, render
 
 
@@ -41,7 +42,7 @@ def test_run_writes_documents_and_remembers(spark, tmp_path, capsys):
     assert cli.main(["stats", "--knowledge", knowledge], spark) == 0 and "1 collections, 3 files, 1 symbols, typescript" in capsys.readouterr().out
     # A later discovery doesn't know totals and leaves them.
     cli.main(["discover", "--target", root, "--no-index", "--knowledge", knowledge], spark)
-    assert spark.read.parquet(knowledge).first().total_files == 3
+    assert sinks.read_newest(spark, knowledge).first().total_files == 3
     assert cli.main(["report", "--target", root], spark) == 0 and "my-app 2.1.0" in capsys.readouterr().out
     (tmp_path / "app/src/new.ts").write_text("import './index';\n")
     assert cli.refresh(spark, root, "lean") and json.loads((own / "index.json").read_text())["_meta"]["total_files"] > 3
