@@ -58,7 +58,7 @@ def test_equal_to_brute_force_whatever_the_ranges(spark, pages):
     assert all("A passage that many quote." in want[i] for i, _, h in pages if h and "<article" in h)
 
 
-def test_alignment_changes_registered_pages(spark):
+def test_neighbours_of_registered_pages_share_lines_and_all_keep_text(spark):
     found = html_main.extract_main(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).toPandas()
     assert (found.n_shared > 0).any() and (found.text != "").all()
 
