@@ -88,15 +88,55 @@ def _replace_pointer(spark: SparkSession, path: str, told: dict) -> None:
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), system.getConf()).rename(system.makeQualified(new), system.makeQualified(to), overwrite)
 
 
-def _newest(rows: DataFrame, key: str, order: str, fill: Sequence[str]) -> DataFrame:
-    """One row a key: the last by ``order``; a column in ``fill`` has its last value that isn't null."""
-    picked = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)) if c in fill else F.col(order)).alias(c) for c in rows.columns if c != key]
+def _newest(rows: DataFrame, key: str, order: str, fill: Sequence[str], later: bool = False) -> DataFrame:
+    """One row a key: the last by ``order``; a column in ``fill`` has its last value that isn't null.
+
+    With ``later`` the rows come after others of a table, and ``_filled`` tells what they do to its values (see ``_folded``).
+    """
+    own = {c: F.when(F.col(c).isNotNull(), F.col(order)) for c in fill}
+    picked = [F.max_by(c, own.get(c, F.col(order))).alias(c) for c in rows.columns if c != key]
+    if later and fill:
+        picked.append(F.struct(*(F.struct(F.max_by(c, own[c]).alias("first"), F.max_by(c, own[c]).alias("last"), F.max(own[c]).alias("at")).alias(c) for c in fill)).alias("_filled"))
     return rows.groupBy(key).agg(*picked)
 
 
-def _segments(spark: SparkSession, path: str, segments: list[dict]) -> DataFrame:
-    parts = [spark.read.parquet(f"{path}/{x['name'] or '*.parquet'}") for x in segments]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def _folded(spark: SparkSession, path: str, segments: list[dict], key: str, order: str, fill: Sequence[str], later: bool = False) -> DataFrame:
+    """The rows that segments make one after the other, as if each were upserted into what those before it left.
+
+    A table's value in a ``fill`` column counts as of its row's order, whenever it came in, so it stands against a
+    later segment's value that is older than that row. What a segment does to any table before it is three values a
+    column: one that goes in where its order ``at`` is above the row's, and one where there is none yet; ``later`` keeps these.
+    """
+    parts = [spark.read.parquet(f"{path}/{x['name'] or '*.parquet'}").withColumn("_n", F.lit(n)) for n, x in enumerate(segments)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    has = rows.schema["_filled"].dataType.names if "_filled" in rows.columns else ()
+    fill = [c for c in fill if c in rows.columns]
+    kept = [c for c in rows.columns if c not in (key, "_n", "_filled", *fill)]
+    by = F.when(F.col(order).isNotNull(), F.struct(order, -F.col("_n")))  # of rows with one order the earliest stays
+    newest = [F.max_by(c, by).alias(c) for c in kept]
+    if not fill:
+        return rows.groupBy(key).agg(*newest)
+
+    def does(c: str):
+        whole = F.struct(F.col(c).alias("first"), F.col(c).alias("last"), F.when(F.col(c).isNotNull(), F.col(order)).alias("at"))
+        return (F.coalesce(F.col(f"_filled.{c}"), whole) if c in has else whole).alias(c)
+
+    steps = F.collect_list(F.struct("_n", F.col(order).alias("top"), *map(does, fill)))  # as many as there are segments
+    grouped = rows.groupBy(key).agg(*newest, F.array_sort(steps, lambda x, y: x["_n"] - y["_n"]).alias("_steps"))
+    kind = grouped.schema["_steps"].dataType.elementType
+
+    def fold(c: str):
+        def step(a, x):
+            newer = F.coalesce(x[c]["at"] > a["top"], a["top"].isNull() & x[c]["at"].isNotNull())
+            pick = lambda f: F.when(newer, x[c][f]).otherwise(a[f]).alias(f)
+            return F.struct(F.greatest(a["top"], x["top"]).alias("top"), F.coalesce(a["first"], x[c]["first"]).alias("first"), pick("last"), pick("at"))
+
+        none = [F.lit(None).cast(kind["top"].dataType).alias("top"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in kind[c].dataType)]
+        return F.aggregate("_steps", F.struct(*none), step).dropFields("top").alias(c)
+
+    out = grouped.select(key, *kept, F.struct(*map(fold, fill)).alias("_filled"))
+    values = {c: F.when(F.col(f"_filled.{c}.at").isNotNull(), F.col(f"_filled.{c}.last")).otherwise(F.col(f"_filled.{c}.first")).alias(c) for c in fill}
+    return out.select(*(values.get(c, c) for c in rows.columns if c not in ("_n", "_filled")), *(["_filled"] if later else []))
 
 
 def read_newest(spark: SparkSession, path: str) -> DataFrame | None:
@@ -104,8 +144,9 @@ def read_newest(spark: SparkSession, path: str) -> DataFrame | None:
     told = _pointer(spark, path)
     if told is None:
         return None
-    rows = _segments(spark, path, told["segments"])
-    return rows if len(told["segments"]) == 1 else _newest(rows, told["key"], told["order"], told["fill"])
+    if len(told["segments"]) == 1:
+        return spark.read.parquet(f"{path}/{told['segments'][0]['name'] or '*.parquet'}")
+    return _folded(spark, path, told["segments"], told["key"], told["order"], told["fill"])
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "repo_name", order: str = "timestamp", fill: Sequence[str] = ()) -> DataFrame:
@@ -115,7 +156,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "repo_nam
     """
     told = _pointer(spark, path) or {"segments": [], "before": []}
     own = {"name": f"segment-{uuid.uuid4().hex}"}
-    _newest(rows, key, order, fill).write.parquet(f"{path}/{own['name']}")
+    _newest(rows, key, order, fill, bool(told["segments"])).write.parquet(f"{path}/{own['name']}")
     own["rows"] = spark.read.parquet(f"{path}/{own['name']}").count()
     segments, merged = [*told["segments"], own], 0
     following = 0
@@ -125,7 +166,7 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str = "repo_nam
         merged, following = merged + 1, following + max(0, segments[back]["rows"])
     if merged > 1:
         one = {"name": f"segment-{uuid.uuid4().hex}"}
-        _newest(_segments(spark, path, segments[-merged:]), key, order, fill).write.parquet(f"{path}/{one['name']}")
+        _folded(spark, path, segments[-merged:], key, order, fill, merged < len(segments)).write.parquet(f"{path}/{one['name']}")
         one["rows"] = spark.read.parquet(f"{path}/{one['name']}").count()
         segments = [*segments[:-merged], one]
     _replace_pointer(spark, path, {"segments": segments, "before": [x["name"] for x in told["segments"]], "key": key, "order": order, "fill": list(fill)})

@@ -1,6 +1,7 @@
 """Sinks and the request loop."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,22 @@ def test_many_small_upserts_rewrite_little(spark, tmp_path):
     assert sinks.read_newest(spark, str(tmp_path / "none")) is None
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_a_filled_value_counts_as_of_its_row(spark, tmp_path, seed):
+    """Late rows and nulls over many upserts: the table is what upserting row by row into it leaves, however segments merged."""
+    draw, path, table = random.Random(seed), str(tmp_path / "t"), {}
+    for n, most in enumerate((12, 1, 2, 1, 4, 1)):
+        times = draw.sample(range(n, 300, 6), 3 * most)  # no time twice
+        batch = [(f"k{draw.randrange(most)}", f"{t:03}", draw.choice((None, t))) for t in times]
+        for k in {k for k, _, _ in batch}:
+            held = [table[k]] if k in table else []
+            both = held + [(t, v) for x, t, v in batch if x == k]
+            table[k] = (max(t for t, _ in both), max(((t, v) for t, v in both if v is not None), default=(None, None))[1])
+        out = sinks.upsert(spark, path, spark.createDataFrame(batch, ENTRY), fill=("total_files",))
+        assert out.columns == ["repo_name", "timestamp", "total_files"]
+        assert {r.repo_name: (r.timestamp, r.total_files) for r in out.collect()} == table
+
+
 def test_owned_files(tmp_path):
     own, foreign = tmp_path / "g.md", tmp_path / "f.md"
     foreign.write_text("mine")
