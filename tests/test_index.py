@@ -113,3 +113,15 @@ def test_a_crowded_stem_is_cut_into_ranges(spark):
         found = {(r.source, r["import"]): r.target for r in resolve_imports(files, imports, crowd).where("tier = 4").collect()}
         assert found and all(nearest(*k) == v for k, v in found.items())
         assert {k for k in asked if nearest(*k) and k not in found} <= {(s, i) for s, i in asked if any(p in (f"{s.rpartition('/')[0]}/{i}.py", f"{s.rpartition('/')[0]}/{i}.ts") for p in paths)}
+
+
+def test_tree_imports_are_resolved_from_files_parsed_once(spark, tmp_path):
+    """Resolution reads files and imports many times; it must not parse them each time, nor in one task."""
+    from pyspark.sql import functions as F
+
+    from fathomline.plans import bindings_tree as B
+
+    spark.range(40).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    plan = B.j1_tree(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "mapinarrow" not in plan.lower()
+    assert B.tree(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
