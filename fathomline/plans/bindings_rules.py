@@ -485,13 +485,18 @@ _RENDERED = (
 )
 
 
+def manifest(spark, sf) -> DataFrame:
+    """Manifests of the collections, made when they are read."""
+    return M.manifest(collections(spark, sf, _RENDERED))
+
+
 def manifests(spark, sf) -> DataFrame:
     """Manifests of the collections: built once a session, as a table."""
     from ..sources.shared import written
 
     key = (spark.sparkContext.applicationId, sf)
     if key not in _MADE:
-        _MADE[key] = written(M.manifest(collections(spark, sf, _RENDERED)))
+        _MADE[key] = written(manifest(spark, sf))
     return _MADE[key]
 
 

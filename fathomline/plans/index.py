@@ -81,11 +81,25 @@ def parsed_files(files: DataFrame, previous: DataFrame | None = None) -> DataFra
     return written(same.unionByName(fresh.select(*same.columns)))
 
 
+def linked(files: DataFrame, previous: DataFrame | None = None) -> Index:
+    """The index before its files are measured and ranked: enough for totals, symbols, edges and modules."""
+    return _linked(parsed_files(files, previous))
+
+
+def _linked(parsed: DataFrame, links: delta.ImportGraph | None = None) -> Index:
+    links = links or delta.build(parsed)
+    symbols = parsed.select(F.explode("symbols").alias("s")).select("s.*")
+    return Index(parsed, symbols, links.edges(), links.modules.withColumn("role", paths.module_role(F.col("module"))), parsed, links)
+
+
 def build(files: DataFrame, previous: DataFrame | None = None) -> Index:
     """From (path, content, size_bytes, language); ``previous`` is an earlier index's ``parsed``, whose unchanged files aren't parsed again."""
-    parsed = parsed_files(files, previous)
-    links = delta.build(parsed)
-    return _assembled(parsed, links, files.select("path", "size_bytes", *file_metrics(F.col("content"))), graph.importance(graph.pagerank(links.edges())))
+    return ranked(linked(files, previous), files)
+
+
+def ranked(own: Index, files: DataFrame) -> Index:
+    """An index of ``linked`` with its files' measures and ranks."""
+    return _assembled(own, files.select("path", "size_bytes", *file_metrics(F.col("content"))), graph.importance(graph.pagerank(own.edges)))
 
 
 def refresh(old: Index, files: DataFrame) -> Index:
@@ -102,13 +116,12 @@ def refresh(old: Index, files: DataFrame) -> Index:
     before, after = (x.edges().groupBy("source", "target").agg(F.count("*").alias("n")) for x in (old.graph, links))
     unchanged = links.resolved is old.graph.resolved or before.exceptAll(after).isEmpty() and after.exceptAll(before).isEmpty()
     ranks = old.files.select(F.col("path").alias("id"), "importance") if unchanged else graph.importance(graph.pagerank(links.edges()))
-    return _assembled(parsed, links, measured, ranks)
+    return _assembled(_linked(parsed, links), measured, ranks)
 
 
-def _assembled(parsed: DataFrame, links: delta.ImportGraph, measured: DataFrame, ranks: DataFrame) -> Index:
-    symbols = parsed.select(F.explode("symbols").alias("s")).select("s.*")
-    whole = parsed.drop("hash").join(measured, "path").join(ranks.select(F.col("id").alias("path"), "importance"), "path", "left").fillna(0, ["importance"])
-    return Index(written(whole), symbols, links.edges(), links.modules.withColumn("role", paths.module_role(F.col("module"))), parsed, links)
+def _assembled(own: Index, measured: DataFrame, ranks: DataFrame) -> Index:
+    whole = own.parsed.drop("hash").join(measured, "path").join(ranks.select(F.col("id").alias("path"), "importance"), "path", "left").fillna(0, ["importance"])
+    return replace(own, files=written(whole))
 
 
 def build_from(spark: SparkSession, root: str, previous: DataFrame | None = None) -> Index:

@@ -125,3 +125,12 @@ def test_tree_imports_are_resolved_from_files_parsed_once(spark, tmp_path):
     plan = B.j1_tree(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "mapinarrow" not in plan.lower()
     assert B.tree(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_the_index_resource_needs_no_ranks(spark, tmp_path, monkeypatch):
+    from fathomline.plans import bindings_sinks as K
+
+    spark.range(40).selectExpr("id AS p_partkey", "cast(id AS string) AS p_name").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(index.graph, "pagerank", lambda *a: 1 / 0)
+    row = K.q8(spark, str(tmp_path)).first()
+    assert (row.resource, row.kind, row.total_files) == ("code-index", "application/json", 40) and row.total_symbols > 40 and row.total_edges > 0
