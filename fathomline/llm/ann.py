@@ -6,8 +6,11 @@ largest norm (0 for queries). A k-means tree of that space is fitted on a bounde
 query walks the tree with a priority queue over unvisited nodes, nearest centre first, and visits
 leaves until it has as many as the calibration asks for: the smallest number at which the true
 neighbours of ``CALIBRATION`` queries, found by brute force over all rows, are met to the recall
-wanted. Candidates meet queries leaf by leaf, neighbouring leaves of about ``BLOCK_ROWS`` rows
-together in a block; a larger leaf is cut into blocks.
+wanted. Best bin first meets leaves in the order of the largest distance on their path, so the order
+is found for many queries at once; leaves with the last distance that is visited are visited all.
+Candidates meet queries block by block, a block being neighbouring leaves of about ``BLOCK_ROWS`` rows
+or a part of a larger leaf, and ``ASKERS`` queries at a time: a task holds no more of either,
+and ``PAIRS`` of their products at once, however large the table is.
 
 Equal vectors are stored once with their k + 1 smallest ids, which is all that an answer of k can
 hold, so a vector with a third of all rows costs no more than another. Scores are sums of double
@@ -21,24 +24,26 @@ exclude each other as their own; a row without an id takes no part; an empty tab
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE, CALIBRATION, BRANCH, LEAF_ROWS, BLOCK_ROWS, LEAST_BLOCK = 40_000, 200, 8, 200, 8192, 512
+SAMPLE, CALIBRATION, BRANCH, LEAF_ROWS, BLOCK_ROWS, LEAST_BLOCK = 40_000, 200, 8, 200, 32_768, 512
+#: Queries of a slice, pairs of a query and a row that are scored at once, and columns of which only the best is looked at first.
+ASKERS, PAIRS, STRIDE = 16_384, 1 << 20, 64
 
 
 class Tree:
     """Centres of a hierarchical k-means tree; a leaf has no children."""
 
     def __init__(self, sample: np.ndarray, leaf: int, seed: int = 7):
-        self.centres, self.children = [sample.mean(0) if len(sample) else sample.sum(0)], [[]]
+        self.centres, self.children, parent = [sample.mean(0) if len(sample) else sample.sum(0)], [[]], [0]
         self.leaf_of: dict[int, int] = {}
         rng, todo = np.random.default_rng(seed), [(0, sample)]
         while todo:
@@ -50,9 +55,15 @@ class Tree:
             for group in groups:
                 self.centres.append(group.mean(0))
                 self.children.append([])
+                parent.append(node)
                 self.children[node].append(len(self.centres) - 1)
                 todo.append((len(self.centres) - 1, group))
-        self.points = np.array(self.centres)
+        self.points, self.parent = np.array(self.centres), np.array(parent)
+        self.norm2, self.ends = (self.points**2).sum(1), np.array(sorted(self.leaf_of, key=self.leaf_of.get))
+        self.levels, level = [], np.array(self.children[0], int)
+        while len(level):
+            self.levels.append(level)
+            level = np.array([kid for node in level for kid in self.children[node]], int)
 
     @staticmethod
     def split(points: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -80,19 +91,13 @@ class Tree:
             todo += [(kid, rows[nearest == k]) for k, kid in enumerate(kids)]
         return out
 
-    def leaves(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of best-bin-first traversal."""
-        heap, found = [(0.0, 0)], []
-        while heap and len(found) < most:
-            _, node = heapq.heappop(heap)
-            if node in self.leaf_of:
-                found.append(self.leaf_of[node])
-                continue
-            kids = self.children[node]
-            distance = ((self.points[kids] - query) ** 2).sum(1)
-            for d, kid in zip(distance.tolist(), kids):
-                heapq.heappush(heap, (d, kid))
-        return found
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """(query, leaf) numbers by which best-bin-first traversal meets the leaves: the largest distance on the path, less the query's own part."""
+        key = self.norm2[:, None] - 2 * self.points @ queries.T
+        key[0] = -np.inf
+        for level in self.levels:
+            key[level] = np.maximum(key[level], key[self.parent[level]])
+        return key[self.ends].T
 
 
 def usable(vectors: Column) -> Column:
@@ -104,6 +109,12 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), np.float64).reshape(len(column), -1)
 
 
+def _rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
+    return np.concatenate(flat).astype(np.float64).reshape(len(column), -1)
+
+
 def _scores(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * query).sum(1)
 
@@ -120,10 +131,33 @@ def _top(query: np.ndarray, rows: np.ndarray, rough: np.ndarray, first: np.ndarr
     return near[order], score[order]
 
 
+def _met(queries: np.ndarray, visited: np.ndarray, points: np.ndarray, sizes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows by (score, id) in the leaves that it visits; rows lie leaf by leaf, ``sizes`` of each."""
+    wide, found = -(-len(points) // STRIDE) * STRIDE, []
+    most = max(1, PAIRS // wide)
+    for at in range(0, len(queries), most):
+        own = queries[at : at + most]
+        rough = np.full((len(own), wide), -np.inf)
+        rough[:, : len(points)] = own @ points.T
+        np.copyto(rough[:, : len(points)], -np.inf, where=np.repeat(~visited[at : at + most], sizes, axis=1))
+        # At least 2 * k columns reach the 2 * k-th best of the strides' best ones; that leaves room for products that differ in the last place.
+        best = rough.reshape(len(own), -1, STRIDE).max(2) if wide >= 2 * k * STRIDE else rough
+        n = min(2 * k, best.shape[1])
+        bound = np.partition(best, best.shape[1] - n, axis=1)[:, best.shape[1] - n]
+        who, row = np.nonzero((rough >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None]) & (rough > -np.inf))
+        score = (own[who] * points[row]).sum(1)
+        order = np.lexsort((first[row], -score, who))
+        who, row, score = who[order], row[order], score[order]
+        near = np.arange(len(who)) - np.searchsorted(who, np.arange(len(own)))[who] < k
+        found.append((who[near] + at, row[near], score[near]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found for every row where ``is_query`` holds."""
     spark = df.sparkSession
-    rows = df.where(usable(df[vector_col]) & df[id_col].isNotNull()).select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"  # floats are stored as they are, and scored as doubles
+    rows = df.where(usable(df[vector_col]) & df[id_col].isNotNull()).select(df[id_col].cast("long").alias("id"), df[vector_col].cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, id long, score double").withColumnRenamed("id", id_col)
     if not dims:
@@ -131,12 +165,12 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, i
     rows = rows.where(F.size("v") == dims[0].dim)
     by_vector = Window.partitionBy("v").orderBy("id")
     few = rows.select("v", "id").withColumn("rn", F.row_number().over(by_vector)).where(F.col("rn") <= k + 1)
-    items = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    items = materialise(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
     asked = materialise(rows.where("asks").select(F.col("id").alias("query_id"), "v"))
     questions = asked.groupBy("v").agg(F.min("query_id").alias("q"))
     count, top = items.agg(F.count("*"), F.max("norm2")).first()
     hashed = lambda d: d.orderBy(F.xxhash64("v"), "v")
-    sample = _matrix(hashed(items.select("v")).limit(SAMPLE).toPandas()["v"])
+    sample = _rows(hashed(items.select("v")).limit(SAMPLE).toArrow()["v"])
     lift = lambda x: np.column_stack([x, np.sqrt(np.maximum(top - (x**2).sum(1), 0))])
     tree = Tree(lift(sample), max(2, int(LEAF_ROWS * len(sample) / count)))
     shared = spark.sparkContext.broadcast(tree)
@@ -150,9 +184,9 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, i
         for frame in frames:
             points = _matrix(frame["v"])
             first, leaf, rough = frame["id"].to_numpy(), shared.value.place(lift(points)), points @ probe.value.T
-            for i, query in enumerate(probe.value):
-                near, score = _top(query, points, rough[:, i], first, k + 1)
-                yield pd.DataFrame({"i": i, "leaf": leaf[near], "first": first[near], "score": score})
+            near = [_top(query, points, rough[:, i], first, k + 1) for i, query in enumerate(probe.value)]
+            rows = np.concatenate([x for x, _ in near])
+            yield pd.DataFrame({"i": np.repeat(np.arange(len(near)), [len(x) for x, _ in near]), "leaf": leaf[rows], "first": first[rows], "score": np.concatenate([x for _, x in near])})
 
     found = items.select("v", F.col("ids")[0].alias("id")).mapInPandas(brute, "i int, leaf long, first long, score double")
     best = Window.partitionBy("i").orderBy(F.desc("score"), "first")
@@ -160,13 +194,13 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, i
     total = len(tree.leaf_of)
     met = np.zeros(total)
     for i, leaves in truth.groupby("i")["leaf"]:
-        position = {leaf: n for n, leaf in enumerate(tree.leaves(np.append(probe.value[i], 0.0), total))}
-        met += np.bincount([position[x] for x in leaves], minlength=total)
+        key = tree.order(np.append(probe.value[i], 0.0)[None])[0]
+        met += np.bincount(np.searchsorted(np.sort(key), key[leaves.to_numpy()]), minlength=total)
     # Widened by one step beyond the calibrated number, as other queries vary.
     visits = min(total, int(1.03 * (np.searchsorted(np.cumsum(met) / max(met.sum(), 1), recall) + 1)) + 1)
 
     placed_of = lambda frames: (pd.DataFrame({"leaf": shared.value.place(lift(_matrix(f["v"]))), "first": f["first"], "v": f["v"]}) for f in frames)
-    placed = materialise(items.select(F.col("ids")[0].alias("first"), "v").mapInPandas(placed_of, "leaf long, first long, v array<double>"))
+    placed = materialise(items.select(F.col("ids")[0].alias("first"), "v").mapInPandas(placed_of, f"leaf long, first long, v {kind}"))
     sizes = dict.fromkeys(range(total), 0) | {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
     # Blocks of a small table are smaller, so that all cores have some.
     block_rows = max(LEAST_BLOCK, min(BLOCK_ROWS, count // (4 * spark.sparkContext.defaultParallelism)))
@@ -175,63 +209,46 @@ def search(df: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, i
         if held and held + sizes[leaf] > block_rows:
             at, held = at + 1, 0
         group[leaf], parts[leaf], held = at, max(1, -(-sizes[leaf] // block_rows)), held + sizes[leaf]
-    layout = spark.sparkContext.broadcast((group, parts))
+    begin = np.searchsorted(np.array([group[leaf] for leaf in range(total)]), np.arange(at + 2))  # of each group's leaves
+    layout = spark.sparkContext.broadcast((begin, [parts[leaf] for leaf in begin[:-1].tolist()]))  # a leaf of several parts is a group
+    slices = max(1, -(-questions.count() // ASKERS))
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, parts = layout.value
-        for frame in frames:
-            out: list[tuple] = []
-            for q, v in zip(frame["q"], frame["v"]):
-                to: dict[tuple[int, int], list[int]] = {}
-                for leaf in shared.value.leaves(np.append(np.asarray(v, np.float64), 0.0), visits):
-                    for b in range(parts[leaf]):
-                        to.setdefault((group[leaf], b), []).append(leaf)
-                out += [(g, b, q, leaves, v) for (g, b), leaves in to.items()]
-                if len(out) > 5000:
-                    yield pd.DataFrame(out, columns=["grp", "block", "q", "leaves", "v"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["grp", "block", "q", "leaves", "v"])
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"q": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "score": np.zeros(0)})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, parts = layout.value
+        for whole in batches:
+            for batch in (whole.slice(n, 512) for n in range(0, len(whole), 512)):
+                queries = _rows(batch["v"])
+                order = shared.value.order(np.column_stack([queries, np.zeros(len(queries))]))
+                visited = order <= np.partition(order, visits - 1, axis=1)[:, visits - 1 : visits]
+                for g in range(len(parts)):
+                    own = visited[:, begin[g] : begin[g + 1]]
+                    who = np.flatnonzero(own.any(1))
+                    leaves = pa.array([x.tobytes() for x in np.packbits(own[who], axis=1)], pa.binary())
+                    for b in range(parts[g] if len(who) else 0):
+                        same = lambda n: pa.array(np.full(len(who), n), pa.int32())
+                        yield pa.RecordBatch.from_arrays([same(g), same(b), batch["slice"].take(who), batch["q"].take(who), leaves, batch["v"].take(who)], ["grp", "block", "slice", "q", "leaves", "v"])
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("q", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
         if not len(left) or not len(right):
-            return out
-        points, first, leaf = _matrix(right["v"]), right["first"].to_numpy(), right["leaf"].to_numpy()
-        queries, q = _matrix(left["v"]), left["q"].to_numpy()
-        visit = np.concatenate([np.asarray(x, np.int64) for x in left["leaves"]])
-        asker = np.repeat(np.arange(len(left)), [len(x) for x in left["leaves"]])
-        order = np.argsort(visit, kind="stable")
-        visit, asker = visit[order], asker[order]
-        found = []
-        for n in np.unique(leaf):
-            rows = np.flatnonzero(leaf == n)
-            a, b = np.searchsorted(visit, [n, n + 1])
-            for at in range(a, b, 2048):
-                who = asker[at : min(b, at + 2048)]
-                rough = queries[who] @ points[rows].T
-                m = min(2 * k + 2, len(rows))  # room for products that differ in the last place
-                best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-                found.append((np.repeat(who, m), rows[best].ravel(), np.take_along_axis(rough, best, 1).ravel()))
-        if not found:
-            return out
-        who, row, rough = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((-rough, who))
-        who, row = who[order], row[order]
-        begin = np.searchsorted(who, np.arange(len(left)))
-        near = np.arange(len(who)) - begin[who] < 2 * k + 2
-        who, row = who[near], row[near]
-        score = (queries[who] * points[row]).sum(1)
-        order = np.lexsort((first[row], -score, who))
-        who, row, score = who[order], row[order], score[order]
-        begin = np.searchsorted(who, np.arange(len(left)))
-        near = np.arange(len(who)) - begin[who] <= k
-        return pd.DataFrame({"q": q[who[near]], "first": first[row[near]], "score": score[near]})
+            return schema.empty_table()
+        begin, _ = layout.value
+        g = left["grp"][0].as_py()
+        leaf = right["leaf"].to_numpy() - begin[g]
+        order = np.argsort(leaf, kind="stable")
+        points, first = _rows(right["v"])[order], right["first"].to_numpy()[order]
+        n = int(begin[g + 1] - begin[g])
+        visited = np.unpackbits(np.frombuffer(b"".join(left["leaves"].to_pylist()), np.uint8).reshape(len(left), -1), axis=1, count=n).astype(bool)
+        who, row, score = _met(_rows(left["v"]), visited, points, np.bincount(leaf, minlength=n), first, k + 1)
+        return pa.table([left["q"].to_numpy()[who], first[row], score], schema=schema)
 
     numbers = spark.createDataFrame([(leaf, group[leaf], parts[leaf]) for leaf in range(total)], "leaf long, grp int, parts int")
     stored = placed.join(F.broadcast(numbers), "leaf").withColumn("block", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int"))
-    walks = questions.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, "grp int, block int, q long, leaves array<int>, v array<double>")
-    hits = walks.groupBy("grp", "block").cogroup(stored.groupBy("grp", "block")).applyInPandas(answer, "q long, first long, score double")
+    keys = ["grp", "block", "slice"]
+    sliced = questions.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(slices)).cast("int").alias("slice"))
+    walks = sliced.repartition(spark.sparkContext.defaultParallelism).mapInArrow(walk, f"grp int, block int, slice int, q long, leaves binary, v {kind}")
+    stored = stored.select("grp", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "leaf", "first", "v")
+    hits = walks.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(answer, "q long, first long, score double")
     kept = hits.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "first"))).where(F.col("rn") <= k + 1)
     lists = items.select(F.col("ids")[0].alias("first"), "ids")
     # Every distinct question's neighbours in order, at most (k + 1)^2 ids; then each row's own id leaves.

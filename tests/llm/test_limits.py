@@ -1,7 +1,11 @@
 """Past the limits that operators used to have: many sources, many languages, clashing names, long texts."""
 
+import tracemalloc
+
 import numpy as np
-from fathomline.llm import langid, mixing, packing
+from pyspark.sql import functions as F
+
+from fathomline.llm import ann, langid, mixing, packing
 from fathomline.llm.queries import tokenizer
 
 
@@ -44,3 +48,28 @@ def test_presence_in_blocks(monkeypatch):
         monkeypatch.setattr(langid, "BLOCK", block)
         assert (langid.presence(data, offsets) == whole).all()
     assert whole[0].sum() == 0 and whole[3].sum() == 1
+
+
+def test_nearest_scores_few_pairs_at_once():
+    rng = np.random.default_rng(5)
+    queries, points, sizes = rng.integers(-3, 4, (2000, 4)).astype(float), rng.integers(-3, 4, (4000, 4)).astype(float), np.full(400, 10)
+    visited, first = rng.random((2000, 400)) < 0.7, rng.permutation(4000)
+    tracemalloc.start()
+    who, row, score = ann._met(queries, visited, points, sizes, first, 21)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # of all leaves' best together: over 400 MB
+    for q in range(0, 2000, 97):
+        own = np.flatnonzero(np.repeat(visited[q], sizes))
+        exact = points[own] @ queries[q]
+        best = np.lexsort((first[own], -exact))[:21]
+        assert list(row[who == q]) == list(own[best]) and list(score[who == q]) == list(exact[best])
+
+
+def test_nearest_queries_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 6)))], "vec_id long, embedding array<double>")
+    found = lambda: sorted(map(tuple, ann.search(vectors, F.col("vec_id") % 3 == 0).collect()))
+    whole = found()
+    monkeypatch.setattr(ann, "ASKERS", 70)
+    assert found() == whole and len(whole) == 300 * 20
