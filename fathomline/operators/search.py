@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 
 LONGEST, FOLDERS = 3, 64
+#: As many queries are compared with every text, and as many groups are sent to all tasks.
+FEW, SENT = 32, 100_000
 
 
 def groups(text: Column, lengths: tuple[int, ...] = (1, 2, 3)) -> Column:
@@ -62,6 +64,16 @@ def find_many(lists: DataFrame, text: str, queries: DataFrame, exact: bool = Fal
     return met.where(F.col(text).contains(F.col("query")) if exact else F.lower(text).contains(F.lower("query")))
 
 
+def find_among(rows: DataFrame, text: str, queries: DataFrame, exact: bool = False) -> DataFrame:
+    """What ``find_many`` finds, of ``rows`` without posting lists: few queries are compared with every text, for more of them texts are listed, under the groups that are asked for only."""
+    asked = written(queries.where("query <> ''").select("query").distinct())
+    if asked.count() <= FEW:
+        return rows.join(F.broadcast(asked), F.col(text).contains(F.col("query")) if exact else F.lower(text).contains(F.lower("query")))
+    own = written(asked.select(F.explode(_asked(F.col("query"))).alias("group")).distinct())
+    own = F.broadcast(own) if own.count() <= SENT else own
+    return find_many(written(rows.select("*", F.explode(groups(F.col(text))).alias("group")).join(own, "group", "left_semi")), text, asked, exact)
+
+
 def first_of_each(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each key, numbered from 1 as ``pos``."""
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("pos") <= n)

@@ -74,10 +74,10 @@ def parsed_files(files: DataFrame, previous: DataFrame | None = None) -> DataFra
     """(path, hash, language, symbols, imports, exports); a file whose path and hash are in ``previous`` is taken from there."""
     hashed = files.withColumn("hash", F.sha2("content", 256))
     if previous is None:
-        return written(parsers.parse_files(hashed).join(hashed.select("path", "hash"), "path"))
+        return written(parsers.parse_files(hashed, ("hash",)))
     same = previous.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi")
     changed = hashed.join(previous.select("path", "hash"), ["path", "hash"], "left_anti")
-    fresh = parsers.parse_files(changed).join(changed.select("path", "hash"), "path")
+    fresh = parsers.parse_files(changed, ("hash",))
     return written(same.unionByName(fresh.select(*same.columns)))
 
 
@@ -97,9 +97,16 @@ def build(files: DataFrame, previous: DataFrame | None = None) -> Index:
     return ranked(linked(files, previous), files)
 
 
-def ranked(own: Index, files: DataFrame) -> Index:
-    """An index of ``linked`` with its files' measures and ranks."""
-    return _assembled(own, files.select("path", "size_bytes", *file_metrics(F.col("content"))), graph.importance(graph.pagerank(own.edges)))
+def placed(own: Index) -> Index:
+    """An index of ``linked`` with its files' ranks but not their measures: enough for requests."""
+    ranks = graph.importance(graph.pagerank(own.edges)).select(F.col("id").alias("path"), "importance")
+    return replace(own, files=written(own.files.select("path", "language").join(ranks, "path", "left").fillna(0, ["importance"])))
+
+
+def ranked(own: Index, files: DataFrame, ranks: DataFrame | None = None) -> Index:
+    """An index of ``linked`` with its files' measures and ranks, or ``ranks`` (id, importance) that are known."""
+    ranks = graph.importance(graph.pagerank(own.edges)) if ranks is None else ranks
+    return _assembled(own, files.select("path", "size_bytes", *file_metrics(F.col("content"))), ranks)
 
 
 def refresh(old: Index, files: DataFrame) -> Index:

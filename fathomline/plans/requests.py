@@ -61,13 +61,14 @@ def _facts(asks: DataFrame, index: Index, last: int) -> DataFrame:
     known = row(index.symbols, "file", "symbol", "name").unionByName(row(index.edges, "source", "imports_from", "target")).unionByName(row(index.edges, "target", "imported_by", "source"))
     analyses = told("analyze_file", known.join(of("analyze_file"), "argument"), words("o1", "o2"))
 
-    lists = index.postings if index.postings is not None else search.postings(index.symbols.select("file", "line", "name"), "name")
-    hits = search.find_many(lists, "name", of("search_symbols").withColumnRenamed("argument", "query")).select(F.col("query").alias("argument"), F.col("file").alias("o1"), F.col("line").alias("o2"), "name")
+    queries = of("search_symbols").withColumnRenamed("argument", "query")
+    hits = search.find_many(index.postings, "name", queries) if index.postings is not None else search.find_among(index.symbols.select("file", "line", "name"), "name", queries)
+    hits = hits.select(F.col("query").alias("argument"), F.col("file").alias("o1"), F.col("line").alias("o2"), "name")
     found = told("search_symbols", hits, words("o1", "name", "o2"), MOST)
 
     tests = index.files.where(F.col("path").contains("test") | F.col("path").contains("spec")).select("path")
     stems = of("find_tests").withColumn("query", paths.stem(F.col("argument")))
-    near = search.find_many(search.postings(tests, "path"), "path", stems.select("query"), exact=True).join(stems, "query").select("argument", F.col("path").alias("o1"), F.lit("").alias("o2"))
+    near = search.find_among(tests, "path", stems.select("query"), exact=True).join(stems, "query").select("argument", F.col("path").alias("o1"), F.lit("").alias("o2"))
     every = tests.join(F.broadcast(stems.where("argument = ''").select("argument").limit(1))).select("argument", F.col("path").alias("o1"), F.lit("").alias("o2"))  # one row: without a path all tests are asked for
     tested = told("find_tests", near.unionByName(every), F.col("o1"))
 

@@ -89,3 +89,32 @@ def test_search_by_posting_lists(spark):
         assert got == sorted((q, n) for q in asked for n, x in enumerate(names) if (q in x if exact else q.lower() in x.lower()))
     plan = search.find(lists, "name", "aba")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan
+
+
+def test_search_without_posting_lists(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, x) for n, x in enumerate(("One", "two", "", "Übermaß", "t", "onetwo"))], "n long, name string")
+    asked = ["one", "T", "wo", "übermaß", "zzz", "etw"]
+    many = spark.createDataFrame([(q,) for q in [*asked, "T", "", None]], "query string")
+    names = [r.name for r in rows.orderBy("n").collect()]
+    for few, sent in ((32, 9), (2, 9), (2, 1)):
+        monkeypatch.setattr(search, "FEW", few)
+        monkeypatch.setattr(search, "SENT", sent)
+        for exact in (False, True):
+            got = sorted((r.query, r.n) for r in search.find_among(rows, "name", many, exact).collect())
+            assert got == sorted((q, n) for q in asked for n, x in enumerate(names) if (q in x if exact else q.lower() in x.lower()))
+
+
+def test_requests_ask_for_no_measures_and_no_posting_lists(spark, monkeypatch):
+    from fathomline.plans import bindings_sinks, bindings_tree
+
+    for kept in ("_LINKED", "_PLACED", "_BUILT"):
+        monkeypatch.setattr(bindings_tree, kept, {})
+    made = lambda *_: pytest.fail("made for nothing")
+    with monkeypatch.context() as m:
+        m.setattr(index, "file_metrics", made)
+        m.setattr(search, "postings", made)
+        assert bindings_sinks.q10(spark, "/root/testdata/sf0.001").where("code = 0").count() > 0
+    ranks = {(r.path, r.importance) for r in bindings_tree.placed(spark, "/root/testdata/sf0.001").files.collect()}
+    whole = bindings_tree.built(spark, "/root/testdata/sf0.001")
+    assert {(r.path, r.importance) for r in whole.files.collect()} == ranks and "complexity" in whole.files.columns
+    assert bindings_tree.placed(spark, "/root/testdata/sf0.001") is whole
