@@ -74,10 +74,10 @@ def parsed_files(files: DataFrame, previous: DataFrame | None = None) -> DataFra
     """(path, hash, language, symbols, imports, exports); a file whose path and hash are in ``previous`` is taken from there."""
     hashed = files.withColumn("hash", F.sha2("content", 256))
     if previous is None:
-        return written(parsers.parse_files(hashed, ("hash",)))
+        return written(parsers.parse_files(hashed))
     same = previous.join(hashed.select("path", "hash"), ["path", "hash"], "left_semi")
     changed = hashed.join(previous.select("path", "hash"), ["path", "hash"], "left_anti")
-    fresh = parsers.parse_files(changed, ("hash",))
+    fresh = parsers.parse_files(changed)
     return written(same.unionByName(fresh.select(*same.columns)))
 
 
